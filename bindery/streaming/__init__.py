@@ -1,0 +1 @@
+"""No streaming operators: the covered capability set is batch only."""
