@@ -68,8 +68,3 @@ def minify_html(c: Column) -> Column:
 def page_title(html: Column) -> Column:
     """Text of the first ``<title>`` element, trimmed, else empty."""
     return js_trim(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1))
-
-
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once inside an expression so a long body does not repeat it."""
-    return F.element_at(F.transform(F.array(value), body), 1)

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bindery.functions.strings import js_trim, let, or_else
+from bindery.functions.sqltext import bind, let, q, q_list
+from bindery.functions.strings import JS_SPACE
 
 SPECIAL = ("http", "https", "ws", "wss", "ftp", "file")
 DEFAULT_PORT = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
@@ -44,143 +45,144 @@ _SITE_PREFIX = (
     r"|(?:https?|wss?|ftp)://[^/?#]*/[^?#]*(?=/[^/?#]*(?:[?#]|\z)))"
 )
 _SEP = "\x01"
+_BACKSLASH = "\\"
+_Z = r"\z"  # end of input, also after a line break
+_END_COLON = r":\z"
 
 
-def _groups(c: Column, pattern: str, n: int) -> Column:
+def _groups(x: str, pattern: str, n: int) -> str:
     """All groups of a whole-string match from one pass; any other string stays one element."""
-    return F.split(F.regexp_replace(c, pattern, _SEP.join(f"${i}" for i in range(1, n + 1))), _SEP)
+    joined = _SEP.join(f"${i}" for i in range(1, n + 1))
+    return f"split(regexp_replace({x}, {q(pattern)}, {q(joined)}), {q(_SEP)})"
 
 
-def _encode(c: Column, extra: str) -> Column:
+def _encode(x: str, extra: str) -> str:
     """Percent-encode everything outside printable ASCII, and ``extra``."""
-    bad = f"[^!-~]|[{extra}]"
-    chars = F.transform(
-        F.split(c, ""),
-        lambda ch: F.when(ch == " ", F.lit("%20")).when(ch.rlike(bad), F.url_encode(ch)).otherwise(ch),
-    )
-    return F.when(c.rlike(bad), F.array_join(chars, "")).otherwise(c)
+    bad = q(f"[^!-~]|[{extra}]")
+    char = f"case when ch = ' ' then '%20' when ch rlike {bad} then url_encode(ch) else ch end"
+    return f"case when {x} rlike {bad} then array_join(transform(split({x}, ''), ch -> {char}), '') else {x} end"
 
 
-def _remove_dots(path: Column) -> Column:
+def _remove_dots(path: str) -> str:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    dot = r"(?i)^(\.|%2e)\z"
-    dots = r"(?i)^(\.|%2e){2}\z"
+    dot, dots, either = (q(rf"(?i)^(\.|%2e){{{n}}}\z") for n in ("1", "2", "1,2"))
+    step = (
+        f"case when s rlike {dots} then slice(acc, 1, greatest(size(acc) - 1, 0)) "
+        f"when s rlike {dot} then acc else concat(acc, array(s)) end"
+    )
+    kept = f"aggregate(segs, cast(array() as array<string>), (acc, s) -> {step})"
+    # a dot segment at the end leaves its directory, with a slash
+    tail = f"if(element_at(segs, -1) rlike {either}, array(''), cast(array() as array<string>))"
+    return let(f"split(substring({path}, 2), '/')", "segs", f"concat('/', array_join(concat({kept}, {tail}), '/'))")
 
-    def walk(parts: Column) -> Column:
-        kept = F.aggregate(
-            parts,
-            F.array().cast("array<string>"),
-            lambda acc, s: F.when(s.rlike(dots), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(s.rlike(dot), acc)
-            .otherwise(F.concat(acc, F.array(s))),
-        )
-        # a dot segment at the end leaves its directory, with a slash
-        tail = F.when(F.element_at(parts, -1).rlike(r"(?i)^(\.|%2e){1,2}\z"), F.array(F.lit("")))
-        return F.concat(F.lit("/"), F.array_join(F.concat(kept, F.coalesce(tail, F.array().cast("array<string>"))), "/"))
 
-    return let(F.split(F.substring(path, 2, 1 << 30), "/"), walk)
+def _clean_path(path: str) -> str:
+    bare = let(f"replace({path}, {q(_BACKSLASH)}, '/')", "pa", let(_remove_dots("pa"), "pb", _encode("pb", '"<>`{}')))
+    return f"case when {path} = '' then '/' when {path} rlike {q(_UNSAFE)} then {bare} else {path} end"
 
 
-def _clean_path(path: Column) -> Column:
-    fixed = let(F.replace(path, F.lit("\\"), F.lit("/")), lambda p: _encode(_remove_dots(p), '"<>`{}'))
-    return F.when(path == "", F.lit("/")).when(path.rlike(_UNSAFE), fixed).otherwise(path)
+def _special(p: str) -> str:
+    scheme, user, host, port, path, query, fragment = (f"get({p}, {i})" for i in range(7))
+    number = f"regexp_replace({port}, '^0+(?=[0-9])', '')"
+    default = f"concat(lower({scheme}), ':', {number}) in ({q_list(f'{k}:{v}' for k, v in DEFAULT_PORT.items())})"
+    bad_host = q(r"[\x00-\x20<>^`{|}%\x7F]|^[^\[].*[\[\]]")
+    valid = (
+        f"size({p}) = 7 and not {host} rlike {bad_host} and ({host} <> '' or lower({scheme}) = 'file') "
+        f"and coalesce(try_cast({port} as bigint), 0) <= 65535"
+    )
+    return (
+        f"case when {valid} then concat(lower({scheme}), '://', "
+        f"if({user} in ('', ':'), '', concat(regexp_replace({user}, {q(_END_COLON)}, ''), '@')), "
+        f"lower({host}), if({port} = '' or {default}, '', concat(':', {number})), {_clean_path(path)}, "
+        f"{let(query, 'qy', _encode('qy', _QUERY_SET))}, {let(fragment, 'fr', _encode('fr', _FRAGMENT_SET))}) end"
+    )
 
 
-def canonical_url(c: Column) -> Column:
-    """The ``href`` an absolute URL string parses to, or null when it is invalid."""
-    ends = "".join(map(chr, range(0x21)))
-    clean = F.translate(F.btrim(c, F.lit(ends)), "\t\n\r", "")
-    return let(clean, _canonical)
+_QUERY_SET = "\"<>'"
+_FRAGMENT_SET = '"<>`'
+_ENDS = "".join(map(chr, range(0x21)))
 
 
-def _canonical(u: Column) -> Column:
-    other = F.when(
-        u.rlike(_SCHEME),
-        F.concat(F.lower(F.regexp_extract(u, _SCHEME, 1)), F.lit(":"), _encode(F.regexp_replace(u, _SCHEME, ""), "\x7f")),
+def _canonical(x: str) -> str:
+    """Canonical form of an absolute URL given as an SQL expression."""
+    scheme = q(_SCHEME)
+    rest = let(f"regexp_replace(u, {scheme}, '')", "re", _encode("re", "\x7f"))
+    special = let(_groups("u", _SPECIAL, 7), "p", _special("p"))
+    return let(
+        f"translate(btrim({x}, {q(_ENDS)}), {q(chr(9) + chr(10) + chr(13))}, '')",
+        "u",
+        f"case when u rlike {q('^(?i:' + '|'.join(SPECIAL) + '):')} then {special} "
+        f"when u rlike {scheme} then concat(lower(regexp_extract(u, {scheme}, 1)), ':', {rest}) end",
     )
-    special = u.rlike(rf"^(?i:{'|'.join(SPECIAL)}):")
-    return F.when(special, let(_groups(u, _SPECIAL, 7), _special)).otherwise(other)
 
 
-def _special(p: Column) -> Column:
-    scheme, user, host, port, path, query, fragment = [p[i] for i in range(7)]
-    default = F.concat(F.lower(scheme), F.lit(":"), F.regexp_replace(port, r"^0+(?=[0-9])", "")).isin(
-        *[f"{k}:{v}" for k, v in DEFAULT_PORT.items()]
-    )
-    number = F.concat(F.lit(":"), F.regexp_replace(port, r"^0+(?=[0-9])", ""))
-    bad_host = host.rlike(r"[\x00-\x20<>^`{|}%\x7F]|^[^\[].*[\[\]]") | ((host == "") & (F.lower(scheme) != "file"))
-    valid = (F.size(p) == 7) & ~bad_host & (F.coalesce(port.try_cast("bigint"), F.lit(0)) <= 65535)
-    return F.when(
-        valid,
-        F.concat(
-            F.lower(scheme),
-            F.lit("://"),
-            F.when(user.rlike("^:?\\z"), F.lit("")).otherwise(F.concat(F.regexp_replace(user, r":\z", ""), F.lit("@"))),
-            F.lower(host),
-            F.when((port == "") | default, F.lit("")).otherwise(number),
-            _clean_path(path),
-            _encode(query, "\"<>'"),
-            _encode(fragment, '"<>`'),
-        ),
-    )
+def canonical_url(c: Column) -> Column:
+    """The ``href`` an absolute URL string parses to, or null when it is invalid."""
+    return bind(c, "x", _canonical("x"))
 
 
-def _part(k: Column, i: int) -> Column:
-    return F.regexp_extract(k, _CANONICAL, i)
+def _on_canonical(c: Column, canonical: bool, body: str) -> Column:
+    """``body`` over ``k``, the canonical form of ``c``."""
+    return bind(c, "k", body) if canonical else bind(c, "x", let(_canonical("x"), "k", body))
 
 
-def _known(c: Column, canonical: bool) -> Column:
-    return c if canonical else canonical_url(c)
+def _path(k: str) -> str:
+    return f"regexp_extract({k}, {q(_CANONICAL)}, 3)"
 
 
-def url_path(k: Column) -> Column:
-    return _part(k, 3)
+def _host(k: str) -> str:
+    """Host name without user info and port."""
+    return f"regexp_replace(regexp_extract({k}, {q(_CANONICAL)}, 2), {q(r'^//(?:.*@)?|:[0-9]+' + _Z)}, '')"
 
 
-def url_host(k: Column) -> Column:
-    """Host name without user info and port."""
-    return F.regexp_replace(_part(k, 2), r"^//(?:.*@)?|:[0-9]+\z", "")
+def url_host(c: Column, canonical: bool = False) -> Column:
+    return _on_canonical(c, canonical, _host("k"))
+
+
+def _origin(k: str) -> str:
+    whole = f"regexp_extract({k}, '^(?:https?|wss?|ftp)://[^/?#]*', 0)"
+    return let(whole, "o", f"case when o <> '' then regexp_replace(o, '//.*@', '//') when {k} is not null then 'null' end")
 
 
 def url_origin(c: Column, canonical: bool = False) -> Column:
     """Scheme, host and port; the text ``null`` for schemes without an origin."""
+    return _on_canonical(c, canonical, _origin("k"))
+
+
+def _resolve(base: str) -> str:
+    """Body over ``h`` (trimmed href) and ``bs`` (base as given) with ``base`` canonical."""
+    scheme, host, path, query = (f"get(b, {i})" for i in range(4))
+    raw = (
+        f"case when r rlike {q(_SCHEME)} then r "
+        f"when r = '' then concat({scheme}, {host}, {path}, {query}) "
+        rf"when r rlike {q(r'^[/\\]{2}')} then concat({scheme}, r) "
+        rf"when r rlike {q(r'^[/\\]')} then concat({scheme}, {host}, r) "
+        f"when startswith(r, '?') then concat({scheme}, {host}, {path}, r) "
+        f"when startswith(r, '#') then concat({scheme}, {host}, {path}, {query}, r) "
+        f"else concat({scheme}, {host}, regexp_replace({path}, {q(r'[^/]*' + _Z)}, ''), r) end"
+    )
+    # "http:x" below an http base is a relative reference
+    relative = (
+        f"h rlike {q(r'(?i)^(https?|wss?|ftp):(?![/' + _BACKSLASH * 2 + ']{2})')} and startswith(lower(h), {scheme})"
+    )
+    reference = f"case when {relative} then regexp_replace(h, {q(_SCHEME)}, '') else h end"
+    full = let(_groups(base, _CANONICAL, 4), "b", let(reference, "r", let(raw, "w", _canonical("w"))))
+    return (
+        f"case when h = '' then bs when h rlike '(?i)^((javascript|mailto|tel|data|#):|#)' then '' "
+        f"else coalesce({full}, '') end"
+    )
 
-    def of(k: Column) -> Column:
-        plain = F.regexp_extract(k, r"^((?:https?|wss?|ftp)://)(?:[^/?#]*@)?([^/?#]*)", 0)
-        bare = F.when(plain.contains("@"), F.regexp_replace(plain, "//.*@", "//")).otherwise(plain)
-        return F.when(plain != "", bare).when(k.isNotNull(), F.lit("null"))
 
-    return of(c) if canonical else let(canonical_url(c), of)
+def resolve_sql(href: str, base: str, base_canonical: bool = False) -> str:
+    known = "bs" if base_canonical else _canonical("bs")
+    inner = let(known, "bk", _resolve("bk"))
+    return let(base, "bs", let(f"btrim(coalesce({href}, ''), {q(JS_SPACE)})", "h", inner))
 
 
 def resolve_url(href: Column, base: Column, base_canonical: bool = False) -> Column:
     """``href`` made absolute against ``base``; empty where there is nothing to follow."""
-
-    def absolute(h: Column, b: Column) -> Column:
-        scheme, host, path, query = [b[i] for i in range(4)]
-        raw = (
-            F.when(h.rlike(_SCHEME), h)
-            .when(h == "", F.concat(scheme, host, path, query))
-            .when(h.rlike(r"^[/\\]{2}"), F.concat(scheme, h))
-            .when(h.rlike(r"^[/\\]"), F.concat(scheme, host, h))
-            .when(h.startswith("?"), F.concat(scheme, host, path, h))
-            .when(h.startswith("#"), F.concat(scheme, host, path, query, h))
-            .otherwise(F.concat(scheme, host, F.regexp_replace(path, r"[^/]*\z", ""), h))
-        )
-        return canonical_url(raw)
-
-    def reference(h: Column, b: Column) -> Column:
-        # "http:x" below an http base is a relative reference
-        relative = h.rlike(r"(?i)^[a-z]+:(?![/\\]{2})") & F.lower(h).startswith(b[0]) & b[0].rlike("^(https?|wss?|ftp):")
-        return F.when(relative, F.regexp_replace(h, _SCHEME, "")).otherwise(h)
-
-    def resolve(h: Column) -> Column:
-        bases = _groups(_known(base, base_canonical), _CANONICAL, 4)
-        full = let(bases, lambda b: let(reference(h, b), lambda r: absolute(r, b)))
-        skip = h.rlike(r"(?i)^((javascript|mailto|tel|data|#):|#)")
-        return F.when(h == "", base).when(skip, F.lit("")).otherwise(F.coalesce(full, F.lit("")))
-
-    return let(js_trim(F.coalesce(href, F.lit(""))), resolve)
+    pair = F.struct(href.alias("href"), base.alias("base"))
+    return bind(pair, "pr", resolve_sql("pr.href", "pr.base", base_canonical))
 
 
 def is_valid_url(c: Column) -> Column:
@@ -194,128 +196,114 @@ def url_error(c: Column) -> Column:
 
 def http_url(c: Column) -> Column:
     """Canonical href of an http(s) URL, else null."""
-    return let(canonical_url(c), lambda k: F.when(k.rlike("^https?:"), k))
+    return _on_canonical(c, False, "case when k rlike '^https?:' then k end")
 
 
 def is_http_url(c: Column) -> Column:
     return http_url(F.coalesce(c, F.lit(""))).isNotNull()
 
 
-def is_same_origin(a: Column, b: Column, canonical: bool = False) -> Column:
-    return F.coalesce(url_origin(a, canonical) == url_origin(b, canonical), F.lit(False))
+def is_same_origin(a: Column, b: Column) -> Column:
+    return F.coalesce(url_origin(a) == url_origin(b), F.lit(False))
 
 
-def base_directory(k: Column) -> Column:
+def _directory(k: str) -> str:
     """Directory part of a canonical URL's path, without the last slash."""
-    return F.regexp_replace(url_path(k), r"/?[^/]*\z", "")
+    return f"regexp_replace({_path(k)}, {q(r'/?[^/]*' + _Z)}, '')"
 
 
-def is_same_site(url: Column, base: Column, strict: bool = False, canonical: bool = False) -> Column:
+def _bare(k: str) -> str:
+    """A canonical URL without user info."""
+    return f"case when contains({k}, '@') then regexp_replace({k}, '^([a-z]+://)[^/?#]*@', '$1') else {k} end"
+
+
+def same_site_sql(u: str, base: str, strict: bool = False) -> str:
+    """Both canonical; see ``is_same_site``."""
+    inside = "sp <> '' and startswith(ub, sp)"
+    if strict:
+        rest = f"regexp_replace(ub, {q('[?#].*' + _Z)}, '')"
+        inside += f" and (endswith(sp, '/') or substring({rest}, length(sp) + 1, 1) in ('', '/'))"
+    prefix = f"regexp_extract({_bare(base)}, {q(_SITE_PREFIX)}, 1)"
+    return f"coalesce({let(_bare(u), 'ub', let(prefix, 'sp', inside))}, false)"
+
+
+def is_same_site(url: Column, base: Column, strict: bool = False) -> Column:
     """Same origin and below the base directory.
 
     The prefix test has no slash boundary (``/enau`` is inside ``/en``); ``strict``
     asks for one.
     """
+    pair = F.struct(url.alias("u"), base.alias("b"))
+    return bind(pair, "pr", let(_canonical("pr.u"), "ku", let(_canonical("pr.b"), "kb", same_site_sql("ku", "kb", strict))))
 
-    def bare(k: Column) -> Column:
-        return F.when(k.contains("@"), F.regexp_replace(k, r"^([a-z]+://)[^/?#]*@", "$1")).otherwise(k)
-
-    def test(u: Column, b: Column) -> Column:
-        prefix = F.regexp_extract(bare(b), _SITE_PREFIX, 1)
-        inside = bare(u).startswith(prefix)
-        if strict:
-            after = F.substring(F.regexp_replace(bare(u), r"[?#].*\z", ""), F.length(prefix) + 1, F.lit(1))
-            inside = inside & (prefix.endswith("/") | after.isin("", "/"))
-        return inside & (prefix != "")
 
-    if canonical:
-        return F.coalesce(test(url, base), F.lit(False))
-    return F.coalesce(let(canonical_url(url), lambda u: let(canonical_url(base), lambda b: test(u, b))), F.lit(False))
-
-
-def _form_decode(c: Column) -> Column:
+def _form_decode(x: str) -> str:
     """Percent-decode with stray percent signs kept, as form parsing does."""
-    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return f"url_decode(regexp_replace({x}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
 
 
-def _sorted_query(query: Column) -> Column:
+def _sorted_query(query: str) -> str:
     """``?…`` with parameters in stable name order and form-encoded again."""
-    pairs = F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda p: p != "")
+    name = _form_decode("regexp_extract(e, '(?s)^([^=]*)', 1)")
+    value = _form_decode(f"regexp_extract(e, {q(r'(?s)^[^=]*=?(.*)' + _Z)}, 1)")
+    entry = f"{let(name, 'nm', f'struct(nm as n, i as i, concat(url_encode(nm), {q(chr(61))}, url_encode({value})) as t)')}"
+    pairs = f"transform(filter(split(substring({query}, 2), '&'), f -> f <> ''), (e, i) -> {entry})"
+    return let(
+        f"transform(array_sort({pairs}), s -> s.t)", "j", "case when size(j) = 0 then '' else concat('?', array_join(j, '&')) end"
+    )
 
-    def entry(p: Column, i: Column) -> Column:
-        name = _form_decode(F.regexp_extract(p, r"(?s)^([^=]*)", 1))
-        value = _form_decode(F.regexp_extract(p, r"(?s)^[^=]*=?(.*)\z", 1))
-        text = F.concat(F.url_encode(name), F.lit("="), F.url_encode(value))
-        return F.struct(name.alias("n"), i.alias("i"), text.alias("t"))
 
-    joined = F.transform(F.array_sort(F.transform(pairs, entry)), lambda e: e["t"])
-    return let(joined, lambda j: F.when(F.size(j) == 0, F.lit("")).otherwise(F.concat(F.lit("?"), F.array_join(j, "&"))))
+def normalize_sql(k: str) -> str:
+    """Body of ``normalize_url`` over a canonical URL."""
+    stem = f"regexp_replace(regexp_extract({k}, '(?s)^([^?#]*)', 1), {q(f'(?s)^({_STEM}.+)/' + _Z)}, '$1')"
+    query = f"regexp_extract({k}, {q('(?s)^[^?#]*(' + _BACKSLASH + '?[^#]*)')}, 1)"
+    with_query = f"concat(st, {let(query, 'qs', _sorted_query('qs'))})"
+    return let(stem, "st", f"case when contains({k}, '?') then {with_query} else st end")
 
 
-def normalize_url(c: Column, canonical: bool = False) -> Column:
+def normalize_url(c: Column) -> Column:
     """Key under which two spellings of a page count as one; invalid text stays."""
-
-    def of(k: Column) -> Column:
-        stem = F.regexp_replace(F.regexp_extract(k, r"(?s)^([^?#]*)", 1), rf"(?s)^({_STEM}.+)/\z", "$1")
-        query = F.regexp_extract(k, r"(?s)^[^?#]*(\?[^#]*)", 1)
-        return F.when(k.contains("?"), F.concat(stem, let(query, _sorted_query))).otherwise(stem)
-
-    return F.coalesce(of(c) if canonical else let(canonical_url(c), of), c)
+    return F.coalesce(_on_canonical(c, False, normalize_sql("k")), c)
 
 
 def path_id(c: Column) -> Column:
     """Dash-separated id from the last path segment."""
-
-    def of(k: Column) -> Column:
-        last = or_else(F.regexp_extract(url_path(k), r"([^/]+)/*\z", 1), F.lit("index"))
-        name = F.lower(F.regexp_replace(last, r"(?i)\.(html?|md|php|asp)\z", ""))
-        name = F.regexp_replace(F.regexp_replace(name, "[^a-z0-9-]", "-"), "-+", "-")
-        return F.when(k.isNotNull(), F.regexp_replace(name, r"^-|-\z", ""))
-
-    return F.coalesce(let(canonical_url(F.coalesce(c, F.lit(""))), of), F.lit("page"))
+    last = f"coalesce(nullif(regexp_extract({_path('k')}, {q('([^/]+)/*' + _Z)}, 1), ''), 'index')"
+    name = f"lower(regexp_replace({last}, {q(r'(?i)[.](html?|md|php|asp)' + _Z)}, ''))"
+    name = f"regexp_replace(regexp_replace({name}, '[^a-z0-9-]', '-'), '-+', '-')"
+    body = f"case when k is not null then regexp_replace({name}, {q('^-|-' + _Z)}, '') end"
+    return F.coalesce(_on_canonical(F.coalesce(c, F.lit("")), False, body), F.lit("page"))
 
 
 def base_url(c: Column) -> Column:
     """Origin and directory of a URL, ending in a slash; invalid text stays."""
-
-    def of(k: Column) -> Column:
-        return F.concat(F.regexp_extract(k, rf"^({_STEM})", 1), base_directory(k), F.lit("/"))
-
-    return F.coalesce(let(canonical_url(c), of), c)
+    body = f"concat(regexp_extract(k, {q(f'^({_STEM})')}, 1), {_directory('k')}, '/')"
+    return F.coalesce(_on_canonical(c, False, body), c)
 
 
 def is_image_url(c: Column) -> Column:
-    pattern = rf"(?i)\.({'|'.join(IMAGE_EXTENSIONS)})\z"
-    return let(canonical_url(c), lambda k: F.coalesce(url_path(k), c).rlike(pattern))
+    pattern = q(rf"(?i)\.({'|'.join(IMAGE_EXTENSIONS)})\z")
+    return bind(c, "x", let(_canonical("x"), "k", f"coalesce({_path('k')}, x) rlike {pattern}"))
 
 
-def is_content_url(c: Column, canonical: bool = False) -> Column:
-    """False for static assets and for paths which never hold pages."""
-    pattern = rf"\.({'|'.join(ASSET_EXTENSIONS)})\z|{'|'.join(ASSET_PATHS)}"
+def content_sql(k: str) -> str:
+    """Body of ``is_content_url`` over a canonical URL."""
+    pattern = q(rf"\.({'|'.join(ASSET_EXTENSIONS)})\z|{'|'.join(ASSET_PATHS)}")
+    return f"coalesce(not lower({_path(k)}) rlike {pattern}, false)"
 
-    def of(k: Column) -> Column:
-        return F.coalesce(~F.lower(url_path(k)).rlike(pattern), F.lit(False))
 
-    return of(c) if canonical else let(canonical_url(c), of)
+def is_content_url(c: Column) -> Column:
+    """False for static assets and for paths which never hold pages."""
+    return _on_canonical(c, False, content_sql("k"))
 
 
 def title_from_url(c: Column, fallback: str = "Untitled") -> Column:
     """Title guessed from the last path part without a dot, else the host's first label."""
-
-    def of(k: Column) -> Column:
-        parts = F.filter(F.split(url_path(k), "/"), lambda p: (p != "") & ~p.contains("."))
-        words = F.regexp_replace(F.element_at(parts, -1), "[-_]", " ")
-        # upper-case each ASCII word character after a non-word character
-        marked = F.regexp_replace(words, r"(^|[^A-Za-z0-9_])([A-Za-z0-9_])", "$1\u0000$2")
-        chunks = F.split(marked, "\u0000")
-        titled = F.array_join(
-            F.transform(
-                chunks,
-                lambda s, i: F.when(i > 0, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))).otherwise(s),
-            ),
-            "",
-        )
-        label = F.element_at(F.split(F.regexp_replace(url_host(k), r"^www\.", ""), r"\."), 1)
-        return F.when(F.size(parts) > 0, titled).otherwise(or_else(label, F.lit(fallback)))
-
-    return F.coalesce(let(canonical_url(c), of), F.lit(fallback))
+    words = "regexp_replace(element_at(ps, -1), '[-_]', ' ')"
+    # upper-case each ASCII word character after a non-word character
+    marked = f"split(regexp_replace({words}, '(^|[^A-Za-z0-9_])([A-Za-z0-9_])', {q('$1' + _SEP + '$2')}), {q(_SEP)})"
+    titled = f"array_join(transform({marked}, (s, i) -> if(i > 0, concat(upper(substring(s, 1, 1)), substring(s, 2)), s)), '')"
+    label = f"regexp_extract({_host('k')}, {q(r'^(?:www[.])?([^.]*)')}, 1)"
+    parts = f"filter(split({_path('k')}, '/'), p -> p <> '' and not contains(p, '.'))"
+    body = let(parts, "ps", f"case when size(ps) > 0 then {titled} else coalesce(nullif({label}, ''), {q(fallback)}) end")
+    return F.coalesce(_on_canonical(c, False, f"case when k is not null then {body} end"), F.lit(fallback))

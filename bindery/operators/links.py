@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.functions.strings import js_trim, let, or_else
-from bindery.functions.urls import canonical_url, is_content_url, is_same_site, normalize_url, resolve_url
+from bindery.functions.sqltext import bind, let
+from bindery.functions.strings import js_trim, or_else
+from bindery.functions.urls import canonical_url, content_sql, normalize_sql, resolve_sql, resolve_url, same_site_sql
 from bindery.operators.selectors import match_selectors
 from bindery.sources.html import KEY
 from bindery.sources.profiles import NEXT_SELECTORS, PROFILES, SIDEBAR_SELECTOR, Profile
@@ -25,19 +26,13 @@ def _candidates(nodes: DataFrame, selectors: list[str], base: str) -> DataFrame:
     """Matched elements with resolved and normalised targets and the reasons to drop them."""
     found = match_selectors(nodes, selectors, text=True)
     raw = F.col("attrs")["href"]
-
-    def target(r: Column, b: Column) -> Column:
-        return F.struct(
-            r.alias("resolved"),
-            F.when(r != "", normalize_url(r, canonical=True)).alias("href"),
-            is_same_site(r, b, canonical=True).alias("same_site"),
-            is_content_url(r, canonical=True).alias("is_page"),
-        )
-
-    def resolved(b: Column) -> Column:
-        return F.when(or_else(raw, F.lit("")) != "", resolve_url(raw, b, base_canonical=True))
-
-    info = let(canonical_url(F.col(base)), lambda b: let(resolved(b), lambda r: target(r, b)))
+    target = (
+        f"struct(r as resolved, case when r <> '' then {normalize_sql('r')} end as href, "
+        f"{same_site_sql('r', 'kb')} as same_site, {content_sql('r')} as is_page)"
+    )
+    resolved = f"case when pr.href <> '' then {resolve_sql('pr.href', 'kb', base_canonical=True)} end"
+    pair = F.struct(raw.alias("href"), canonical_url(F.col(base)).alias("kb"))
+    info = bind(pair, "pr", let("pr.kb", "kb", let(resolved, "r", target)))
     # a generator, so that filters on the result are not pushed into a second evaluation
     return found.select(
         *KEY,

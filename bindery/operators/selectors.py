@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions.sqltext import q, q_list
 from bindery.operators.render import before, is_element, is_text, next_pos, with_link_text
 
 _SIMPLE = re.compile(
@@ -41,30 +41,30 @@ class Compound:
     def plain_tag(self) -> bool:
         return bool(self.tag) and not (self.classes or self.ids or self.attrs or self.contains or self.empty)
 
-    def column(self, contains: bool) -> Column:
-        tests = [is_element()]
+    def sql(self, contains: bool) -> str:
+        tests = ["kind = 'element'"]
         if self.tag:
-            tests.append(F.col("tag") == self.tag)
-        tests += [F.col("elem_id") == i for i in self.ids]
-        tests += [F.array_contains("classes", c) for c in self.classes]
+            tests.append(f"tag = {q(self.tag)}")
+        tests += [f"elem_id = {q(i)}" for i in self.ids]
+        tests += [f"array_contains(classes, {q(c)})" for c in self.classes]
         for name, op, value in self.attrs:
-            got = F.col("attrs")[name]
-            tests.append(
-                {
-                    None: lambda g, v: g.isNotNull(),
-                    "=": lambda g, v: g == v,
-                    "*=": lambda g, v: g.contains(v) if v else F.lit(False),
-                    "^=": lambda g, v: g.startswith(v) if v else F.lit(False),
-                    "$=": lambda g, v: g.endswith(v) if v else F.lit(False),
-                    "~=": lambda g, v: F.array_contains(F.split(g, r"\s+"), v),
-                    "|=": lambda g, v: (g == v) | g.startswith(v + "-"),
-                }[op](got, value)
-            )
+            got, v = f"attrs[{q(name)}]", q(value or "")
+            partial = {"*=": f"contains({got}, {v})", "^=": f"startswith({got}, {v})", "$=": f"endswith({got}, {v})"}
+            if op is None:
+                tests.append(f"{got} is not null")
+            elif op in partial:
+                tests.append(partial[op] if value else "false")
+            elif op == "~=":
+                tests.append(f"array_contains(split({got}, {q(chr(92) + 's+')}), {v})")
+            elif op == "|=":
+                tests.append(f"({got} = {v} or startswith({got}, {q((value or '') + '-')}))")
+            else:
+                tests.append(f"{got} = {v}")
         if contains:
-            tests += [F.col("inner_text").contains(t) for t in self.contains]
+            tests += [f"contains(inner_text, {q(t)})" for t in self.contains]
         if self.empty:
-            tests.append(F.col("_empty"))
-        return F.coalesce(reduce(Column.__and__, tests), F.lit(False))
+            tests.append("_empty")
+        return "(" + " and ".join(tests) + ")"
 
 
 def parse_selector(selector: str) -> list[list[Compound]] | None:
@@ -136,22 +136,17 @@ class Matcher:
             for head in sorted(heads, key=repr):
                 name = f"_in{len(matcher._flags)}"
                 matcher._flags[head] = name
-                reach = F.max(F.when(matcher._chain(head, False), F.col("end_pos"))).over(before())
+                reach = F.max(F.expr(f"case when {matcher._chain(head, False)} then end_pos end")).over(before())
                 columns[name] = F.coalesce(reach > F.col("pos"), F.lit(False))
             matcher.nodes = matcher.nodes.withColumns(columns)
             level += 1
         return matcher
 
-    def _chain(self, chain: tuple[Compound, ...], contains: bool) -> Column:
-        own = chain[-1].column(contains)
-        return own & F.col(self._flags[tuple(chain[:-1])]) if len(chain) > 1 else own
-
-    def any_of(self, selectors: list[str], contains: bool | None = None) -> Column:
-        """Does the row match one of the selectors? Plain tags and classes share one test each.
+    def _chain(self, chain: tuple[Compound, ...], contains: bool) -> str:
+        own = chain[-1].sql(contains)
+        return f"({own} and {self._flags[tuple(chain[:-1])]})" if len(chain) > 1 else own
 
-        ``contains``: True tests ``:contains`` on ``inner_text``, False takes it as met,
-        None leaves such selectors out.
-        """
+    def _any(self, selectors: list[str], contains: bool | None) -> str:
         chains = [tuple(chain) for s in selectors for chain in parse_selector(s) or []]
         if contains is None:
             chains = [c for c in chains if not any(p.contains for p in c)]
@@ -160,15 +155,23 @@ class Matcher:
         rest = [c for c in chains if len(c) > 1 or not (c[0].plain_tag or c[0].plain_class)]
         tests = [self._chain(c, bool(contains)) for c in rest]
         if tags:
-            tests.append(is_element() & F.col("tag").isin(*tags))
+            tests.append(f"(kind = 'element' and tag in ({q_list(tags)}))")
         if classes:
-            tests.append(is_element() & F.arrays_overlap("classes", F.array(*map(F.lit, classes))))
-        return F.coalesce(reduce(Column.__or__, tests, F.lit(False)), F.lit(False))
+            tests.append(f"(kind = 'element' and arrays_overlap(classes, array({q_list(classes)})))")
+        return f"coalesce({' or '.join(tests) or 'false'}, false)"
+
+    def any_of(self, selectors: list[str], contains: bool | None = None) -> Column:
+        """Does the row match one of the selectors? Plain tags and classes share one test each.
+
+        ``contains``: True tests ``:contains`` on ``inner_text``, False takes it as met,
+        None leaves such selectors out.
+        """
+        return F.expr(self._any(selectors, contains))
 
     def indexes(self, selectors: list[str], contains: bool | None = None) -> Column:
         """Array of the (0-based) positions of the selectors the row matches."""
-        tests = [F.when(self.any_of([s], contains), F.lit(i)) for i, s in enumerate(selectors)]
-        return F.filter(F.array(*tests), lambda i: i.isNotNull()) if tests else F.array().cast("array<int>")
+        tests = [f"if({self._any([s], contains)}, {i}, null)" for i, s in enumerate(selectors)]
+        return F.expr(f"array_compact(array({', '.join(tests) or 'cast(null as int)'}))")
 
     @property
     def helpers(self) -> list[str]:
