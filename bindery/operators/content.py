@@ -220,6 +220,7 @@ def parse_pages(pages: DataFrame, profiles: list[Profile] | None = None, carry:
             *KEY,
             "url",
             "profile",
+            "crawl_title",
             *carry,
             or_else(title, or_else(F.col("crawl_title"), F.lit("Untitled"))).alias("title"),
             F.when(F.col("_ok"), live).alias("content"),
