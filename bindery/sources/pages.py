@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from bindery.functions.urls import url_origin
 
-# HTML bytes one shredding task should get; a page file may be one big row group.
-TASK_BYTES = 32 << 20
 
-
-def read_pages(spark: SparkSession, path: str, site: Column | None = None, partitions: int | None = None) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, site: Column | None = None, spread: bool = True) -> DataFrame:
     """Read ``page_id, url, html`` and derive ``site``, by default the URL's origin.
 
-    ``partitions`` spreads the rows again by page when files hold too few row groups.
+    A file is cut at its row groups only; ``spread`` deals the rows out by page when
+    that gives fewer tasks than the cluster has cores. Large inputs are left as read.
     """
     df = spark.read.parquet(path).select("page_id", "url", "html")
     site = F.coalesce(url_origin(F.col("url")), F.lit("")) if site is None else site
-    df = df.select(site.alias("site"), "page_id", "url", "html")
-    return df.repartition(partitions, "page_id") if partitions else df
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, "page_id")
+    return df.select(site.alias("site"), "page_id", "url", "html")
