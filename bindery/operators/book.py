@@ -13,6 +13,7 @@ from bindery.functions.sqltext import bind, let
 from bindery.functions.strings import escape_xml, js_trim, or_else, sanitize_metadata_field, slug
 from bindery.functions.urls import title_from_url, url_host
 from bindery.operators.scan import lookup, ordered_scan
+from bindery.session import materialize
 
 TOC_TITLE = "Table of Contents"
 # The envelope of a table-of-contents page.
@@ -113,6 +114,7 @@ def flatten_toc(toc: DataFrame, limit: int | None = None) -> DataFrame:
     Paths are built level by level; ids are expected to be unique in a site, and
     ``depth`` to be the number of ancestors.
     """
+    toc = materialize(toc, "toc")
     deepest = toc.agg(F.max("depth")).first()[0] or 0
     step = F.struct("order", "page_id")
     level = toc.filter("depth = 0").withColumn("_path", F.array(step))
@@ -120,7 +122,7 @@ def flatten_toc(toc: DataFrame, limit: int | None = None) -> DataFrame:
     for d in range(1, deepest + 1):
         parents = level.select("site", F.col("id").alias("parent_id"), F.col("_path").alias("_up")).dropDuplicates(["site", "parent_id"])
         level = lookup(toc.filter(F.col("depth") == d), parents, ["site", "parent_id"], "inner")
-        level = level.withColumn("_path", F.concat("_up", F.array(step))).select(*done.columns)
+        level = materialize(level.withColumn("_path", F.concat("_up", F.array(step))).select(*done.columns), "level")
         done = done.unionByName(level)
     return ordered_scan(done, ["site"], [F.col("_path")], position="seq", limit=limit).drop("_path")
 

@@ -6,12 +6,15 @@ columns only; content is joined back by page, which is unique.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.functions.strings import escape_xml, js_trim, sanitize_title, strip_tags
+from bindery.functions.strings import JS_SPACE, escape_xml, js_trim, sanitize_title, strip_tags
 from bindery.functions.urls import path_id
 from bindery.operators.scan import ordered_scan
+from bindery.session import materialize
 
 MIN_TEXT = 50
 SECTION = r"(?i)^(Part|Section|Book)[\s\xA0\x{FEFF}]+[IVX0-9]+"
@@ -26,16 +29,20 @@ MIDDLE = "</title>\n</head>\n<body>\n  "
 TAIL = "\n</body>\n</html>"
 
 
-def _rest(df: DataFrame, used: set[str]) -> list[str]:
-    return [c for c in df.columns if c not in used]
+def _keys(df: DataFrame) -> DataFrame:
+    """Everything but page bodies; what scans and sorts move about."""
+    return df.drop("content")
+
+
+def _with_content(df: DataFrame, done: DataFrame) -> DataFrame:
+    """Bring the content back to rows computed from ``_keys(df)``."""
+    if "content" not in df.columns:
+        return done
+    return df.select("site", "page_id", "content").join(done, ["site", "page_id"]).select(*done.columns, "content")
 
 
-def _with_scan(df: DataFrame, narrow: list[str | Column], key: list[str], scan) -> DataFrame:
-    """Run ``scan`` over key columns and join its new columns back to the wide rows."""
-    thin = df.select(*narrow)
-    wide = [c for c in df.columns if c not in thin.columns]
-    done = scan(thin)
-    return df.select(*key, *wide).join(done, key) if wide else done
+def _in_order() -> list[Column]:
+    return [F.col("order"), F.col("page_id")]
 
 
 def dedupe_titles(pages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -45,21 +52,13 @@ def dedupe_titles(pages: DataFrame, limit: int | None = None) -> DataFrame:
     sanitised title; the numbered title is sanitised once more, so a 200-character
     title loses its number. ``page_id`` breaks ties of ``order``.
     """
-
-    def scan(thin: DataFrame) -> DataFrame:
-        same = F.when(F.col("_raw") == F.col("_san"), 1).otherwise(0)
-        order = [F.col("order"), F.col("page_id")]
-        counted = ordered_scan(thin, ["site", "_san"], order, sums={"_n": same}, limit=limit)
-        numbered = F.concat("_san", F.lit(" ("), (F.col("_n") + 1).cast("string"), F.lit(")"))
-        title = sanitize_title(F.when(F.col("_n") > 0, numbered).otherwise(F.col("_san")))
-        return counted.select("site", "page_id", "order", title.alias("title"))
-
-    keys = pages.select(
-        "site", "page_id", "order", F.coalesce("title", F.lit("")).alias("_raw"), sanitize_title(F.col("title")).alias("_san")
-    )
-    done = scan(keys)
-    wide = _rest(pages, {"site", "page_id", "order", "title"})
-    return pages.select("site", "page_id", *wide).join(done, ["site", "page_id"]) if wide else done
+    keys = _keys(pages).withColumn("_raw", F.coalesce("title", F.lit(""))).withColumn("_san", sanitize_title(F.col("title")))
+    same = F.when(F.col("_raw") == F.col("_san"), 1).otherwise(0)
+    counted = ordered_scan(keys, ["site", "_san"], _in_order(), sums={"_n": same}, limit=limit)
+    numbered = F.concat("_san", F.lit(" ("), (F.col("_n") + 1).cast("string"), F.lit(")"))
+    # an unnumbered title is sanitised already
+    title = F.when(F.col("_n") > 0, sanitize_title(numbered)).otherwise(F.col("_san"))
+    return _with_content(pages, counted.withColumn("title", title).drop("_raw", "_san", "_n"))
 
 
 def chapter_id(url: Column, index: Column) -> Column:
@@ -78,25 +77,27 @@ def wrap_chapter(content: Column, title: Column) -> Column:
     return F.concat(F.lit(HEAD), escape_xml(title), F.lit(MIDDLE), content, F.lit(TAIL))
 
 
-def create_chapters(pages: DataFrame, limit: int | None = None) -> DataFrame:
-    """Chapters from pages with ``title, content, order, url``; ``order`` gives the index."""
-
-    def scan(thin: DataFrame) -> DataFrame:
-        return ordered_scan(thin, ["site"], [F.col("order"), F.col("page_id")], position="_index", limit=limit)
-
-    titled = dedupe_titles(pages, limit)
-    indexed = _with_scan(titled, ["site", "page_id", "order"], ["site", "page_id"], scan)
-    return indexed.select(
-        "site",
-        "page_id",
-        chapter_id(F.col("url"), F.col("_index")).alias("id"),
-        "title",
-        wrap_chapter(F.coalesce("content", F.lit("")), F.col("title")).alias("content"),
-        "order",
-        F.col("url").alias("source_url"),
+def _titled_keys(keys: DataFrame, limit: int | None) -> DataFrame:
+    """Keys with final titles and chapter ids."""
+    titled = dedupe_titles(keys, limit)
+    indexed = ordered_scan(titled, ["site"], _in_order(), position="_index", limit=limit)
+    return indexed.withColumn("id", chapter_id(F.col("url"), F.col("_index"))).drop("_index")
+
+
+def _chapters(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """Wrap the content of ``pages`` for the chapters named by ``keys``."""
+    body = F.coalesce("content", F.lit(""))
+    joined = pages.select("site", "page_id", "content").join(keys, ["site", "page_id"])
+    return joined.select(
+        "site", "page_id", "id", "title", wrap_chapter(body, F.col("title")).alias("content"), "order", F.col("url").alias("source_url")
     )
 
 
+def create_chapters(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chapters from pages with ``title, content, order, url``; their place in the site gives the index."""
+    return _chapters(pages, _titled_keys(pages.select("site", "page_id", "url", "title", "order"), limit))
+
+
 def is_valid_chapter(content: Column) -> Column:
     """At least 50 characters remain without tags; the wrapped title counts."""
     return F.length(js_trim(strip_tags(content, ""))) >= MIN_TEXT
@@ -112,14 +113,8 @@ def sort_by_order(df: DataFrame) -> DataFrame:
 
 def normalize_order(chapters: DataFrame, limit: int | None = None) -> DataFrame:
     """Number each site's chapters 0..n-1 in their order."""
-
-    def scan(thin: DataFrame) -> DataFrame:
-        out = ordered_scan(thin, ["site"], [F.col("order"), F.col("page_id")], position="_at", limit=limit)
-        return out.select("site", "page_id", F.col("_at").alias("order"))
-
-    done = scan(chapters.select("site", "page_id", "order"))
-    wide = _rest(chapters, {"site", "page_id", "order"})
-    return chapters.select("site", "page_id", *wide).join(done, ["site", "page_id"]).select(*chapters.columns)
+    placed = ordered_scan(_keys(chapters), ["site"], _in_order(), position="_at", limit=limit)
+    return _with_content(chapters, placed.withColumn("order", F.col("_at")).drop("_at")).select(*chapters.columns)
 
 
 def resolve_duplicate_orders(df: DataFrame, collation: str | None = "UNICODE", limit: int | None = None) -> DataFrame:
@@ -127,16 +122,15 @@ def resolve_duplicate_orders(df: DataFrame, collation: str | None = "UNICODE", l
 
     Titles compare by ``collation``; None compares code points.
     """
-    thin = df.select("site", "page_id", "order", F.coalesce("title", F.lit("")).alias("_title"))
+    keys = _keys(df).withColumn("_title", F.coalesce("title", F.lit("")))
     title = F.collate("_title", collation) if collation else F.col("_title")
     # only sites with a repeated order take part in the numbering
-    repeated = thin.groupBy("site", "order").count().filter("count > 1").select("site").distinct()
-    affected = thin.join(repeated, "site", "left_semi")
-    placed = ordered_scan(affected, ["site"], [F.col("order"), title, F.col("page_id")], position="_at", limit=limit)
-    placed = placed.select("site", "page_id", "_at")
-    wide = [c for c in df.columns if c not in ("order",)]
-    joined = df.join(placed, ["site", "page_id"], "left")
-    return joined.select(*[F.coalesce("_at", "order").alias("order") if c == "order" else c for c in df.columns])
+    repeated = keys.groupBy("site", "order").count().filter("count > 1").select("site").distinct()
+    order = [F.col("order"), title, F.col("page_id")]
+    placed = ordered_scan(keys.join(repeated, "site", "left_semi"), ["site"], order, position="_at", limit=limit)
+    placed = placed.withColumn("order", F.col("_at")).drop("_at", "_title")
+    done = keys.join(repeated, "site", "left_anti").drop("_title").unionByName(placed)
+    return _with_content(df, done).select(*df.columns)
 
 
 def move_chapter(chapters: DataFrame, from_index: int, to_index: int, by_position: bool = False) -> DataFrame:
@@ -147,19 +141,14 @@ def move_chapter(chapters: DataFrame, from_index: int, to_index: int, by_positio
     """
     if from_index == to_index:
         return chapters
-    thin = chapters.select("site", "page_id", "order")
-    placed = ordered_scan(thin, ["site"], [F.col("order"), F.col("page_id")], position="_p")
+    placed = ordered_scan(_keys(chapters), ["site"], _in_order(), position="_p")
     p = F.col("_p")
-    if from_index < to_index:
-        # a site too short for the target gets the chapter at its end
-        moved = F.when(p == from_index, F.lit(to_index) + 0.5).otherwise(p.cast("double"))
-    else:
-        moved = F.when(p == from_index, F.lit(to_index) - 0.5).otherwise(p.cast("double"))
-    placed = placed.withColumn("_m", moved)
+    # between two places; a site too short for the target gets the chapter at its end
+    target = to_index + 0.5 if from_index < to_index else to_index - 0.5
+    placed = placed.withColumn("_m", F.when(p == from_index, F.lit(target)).otherwise(p.cast("double")))
     order = [F.col("_m")] if by_position else [F.col("order"), F.col("_m")]
-    done = ordered_scan(placed, ["site"], order, position="_at").select("site", "page_id", F.col("_at").alias("order"))
-    wide = _rest(chapters, {"site", "page_id", "order"})
-    return chapters.select("site", "page_id", *wide).join(done, ["site", "page_id"]).select(*chapters.columns)
+    done = ordered_scan(placed, ["site"], order, position="_at")
+    return _with_content(chapters, done.withColumn("order", F.col("_at")).drop("_at", "_m", "_p")).select(*chapters.columns)
 
 
 def detect_order_anomalies(chapters: DataFrame, limit: int | None = None) -> DataFrame:
@@ -177,10 +166,9 @@ def detect_order_anomalies(chapters: DataFrame, limit: int | None = None) -> Dat
 def group_by_section(chapters: DataFrame, limit: int | None = None) -> DataFrame:
     """``section`` of each chapter: the last heading like "Part I" up to it, else ``Main``."""
     header = F.when(F.col("title").rlike(SECTION), F.col("title"))
-    thin = chapters.select("site", "page_id", "order", header.alias("_header"))
-    out = ordered_scan(thin, ["site"], [F.col("order"), F.col("page_id")], lasts={"_last": F.col("_header")}, limit=limit)
-    done = out.select("site", "page_id", F.coalesce("_header", "_last", F.lit("Main")).alias("section"))
-    return chapters.join(done, ["site", "page_id"])
+    seen = ordered_scan(_keys(chapters).withColumn("_header", header), ["site"], _in_order(), lasts={"_last": F.col("_header")}, limit=limit)
+    done = seen.withColumn("section", F.coalesce("_header", "_last", F.lit("Main"))).drop("_header", "_last")
+    return _with_content(chapters, done)
 
 
 def section_sizes(grouped: DataFrame) -> DataFrame:
@@ -188,7 +176,30 @@ def section_sizes(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("site", "section").agg(F.count("*").alias("chapters"), F.min("order").alias("first_order"))
 
 
+def _text_size(content: Column) -> Column:
+    """Characters without tags from the wrapped content's body to its end."""
+    return F.length(F.rtrim(strip_tags(F.concat(F.coalesce(content, F.lit("")), F.lit(TAIL)), ""), F.lit(JS_SPACE)))
+
+
+def _is_long_enough(title: Column, size: Column) -> Column:
+    """``is_valid_chapter`` from the title and ``_text_size`` alone.
+
+    Around the title the envelope has white space only: trimmed before it, kept
+    between it and a body with text.
+    """
+    between = len(re.sub("<[^>]+>", "", MIDDLE))
+    return F.length(escape_xml(title)) + F.when(size > 0, size + between).otherwise(0) >= MIN_TEXT
+
+
 def build_chapters(pages: DataFrame, filter_empty: bool = True, limit: int | None = None) -> DataFrame:
-    """Pages of each site to numbered chapters."""
-    chapters = create_chapters(resolve_duplicate_orders(pages, limit=limit), limit)
-    return normalize_order(filter_valid_chapters(chapters) if filter_empty else chapters, limit)
+    """Pages of each site to numbered chapters.
+
+    Ordering, titles and the length filter work on a table of keys, written once;
+    page content is read for its text size and joined once at the end.
+    """
+    keys = pages.select("site", "page_id", "url", "title", "order", _text_size(F.col("content")).alias("_size"))
+    keys = materialize(keys, "chapter-keys")
+    titled = _titled_keys(resolve_duplicate_orders(keys, limit=limit), limit)
+    kept = titled.filter(_is_long_enough(F.col("title"), F.col("_size"))) if filter_empty else titled
+    kept = materialize(kept, "chapter-keys")
+    return _chapters(pages, normalize_order(kept, limit))

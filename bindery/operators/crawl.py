@@ -20,7 +20,7 @@ from bindery.operators.links import (
     select_strategy,
 )
 from bindery.operators.scan import lookup
-from bindery.session import materialize
+from bindery.session import materialize, materialize_counted
 from bindery.sources.html import KEY, html_nodes
 from bindery.sources.profiles import PROFILES, SIDEBAR_SELECTOR, Profile
 from bindery.operators.selectors import split_list
@@ -106,21 +106,23 @@ def follow_chain(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES)
     far, so 500 steps take nine rounds; each round is a table of its own. Many pages
     may share one successor, which the lookup spreads.
     """
-    jump = materialize(edges.select("site", F.col("page_id").alias("at"), F.col("next_id").alias("to")), "jump")
-    reached = materialize(seeds.select("site", F.col("page_id").alias("at"), F.lit(0).alias("order")), "reached")
-    size, step = reached.count(), 1
+    jump, jumps = materialize_counted(edges.select("site", F.col("page_id").alias("at"), F.col("next_id").alias("to")), "jump")
+    start = seeds.select("site", F.col("page_id").alias("at"), F.lit(0).alias("order"))
+    reached, size = materialize_counted(start, "reached")
+    step = 1
     while step < max_pages:
-        ahead = reached.join(jump, ["site", "at"]).select("site", F.col("to").alias("at"), (F.col("order") + step).alias("order"))
+        ahead = lookup(reached, jump, ["site", "at"], "inner", right_rows=jumps)
+        ahead = ahead.select("site", F.col("to").alias("at"), (F.col("order") + step).alias("order"))
         union = reached.unionByName(ahead).groupBy("site", "at").agg(F.min("order").alias("order"))
-        reached = materialize(union.filter(F.col("order") < max_pages), "reached")
-        grown = reached.count()
+        reached, grown = materialize_counted(union.filter(F.col("order") < max_pages), "reached")
         step *= 2
         if grown == size or step >= max_pages:
             break
         size = grown
         # twice the distance: look up where each jump's target jumps to
         onward = jump.select("site", F.col("at").alias("to"), F.col("to").alias("_to"))
-        jump = materialize(lookup(jump, onward, ["site", "to"], "inner").select("site", "at", F.col("_to").alias("to")), "jump")
+        longer = lookup(jump, onward, ["site", "to"], "inner", right_rows=jumps)
+        jump, jumps = materialize_counted(longer.select("site", "at", F.col("_to").alias("to")), "jump")
     return reached.select("site", F.col("at").alias("page_id"), "order")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bindery.functions.urls import resolve_url
 from bindery.operators.render import drop_subtrees, is_element, is_text, next_pos
 from bindery.operators.scan import lookup
+from bindery.session import materialize
 from bindery.sources.html import KEY
 
 # File extension and type by image format.
@@ -87,13 +88,14 @@ def match_images(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     images = catalog if "order" in catalog.columns else catalog.withColumn("order", F.lit(0))
     key = F.struct(F.col("order"), F.col("image_url")).alias("rank")
     images = images.select("site", F.col("url").alias("image_url"), "image_id", "filename", "order").select("*", key)
-    asked = refs.select("site", F.col("url").alias("ref")).distinct()
+    images = materialize(images, "images")
+    asked = materialize(refs.select("site", F.col("url").alias("ref")).distinct(), "refs")
     exact = lookup(
         asked, images.groupBy("site", F.col("image_url").alias("ref")).agg(F.min_by("image_id", "rank").alias("m1")), ["site", "ref"]
     )
     name = F.regexp_extract("ref", r"([^/]*)\z", 1)
     by_name = images.groupBy("site", F.col("filename").alias("name")).agg(F.min_by("image_id", "rank").alias("m2"))
-    named = lookup(exact.withColumn("name", name), by_name, ["site", "name"]).drop("name")
+    named = materialize(lookup(exact.withColumn("name", name), by_name, ["site", "name"]).drop("name"), "named")
 
     left = named.filter("m1 is null and m2 is null").select("site", "ref")
     def ends(df: DataFrame, text: str, of: DataFrame, other: str) -> DataFrame:

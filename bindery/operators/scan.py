@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.session import materialize
+from bindery.session import materialize, materialize_counted
 
 # rows of one group a single task may scan
 SAFE_GROUP_ROWS = 4_000_000
@@ -73,16 +73,17 @@ def ordered_scan(
     )
     # a group has at most one row per slice here
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["_slice", *by]
     carry = totals.select(
-        "_slice",
-        *by,
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
         *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in ("_n", *sums)],
         *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts],
     ).filter("_c__n is not null")
     # only the first group of a slice can continue from an earlier one: at most one row per slice
-    match = reduce(Column.__and__, [local[c].eqNullSafe(carry[c]) for c in ["_slice", *by]])
-    joined = local.join(F.broadcast(carry), match, "left").drop(carry["_slice"], *[carry[c] for c in by])
-    done = joined.drop("_slice", *[f"_s_{n}" for n in sums], *[f"_l_{n}" for n in lasts])
+    match = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    joined = local.join(F.broadcast(carry), match, "left")
+    helpers = [f"_s_{n}" for n in sums] + [f"_l_{n}" for n in lasts] + [f"_k{i}" for i in range(len(keys))]
+    done = joined.drop("_slice", *helpers)
     if position:
         done = done.withColumn(position, (F.col(position) + F.coalesce("_c__n", F.lit(0))).cast("int"))
     for n in sums:
@@ -101,23 +102,33 @@ def _running(by, order, position, sums, lasts) -> list[Column]:
     return out
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", hot: int | None = None) -> DataFrame:
+def lookup(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "left",
+    right_rows: int | None = None,
+    hot: int = HOT_KEY_ROWS,
+) -> DataFrame:
     """Join ``left`` to the row of ``right`` with the same key, ``right`` being unique on ``on``.
 
-    A small ``right`` is broadcast after counting it. Otherwise the hot keys of
-    ``left`` are counted (combined map-side), their rows are spread over salts and
-    only the ``right`` rows of those keys are repeated per salt.
+    A small ``right`` is broadcast after counting it (or by the given count).
+    Otherwise the hot keys of ``left`` are counted, combined map-side; their rows are
+    spread over salts and only the ``right`` rows of those keys are repeated per salt.
+    Both sides may be read more than once, so pass tables or cheap expressions.
     """
-    hot = HOT_KEY_ROWS if hot is None else hot
-    if right.limit(SAFE_BROADCAST_ROWS + 1).count() <= SAFE_BROADCAST_ROWS and hot == HOT_KEY_ROWS:
+    if right_rows is None:
+        right_rows = right.limit(SAFE_BROADCAST_ROWS + 1).count()
+    if right_rows <= SAFE_BROADCAST_ROWS and hot >= HOT_KEY_ROWS:
         return left.join(F.broadcast(right), on, how)
-    heavy = materialize(left.groupBy(*on).count().filter(F.col("count") > hot).select(*on), "heavy")
-    # at most rows / hot keys; counted before it is broadcast
-    small = heavy.limit(SAFE_BROADCAST_ROWS + 1).count() <= SAFE_BROADCAST_ROWS
+    heavy, n = materialize_counted(left.groupBy(*on).count().filter(F.col("count") > hot).select(*on), "heavy")
+    if n == 0:
+        return left.join(right, on, how)
     marks = heavy.withColumn("_heavy", F.lit(True))
-    marks = F.broadcast(marks) if small else marks
-    spread = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    # at most rows / hot keys; the count is checked all the same
+    marks = F.broadcast(marks) if n <= SAFE_BROADCAST_ROWS else marks
+    salt = F.pmod(F.xxhash64(*[c for c in left.columns if c not in on] or on), F.lit(SALTS)).cast("int")
     repeats = F.sequence(F.lit(0), F.when(F.col("_heavy"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
-    salted = left.join(marks, on, "left").withColumn("_salt", spread).drop("_heavy")
+    salted = left.join(marks, on, "left").withColumn("_salt", F.when(F.col("_heavy"), salt).otherwise(0)).drop("_heavy")
     copies = right.join(marks, on, "left").withColumn("_salt", F.explode(repeats)).drop("_heavy")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -56,8 +56,8 @@ def build_book_corpus(
     """Build the books of all sites.
 
     ``follow_links`` crawls from seeds; otherwise the stored pages are the crawl, in
-    page order, one per normalised URL. Normalised pages and chapters are written
-    once to the shared scratch area, as several tables are derived from each.
+    page order, one per normalised URL. Parsed pages, normalised pages and chapters
+    are written once to the shared scratch area, as several jobs read each.
     """
     if follow_links:
         crawled, lost = crawl_sites(pages, seeds, profiles)
@@ -66,7 +66,7 @@ def build_book_corpus(
             "site", "page_id", "url", "html", page_title(F.col("html")).alias("title"), F.col("page_id").alias("order")
         )
         lost = None
-    parsed = parse_pages(crawled, profiles, carry=("order",))
+    parsed = materialize(parse_pages(crawled, profiles, carry=("order",)), "parsed")
     parsed = normalize_pages(parsed)
     parsed = materialize(fail_fast(parsed).withColumn("error_code", F.lit(None).cast("string")) if stop_on_error else parsed, "normalized")
     good, bad = split_errors(parsed)

@@ -313,7 +313,7 @@ ORACLES: dict[str, str] = {
     "toc_content": f"""with {turns('role')} select site, 'toc.xhtml' as filename, 'Table of Contents' as title, md5({lit(TOC_HEAD.replace('{title}', 'Table of Contents'))} ||
       string_agg('<li><a href="' || id || '.xhtml">' || {escaped('title')} || '</a></li>', chr(10) order by "order") || {lit(TOC_TAIL)}) as data_md5, true as exclude_from_toc, true as before_toc from t group by site""",
     "infer_metadata": f"""with {CHAPTERS} select site, {got('site', '^https?://(?:www[.])?(.*)')} as publisher, description from {DESCRIPTION}""",
-    "infer_publisher": f"""select page_id, case page_id % 4 when 1 then {got('url', '^https?://(?:www[.])?([^/]*)[.]example')} when 3 then 'Read the Docs' else {got('url', '^https?://(?:www[.])?([^/]*)')} end as publisher from pages""",
+    "infer_publisher": f"""select page_id, case page_id % 4 when 1 then {got('url', '^https?://(?:www[.])?([^/]*)[.]example')} when 2 then {got('url', '^https?://([^/]*)')} when 3 then 'Read the Docs' else {got('url', '^https?://(?:www[.])?([^/]*)')} end as publisher from pages""",
     "create_books": f"""with {CHAPTERS} select site, min_by(title, page_id) as title, 'Unknown' as author, 'en' as language from ch group by site""",
     "enrich_metadata": f"""with {CHAPTERS}, f as (select site, min_by(source_url, page_id) as url from ch group by site)
       select f.site, {url_title()} as title, {got('f.site', '^https?://(?:www[.])?(.*)')} as publisher, description from f join {DESCRIPTION} as x on x.site = f.site""",
