@@ -20,10 +20,10 @@ from bindery.operators.links import (
     select_strategy,
 )
 from bindery.operators.scan import lookup
+from bindery.operators.selectors import split_list
 from bindery.session import materialize, materialize_counted
 from bindery.sources.html import KEY, html_nodes
 from bindery.sources.profiles import PROFILES, SIDEBAR_SELECTOR, Profile
-from bindery.operators.selectors import split_list
 
 MAX_PAGES = 500
 
@@ -55,7 +55,7 @@ def _linked_pages(seeds: DataFrame, links: DataFrame, index: DataFrame, seed_fir
 
     A site has one seed, so a site's links are those of one page.
     """
-    targets = links.select("site", F.col("href").alias("norm_url"), "text", F.col("order").alias("_at"))
+    targets = materialize(links.select("site", F.col("href").alias("norm_url"), "text", F.col("order").alias("_at")), "targets")
     known = lookup(targets, index, ["site", "norm_url"])
     missing = known.filter("page_id is null").select("site", F.col("norm_url").alias("href"), "text")
     start = seeds.select("site", "page_id", normalize_url(F.col("url")).alias("norm_url"))
