@@ -65,32 +65,32 @@ def ordered_scan(
 
     newest = Window.partitionBy("_slice", *by).orderBy(*order)
     last_value = [
-        F.max_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("_n"))).alias(f"_c_{n}") for n, c in held_lasts.items()
+        F.max_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("_row"))).alias(f"_c_{n}") for n, c in held_lasts.items()
     ]
-    numbered = table.withColumn("_n", F.row_number().over(newest)) if lasts else table
+    numbered = table.withColumn("_row", F.row_number().over(newest)) if lasts else table
     totals = numbered.groupBy("_slice", *by).agg(
-        F.count("*").alias("_c__n"), *[F.sum(c).alias(f"_c_{n}") for n, c in held_sums.items()], *last_value
+        F.count("*").alias("_count"), *[F.sum(c).alias(f"_c_{n}") for n, c in held_sums.items()], *last_value
     )
     # a group has at most one row per slice here
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     keys = ["_slice", *by]
     carry = totals.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
-        *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in ("_n", *sums)],
+        *[F.sum(c).over(earlier).alias(c) for c in ("_count", *[f"_c_{n}" for n in sums])],
         *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts],
-    ).filter("_c__n is not null")
+    ).filter("_count is not null")
     # only the first group of a slice can continue from an earlier one: at most one row per slice
     match = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
     joined = local.join(F.broadcast(carry), match, "left")
     helpers = [f"_s_{n}" for n in sums] + [f"_l_{n}" for n in lasts] + [f"_k{i}" for i in range(len(keys))]
     done = joined.drop("_slice", *helpers)
     if position:
-        done = done.withColumn(position, (F.col(position) + F.coalesce("_c__n", F.lit(0))).cast("int"))
+        done = done.withColumn(position, (F.col(position) + F.coalesce("_count", F.lit(0))).cast("int"))
     for n in sums:
         done = done.withColumn(n, F.col(n) + F.coalesce(f"_c_{n}", F.lit(0)))
     for n in lasts:
         done = done.withColumn(n, F.coalesce(n, f"_c_{n}"))
-    return done.drop("_c__n", *[f"_c_{n}" for n in (*sums, *lasts)])
+    return done.drop("_count", *[f"_c_{n}" for n in (*sums, *lasts)])
 
 
 def _running(by, order, position, sums, lasts) -> list[Column]:

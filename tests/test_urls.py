@@ -67,8 +67,8 @@ KINDS = [
 
 def check(spark, cases, columns, expected, **exprs):
     names = [c.split()[0] for c in columns.split(", ")]
-    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"i int, {columns}").orderBy("i")
-    rows = df.select("i", *[e.alias(n) for n, e in exprs.items()]).collect()
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"case int, {columns}")
+    rows = df.select("case", *[e.alias(n) for n, e in exprs.items()]).collect()
     got = [tuple(r[1:]) for r in sorted(rows)]
     assert got == [tuple(c[names.index(n)] for n in expected) for c in cases]
 
