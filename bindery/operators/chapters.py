@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions.strings import JS_SPACE, escape_xml, js_trim, sanitize_title, strip_tags
 from bindery.functions.urls import path_id
-from bindery.operators.scan import ordered_scan
+from bindery.operators.scan import lookup, ordered_scan
 from bindery.session import materialize
 
 MIN_TEXT = 50
@@ -125,11 +125,12 @@ def resolve_duplicate_orders(df: DataFrame, collation: str | None = "UNICODE", l
     keys = _keys(df).withColumn("_title", F.coalesce("title", F.lit("")))
     title = F.collate("_title", collation) if collation else F.col("_title")
     # only sites with a repeated order take part in the numbering
-    repeated = keys.groupBy("site", "order").count().filter("count > 1").select("site").distinct()
+    repeated = keys.groupBy("site", "order").count().filter("count > 1").select("site", F.lit(True).alias("_again")).distinct()
+    flagged = lookup(keys, repeated, ["site"])
     order = [F.col("order"), title, F.col("page_id")]
-    placed = ordered_scan(keys.join(repeated, "site", "left_semi"), ["site"], order, position="_at", limit=limit)
+    placed = ordered_scan(flagged.filter("_again").drop("_again"), ["site"], order, position="_at", limit=limit)
     placed = placed.withColumn("order", F.col("_at")).drop("_at", "_title")
-    done = keys.join(repeated, "site", "left_anti").drop("_title").unionByName(placed)
+    done = flagged.filter("_again is null").drop("_again", "_title").unionByName(placed)
     return _with_content(df, done).select(*df.columns)
 
 

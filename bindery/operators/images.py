@@ -104,11 +104,15 @@ def match_images(refs: DataFrame, catalog: DataFrame) -> DataFrame:
         sized = lookup(df, sizes, ["site"], "inner").withColumn("n", F.explode("sizes")).drop("sizes")
         return sized.filter(F.col("n") <= F.length(text)).withColumn("end", F.expr(f"right({text}, n)")).drop("n")
 
-    one = ends(images, "image_url", left, "ref").join(left.withColumnRenamed("ref", "end"), ["site", "end"])
-    one = one.select("site", F.col("end").alias("ref"), "rank", "image_id")
+    # many images may share an end: the best one per end is found before the join
+    best_end = ends(images, "image_url", left, "ref").groupBy("site", F.col("end").alias("ref"))
+    best_end = best_end.agg(F.min_by("image_id", "rank").alias("image_id"), F.min("rank").alias("rank"))
+    one = left.join(best_end, ["site", "ref"]).select("site", "ref", "rank", "image_id")
     tails = ends(left, "ref", images.join(left.select("site").distinct(), "site", "left_semi"), "image_url")
-    two = tails.join(images, (tails["site"] == images["site"]) & (tails["end"] == images["image_url"]))
-    two = two.select(tails["site"], "ref", "rank", "image_id")
+    by_url = images.groupBy("site", F.col("image_url").alias("end")).agg(
+        F.min_by("image_id", "rank").alias("image_id"), F.min("rank").alias("rank")
+    )
+    two = lookup(tails, by_url, ["site", "end"], "inner").select("site", "ref", "rank", "image_id")
     by_end = one.unionByName(two).groupBy("site", "ref").agg(F.min_by("image_id", "rank").alias("m3"))
     best = named.join(by_end, ["site", "ref"], "left")
     tier = F.when(F.col("m1").isNotNull(), 1).when(F.col("m2").isNotNull(), 2).when(F.col("m3").isNotNull(), 3)

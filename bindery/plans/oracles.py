@@ -44,7 +44,7 @@ def decode(x: str) -> str:
 
 def squash(x: str) -> str:
     """Digest of the text of HTML source, white space left out."""
-    return f"md5({decode(sub(sub(x, '<[^>]+>'), r'[\s\x0B]+'))})"
+    return f"md5({sub(sub(decode(x), '<[^>]+>'), r'[\s\x0B]+')})"
 
 
 def enc(x: str) -> str:
@@ -200,11 +200,19 @@ def attr_counts() -> str:
 TAGS = "select page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag from pages"
 WITH_EXTRA = " union all ".join([TAGS, *[f"select page_id, {lit(t)} from pages" for t in ("div", "br", "p", "img")]])
 
+# rendered text of an article: entities written the way the renderer does
+_BODY = trim(sub(sub(ARTICLE, "<[^>]+>"), r"[ \t]+", " "))
+_RENDERED = f"replace(replace(replace({decode(_BODY)}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+BOOK = f"""{P}, {SORTED_SITE}, t as (select *, {sanitized('raw')} as san from (select site, page_id, url, html, {trim(decode(H1))} as raw from canon)),
+  d as (select *, coalesce(sum(case when raw = san then 1 else 0 end) over (partition by site, san order by page_id rows between unbounded preceding and 1 preceding), 0) as k, row_number() over (partition by site order by page_id) - 1 as idx from t),
+  named as (select *, {chapter_id('url', 'idx')} as id, {sanitized("case when k > 0 then san || ' (' || (k + 1) || ')' else san end")} as title from d),
+  kept as (select * from named where length({escaped('title')}) + 5 + length({_RENDERED}) >= 50)"""
+
 ORACLES: dict[str, str] = {
     "read_pages": f"select {site()} as site, page_id, url, md5(html) as html_md5 from pages",
     "html_nodes": f"select page_id, tag, count(*) as n from ({TAGS}) where tag <> 'b' group by all",
     "html_text": "select page_id, md5(replace("
-    + decode(sub(sub("replace(html, '\"</p>\"', '\"' || chr(1) || '\"')", "<[^>]+>"), r"[\s\x0B]+"))
+    + sub(sub(decode("replace(html, '\"</p>\"', '\"' || chr(1) || '\"')"), "<[^>]+>"), r"[\s\x0B]+")
     + ", chr(1), '</p>')) as text_md5 from pages",
     "render_html": f"select page_id, {squash('html')} as text_md5 from pages",
     "resolve_url": f"with {A} select page_id, pos, r as resolved from a",
@@ -327,8 +335,7 @@ ORACLES: dict[str, str] = {
       select site, chapters_count, 0::bigint as images_count, total_size, case when total_size < 1024 then total_size || ' B' when total_size < 1048576 then printf('%.1f KB', floor(total_size / 1024.0 * 10 + 0.5) / 10)
       else printf('%.1f MB', floor(total_size / 1048576.0 * 10 + 0.5) / 10) end as size_text from r""",
     "split_errors": "select page_id, case when page_id % 10 = 0 then 'NO_CONTENT_FOUND' else 'OK' end as status from pages",
-    "book_corpus": f"""with {P}, {SORTED_SITE} select site, {metadata(f'min_by({TITLE}, page_id)')} as title, {got('site', '^https?://(?:www[.])?(.*)')} as publisher, count(*) as chapters_count, 0::bigint as images_count from canon group by site""",
-    "book_chapters": f"""with {P}, {SORTED_SITE}, t as (select *, {sanitized('raw')} as san from (select site, page_id, url, {trim(decode(H1))} as raw from canon)),
-      d as (select *, coalesce(sum(case when raw = san then 1 else 0 end) over (partition by site, san order by page_id rows between unbounded preceding and 1 preceding), 0) as k, row_number() over (partition by site order by page_id) - 1 as idx from t)
-      select site, page_id, {chapter_id('url', 'idx')} as id, {sanitized("case when k > 0 then san || ' (' || (k + 1) || ')' else san end")} as title, idx::int as "order" from d""",
+    "book_corpus": f"""with {BOOK} select canon.site, {metadata(f'min_by({TITLE}, canon.page_id)')} as title, {got('canon.site', '^https?://(?:www[.])?(.*)')} as publisher,
+      any_value(n) as chapters_count, 0::bigint as images_count from canon join (select site, count(*) as n from kept group by site) as k on k.site = canon.site group by canon.site""",
+    "book_chapters": f"""with {BOOK} select site, page_id, id, title, (row_number() over (partition by site order by page_id) - 1)::int as "order" from kept""",
 }

@@ -25,8 +25,9 @@ from bindery.operators.quality import split_errors
 from bindery.operators.render import render_html
 from bindery.operators.scan import ordered_scan
 from bindery.plans.corpus import build_book_corpus
+from bindery.session import materialize
 from bindery.sources.html import html_nodes
-from bindery.sources.pages import read_pages
+from bindery.sources.pages import read_pages, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,10 @@ def _raw(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(_raw(spark, sf, "documents"), "doc_id")
+
+
 def _squashed(html: Column) -> Column:
     """Digest of the text of an HTML string, white space left out."""
     text = F.regexp_replace(F.regexp_replace(html, "<[^>]+>", ""), r"\s+", "")
@@ -420,7 +425,7 @@ def _titled(spark, sf, by_language=False):
 def sanitize_title(spark, sf):
     """Titles of pages, and whole documents as titles."""
     pages = _pages(spark, sf).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), S.sanitize_title(S.page_title(F.col("html"))).alias("title"))
-    docs = _raw(spark, sf, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), S.sanitize_title(F.col("text")).alias("title"))
+    docs = _documents(spark, sf).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), S.sanitize_title(F.col("text")).alias("title"))
     return pages.unionByName(docs)
 
 
@@ -590,7 +595,7 @@ def enrich_metadata(spark, sf):
 
 
 def sanitize_metadata(spark, sf):
-    docs = _raw(spark, sf, "documents")
+    docs = _documents(spark, sf)
     return docs.select("doc_id", F.md5(S.sanitize_metadata_field(F.col("text"))).alias("text_md5"))
 
 
@@ -600,7 +605,7 @@ def book_options(spark, sf):
 
 
 def output_filename(spark, sf):
-    docs = _raw(spark, sf, "documents")
+    docs = _documents(spark, sf)
     return docs.select("doc_id", B.output_filename(F.col("text")).alias("filename"))
 
 
@@ -620,7 +625,8 @@ def build_report(spark, sf):
 def split_errors_query(spark, sf):
     """Every tenth page has next to nothing to say."""
     thin = F.when(F.col("page_id") % 10 == 0, F.lit("<body><p>hi</p></body>")).otherwise(F.col("html"))
-    good, bad = split_errors(C.parse_pages(_pages(spark, sf).withColumn("html", thin)))
+    parsed = materialize(C.parse_pages(_pages(spark, sf).withColumn("html", thin)), "parsed")
+    good, bad = split_errors(parsed)
     return good.select("page_id", F.lit("OK").alias("status")).unionByName(bad.select("page_id", F.col("error_code").alias("status")))
 
 
