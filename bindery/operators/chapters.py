@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions.strings import JS_SPACE, escape_xml, js_trim, sanitize_title, strip_tags
 from bindery.functions.urls import path_id
-from bindery.operators.scan import lookup, ordered_scan
+from bindery.operators.scan import group_sizes, lookup, ordered_scan
 from bindery.session import materialize
 
 MIN_TEXT = 50
@@ -45,7 +45,7 @@ def _in_order() -> list[Column]:
     return [F.col("order"), F.col("page_id")]
 
 
-def dedupe_titles(pages: DataFrame, limit: int | None = None) -> DataFrame:
+def dedupe_titles(pages: DataFrame, limit: int | None = None, at_most: int | None = None) -> DataFrame:
     """Replace ``title`` by its sanitised form, numbered where it repeats.
 
     The number counts earlier pages of the site whose raw title equals this
@@ -54,7 +54,7 @@ def dedupe_titles(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """
     keys = _keys(pages).withColumn("_raw", F.coalesce("title", F.lit(""))).withColumn("_san", sanitize_title(F.col("title")))
     same = F.when(F.col("_raw") == F.col("_san"), 1).otherwise(0)
-    counted = ordered_scan(keys, ["site", "_san"], _in_order(), sums={"_n": same}, limit=limit)
+    counted = ordered_scan(keys, ["site", "_san"], _in_order(), sums={"_n": same}, limit=limit, at_most=at_most)
     numbered = F.concat("_san", F.lit(" ("), (F.col("_n") + 1).cast("string"), F.lit(")"))
     # an unnumbered title is sanitised already
     title = F.when(F.col("_n") > 0, sanitize_title(numbered)).otherwise(F.col("_san"))
@@ -77,10 +77,10 @@ def wrap_chapter(content: Column, title: Column) -> Column:
     return F.concat(F.lit(HEAD), escape_xml(title), F.lit(MIDDLE), content, F.lit(TAIL))
 
 
-def _titled_keys(keys: DataFrame, limit: int | None) -> DataFrame:
+def _titled_keys(keys: DataFrame, limit: int | None, at_most: int | None = None) -> DataFrame:
     """Keys with final titles and chapter ids."""
-    titled = dedupe_titles(keys, limit)
-    indexed = ordered_scan(titled, ["site"], _in_order(), position="_index", limit=limit)
+    titled = dedupe_titles(keys, limit, at_most)
+    indexed = ordered_scan(titled, ["site"], _in_order(), position="_index", limit=limit, at_most=at_most)
     return indexed.withColumn("id", chapter_id(F.col("url"), F.col("_index"))).drop("_index")
 
 
@@ -95,7 +95,8 @@ def _chapters(pages: DataFrame, keys: DataFrame) -> DataFrame:
 
 def create_chapters(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Chapters from pages with ``title, content, order, url``; their place in the site gives the index."""
-    return _chapters(pages, _titled_keys(pages.select("site", "page_id", "url", "title", "order"), limit))
+    keys = pages.select("site", "page_id", "url", "title", "order")
+    return _chapters(pages, _titled_keys(keys, limit, group_sizes(keys, ["site"])[0]))
 
 
 def is_valid_chapter(content: Column) -> Column:
@@ -111,13 +112,15 @@ def sort_by_order(df: DataFrame) -> DataFrame:
     return df.orderBy("site", "order", "page_id")
 
 
-def normalize_order(chapters: DataFrame, limit: int | None = None) -> DataFrame:
+def normalize_order(chapters: DataFrame, limit: int | None = None, at_most: int | None = None) -> DataFrame:
     """Number each site's chapters 0..n-1 in their order."""
-    placed = ordered_scan(_keys(chapters), ["site"], _in_order(), position="_at", limit=limit)
+    placed = ordered_scan(_keys(chapters), ["site"], _in_order(), position="_at", limit=limit, at_most=at_most)
     return _with_content(chapters, placed.withColumn("order", F.col("_at")).drop("_at")).select(*chapters.columns)
 
 
-def resolve_duplicate_orders(df: DataFrame, collation: str | None = "UNICODE", limit: int | None = None) -> DataFrame:
+def resolve_duplicate_orders(
+    df: DataFrame, collation: str | None = "UNICODE", limit: int | None = None, at_most: int | None = None
+) -> DataFrame:
     """Number a site again by (order, title) if any order repeats in it, else leave it.
 
     Titles compare by ``collation``; None compares code points.
@@ -128,7 +131,7 @@ def resolve_duplicate_orders(df: DataFrame, collation: str | None = "UNICODE", l
     repeated = keys.groupBy("site", "order").count().filter("count > 1").select("site", F.lit(True).alias("_again")).distinct()
     flagged = lookup(keys, repeated, ["site"])
     order = [F.col("order"), title, F.col("page_id")]
-    placed = ordered_scan(flagged.filter("_again").drop("_again"), ["site"], order, position="_at", limit=limit)
+    placed = ordered_scan(flagged.filter("_again").drop("_again"), ["site"], order, position="_at", limit=limit, at_most=at_most)
     placed = placed.withColumn("order", F.col("_at")).drop("_at", "_title")
     done = flagged.filter("_again is null").drop("_again", "_title").unionByName(placed)
     return _with_content(df, done).select(*df.columns)
@@ -200,7 +203,9 @@ def build_chapters(pages: DataFrame, filter_empty: bool = True, limit: int | Non
     """
     keys = pages.select("site", "page_id", "url", "title", "order", _text_size(F.col("content")).alias("_size"))
     keys = materialize(keys, "chapter-keys")
-    titled = _titled_keys(resolve_duplicate_orders(keys, limit=limit), limit)
+    # no later group is larger than the largest site
+    largest, _ = group_sizes(keys, ["site"])
+    placed = resolve_duplicate_orders(keys, limit=limit, at_most=largest)
+    titled = _titled_keys(placed, limit, largest)
     kept = titled.filter(_is_long_enough(F.col("title"), F.col("_size"))) if filter_empty else titled
-    kept = materialize(kept, "chapter-keys")
-    return _chapters(pages, normalize_order(kept, limit))
+    return _chapters(pages, normalize_order(materialize(kept, "chapter-keys"), limit, largest))

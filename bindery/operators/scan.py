@@ -40,17 +40,19 @@ def ordered_scan(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     limit: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add columns computed over the earlier rows of each group.
 
     ``position`` is the 0-based place in the group, ``sums`` the sum over earlier
     rows (0 at the start), ``lasts`` the last non-null value among earlier rows.
     ``order`` must be total inside a group. Pass narrow rows: ``df`` is read more
-    than once.
+    than once. ``at_most`` is a known bound on the rows of any group, which saves
+    counting when it is small enough.
     """
     sums, lasts = sums or {}, lasts or {}
     limit = SAFE_GROUP_ROWS if limit is None else limit
-    largest, total = group_sizes(df, by)
+    largest, total = (at_most, 0) if at_most is not None and at_most <= limit else group_sizes(df, by)
     if largest <= limit:
         return df.select("*", *_running(by, order, position, sums, lasts))
 

@@ -24,6 +24,8 @@ def get_spark(app: str = "bindery", cores: str = "*") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # call sites of column expressions are not recorded: plans here are long
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
