@@ -156,16 +156,25 @@ def crawl_sites(
     by_profile = {p.name: split_list(p.selector if p.strategy in ("sidebar", "links") and p.selector else SIDEBAR_SELECTOR) for p in known}
     by_profile["default"] = split_list(SIDEBAR_SELECTOR)
     next_by_profile = {p.name: [p.next_selector] for p in known if p.strategy == "pagination" and p.next_selector}
-    side, lost1 = crawl_sidebar(starts.filter("strategy = 'sidebar'"), index, by_profile)
-    every, lost2 = crawl_all_links(starts.filter("strategy = 'auto'"), index)
-    found, lost = side.unionByName(every), lost1.unionByName(lost2)
-    groups = [(None, F.lit(True) if not next_by_profile else ~F.col("profile").isin(*next_by_profile))]
-    groups += [(s, F.col("profile") == name) for name, s in next_by_profile.items()]
-    for selectors, which in groups:
-        walkers = starts.filter("strategy = 'pagination'").filter(which)
-        sites = walkers.select("site")
-        chain, lost3 = crawl_pagination(walkers, pages.join(sites, "site", "left_semi"), index, selectors)
-        found, lost = found.unionByName(chain), lost.unionByName(lost3)
+    # at most one row per kind of strategy
+    used = {r.strategy for r in chosen.select("strategy").distinct().collect()}
+    parts = []
+    if "sidebar" in used:
+        parts.append(crawl_sidebar(starts.filter("strategy = 'sidebar'"), index, by_profile))
+    if "auto" in used:
+        parts.append(crawl_all_links(starts.filter("strategy = 'auto'"), index))
+    if "pagination" in used:
+        groups = [(None, F.lit(True) if not next_by_profile else ~F.col("profile").isin(*next_by_profile))]
+        groups += [(s, F.col("profile") == name) for name, s in next_by_profile.items()]
+        for selectors, which in groups:
+            walkers = starts.filter("strategy = 'pagination'").filter(which)
+            own = pages.join(walkers.select("site"), "site", "left_semi")
+            parts.append(crawl_pagination(walkers, own, index, selectors))
+    none = F.lit(None).cast("string")
+    found = chosen.filter("false").select("site", "page_id", none.alias("link_text"), F.lit(0).alias("order"))
+    lost = chosen.filter("false").select("site", none.alias("href"), none.alias("text"))
+    for some, missing in parts:
+        found, lost = found.unionByName(some), lost.unionByName(missing)
     found = materialize(found, "crawled")
 
     title = or_else(page_title(F.col("html")), F.coalesce("link_text", F.lit("")))
