@@ -7,21 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import quality, secrets
+from bindery.llm import mixing, quality, secrets, warc
 from bindery.llm.common import read_table
 
 
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives and read back."""
+    return warc.page_records(warc.write_warc(read_table(spark, sf_dir, "pages")))
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stands for a repository and its source for the owner."""
     return secrets.scan_report(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
 
 
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(read_table(spark, sf_dir, "documents"))
+
+
 def quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_metrics(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_round_trip": warc_round_trip,
     "op7_secret_ownership": secret_scan,
+    "op9_source_mix": source_mix,
     "op10_compression_bands": quality_bands,
 }
 ORACLES: dict[str, str] = {}
