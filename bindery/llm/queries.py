@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import mixing, quality, secrets, warc
+from bindery.llm import mixing, packing, quality, secrets, warc
 from bindery.llm.common import read_table
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read_table(spark, sf_dir, "documents"))
+
+
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back."""
     return warc.page_records(warc.write_warc(read_table(spark, sf_dir, "pages")))
@@ -30,6 +34,7 @@ def quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bin_completion": packed,
     "op2_warc_round_trip": warc_round_trip,
     "op7_secret_ownership": secret_scan,
     "op9_source_mix": source_mix,
