@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import mixing, packing, quality, secrets, warc
+from bindery.llm import linededup, mixing, packing, quality, secrets, spans, warc
 from bindery.llm.common import read_table
 
 
@@ -20,6 +20,14 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.write_warc(read_table(spark, sf_dir, "pages")))
 
 
+def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(read_table(spark, sf_dir, "documents"))
+
+
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.deduplicated(read_table(spark, sf_dir, "documents"))
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stands for a repository and its source for the owner."""
     return secrets.scan_report(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
@@ -36,6 +44,8 @@ def quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_completion": packed,
     "op2_warc_round_trip": warc_round_trip,
+    "op4_winnowed_lines": line_runs,
+    "op5_sentence_spans": sentence_spans,
     "op7_secret_ownership": secret_scan,
     "op9_source_mix": source_mix,
     "op10_compression_bands": quality_bands,
