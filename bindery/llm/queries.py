@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import linededup, mixing, packing, quality, secrets, spans, warc
+from bindery.llm import fingerprint, linededup, mixing, packing, quality, secrets, spans, warc
 from bindery.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.write_warc(read_table(spark, sf_dir, "pages")))
 
 
+def paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_completion": packed,
     "op2_warc_round_trip": warc_round_trip,
+    "op3_paragraph_sketch": paragraph_sketches,
     "op4_winnowed_lines": line_runs,
     "op5_sentence_spans": sentence_spans,
     "op7_secret_ownership": secret_scan,
