@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import fingerprint, linededup, mixing, packing, quality, secrets, spans, warc
+from bindery.llm import fingerprint, jaccard, linededup, mixing, packing, quality, secrets, spans, warc
 from bindery.llm.common import read_table
 
 
@@ -37,6 +37,10 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
 
 
+def shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(read_table(spark, sf_dir, "documents"))
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_winnowed_lines": line_runs,
     "op5_sentence_spans": sentence_spans,
     "op7_secret_ownership": secret_scan,
+    "op8_lsh_forest_join": shingle_join,
     "op9_source_mix": source_mix,
     "op10_compression_bands": quality_bands,
 }
