@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import fingerprint, jaccard, linededup, mixing, packing, quality, secrets, spans, warc
+from bindery.llm import fingerprint, jaccard, linededup, mixing, oracles, packing, quality, quotes, secrets, spans, warc
 from bindery.llm.common import read_table
 
 
@@ -32,6 +32,14 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.deduplicated(read_table(spark, sf_dir, "documents"))
 
 
+def quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as mail: each turn quotes the two before it, nested; linked, unquoted and put in reply order again."""
+    found = quotes.conversations(quotes.quoting(read_table(spark, sf_dir, "conversations")))
+    as_ids = [F.col(a).cast("long").alias(b) for a, b in (("group", "conv_id"), ("number", "turn"))]
+    ends = [F.col(f"{a}_{b}").cast("long").alias(f"{a}_{c}") for a in ("reply_to", "thread") for b, c in (("group", "conv"), ("number", "turn"))]
+    return found.select(*as_ids, *ends, "depth", "n_quotes", "n_linked", "text")
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stands for a repository and its source for the owner."""
     return secrets.scan_report(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
@@ -55,9 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_paragraph_sketch": paragraph_sketches,
     "op4_winnowed_lines": line_runs,
     "op5_sentence_spans": sentence_spans,
+    "op6_quotation_threads": quotation_threads,
     "op7_secret_ownership": secret_scan,
     "op8_lsh_forest_join": shingle_join,
     "op9_source_mix": source_mix,
     "op10_compression_bands": quality_bands,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
