@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import materialize, per_batch
 
-SENTENCES = 3
+SENTENCES = 2
 WORDS = 15
 #: one word in so many ends a sentence by its hash
-CUT_WORDS = 16
+CUT_WORDS = 8
 STOPS = (".", "!", "?", "…", "。")
 WORD = re.compile(r"\S+")
 
