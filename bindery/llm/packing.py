@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -32,7 +33,9 @@ CAPACITY = 2048
 #: rows of one length per part when ranks are counted
 ROWS_PER_PART = 1_000_000
 #: words a worker keeps the ids of
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 1_500_000
+# one stop or comma between a letter and white space
+STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=\s|$)")
 ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
@@ -40,41 +43,39 @@ class Ids:
     """Token ids of whole texts as little-endian 32-bit integers, word by word.
 
     The tokenizer splits at white space before it does anything that looks at neighbours, so a
-    text's ids are those of its words in turn, and words recur.
+    text's ids are those of its words in turn, and words recur. Nor does it matter to it whether a
+    letter is upper case, or whether a single stop or comma behind a word stands apart.
     """
 
     def __init__(self, tokenizer, known: dict[str, bytes]):
         self.tokenizer, self.known = tokenizer, known
 
+    def words(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            plain = False
+        else:
+            plain = "<|" not in text
+        if plain:
+            text = STOP.sub(r" \1", text.lower())
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to split(), not to the tokenizer
+            return [w for w in ASCII_SPACE.split(text) if w]
+        return text.split()
+
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        core: dict[str, tuple[str, str]] = {}
-        for w in words:
-            # lower case and trailing stops are what the tokenizer makes of such a word anyway
-            if max(w) < "İ" and "<|" not in w:
-                low = w.lower()
-                stem = low.rstrip(".,")
-                core[w] = (stem, low[len(stem) :]) if stem.isalpha() else (low, "")
-            else:
-                core[w] = (w, "")
-        new = list({x for pair in core.values() for x in pair if x and x not in self.known})
+        new = list(words)
         for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
-        for w, (stem, tail) in core.items():
-            self.known[w] = self.known[stem] + (self.known[tail] if tail else b"")
+            self.known[word] = array("I", e.ids).tobytes()
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-            words = [w for w in ASCII_SPACE.split(text) if w] if odd else text.split()
-            missing = {w for w in words if w not in self.known}
-            if missing:
-                before = len(self.known)
-                self.learn(missing)
-                if len(self.known) < before:  # emptied in between
-                    self.learn(set(words))
+            words = self.words(text)
+            if len(self.known) > KEPT_WORDS:
+                self.known.clear()
             known = self.known
+            if missing := {w for w in words if w not in known}:
+                self.learn(missing)
             yield b"".join([known[w] for w in words])
 
 
