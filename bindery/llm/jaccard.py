@@ -152,38 +152,62 @@ def leaders(nodes: np.ndarray, signs: np.ndarray, covered: float = COVERED, near
     return out
 
 
+def rooted(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """For each node of ``pairs`` the smallest node it is connected to."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
 def prefix_matches(sets: DataFrame, depth: int) -> DataFrame:
-    """``a, b``: nodes and the leaders they are near to, over all trees."""
+    """``a, b``: nodes and the smallest node of the family they are near to under a prefix, over all trees."""
     cut, width = 4 * DEPTH, 4 * depth
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    members = sets.select("node", "signature", tree).withColumn("label", F.expr(f"substring(signature, tree * {cut} + 1, {cut})")).withColumn("prefix", F.expr(f"substring(label, 1, {width})"))
-    sizes = members.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    together = members.join(sizes, ["tree", "prefix"])
+    label = F.expr(f"substring(signature, tree * {cut} + 1, {cut})")
+    prefix = F.xxhash64("tree", F.expr(f"substring(signature, tree * {cut} + 1, {width})"))
+    # narrow rows find the prefixes that two texts share; signatures go only where they are compared
+    members = sets.select("node", "signature", tree).select("node", "tree", prefix.alias("prefix"))
+    sizes = members.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    together = members.join(sizes, "prefix")
     parts = F.ceil(F.col("rows") / PART_ROWS)
     dealt = together.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("parts", parts.cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for (t, prefix, _), held in grouped(batches, ["tree", "prefix", "part"]):
+            for (prefix, _), held in grouped(batches, ["prefix", "part"]):
                 nodes = np.array([r["node"] for r in held], np.int64)
                 signs = np.frombuffer(b"".join(r["signature"] for r in held), np.uint32).reshape(len(held), -1)
-                for a, b in leaders(nodes, signs):
-                    if a != b or held[0]["parts"] > 1:
-                        yield t, prefix, a, b, held[0]["parts"]
+                pairs = leaders(nodes, signs)
+                roots, leads = rooted(pairs), {b for _, b in pairs}
+                parts = held[0]["parts"]
+                for r in held:
+                    a = r["node"]
+                    if roots[a] != a or (parts > 1 and a in leads):
+                        yield prefix, r["tree"], a, roots[a], parts, a in leads
 
-        yield from _batches(rows(), ["tree", "prefix", "a", "b", "parts"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()])
+        names = ["prefix", "tree", "a", "b", "parts", "leads"]
+        yield from _batches(rows(), names, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()])
 
     def compared(rows: DataFrame) -> DataFrame:
-        columns = ["tree", "prefix", "part", "label", "node", "signature", "parts"]
-        sorted_rows = rows.select(*columns).repartition("tree", "prefix", "part").sortWithinPartitions("tree", "prefix", "part", "label", "node")
-        return sorted_rows.drop("label").mapInArrow(run, "tree int, prefix binary, a long, b long, parts int")
+        signed = rows.join(sets.select("node", "signature"), "node").withColumn("label", label)
+        columns = ["prefix", "part", "tree", "node", "signature", "parts"]
+        in_order = signed.repartition("prefix", "part").sortWithinPartitions("prefix", "part", "label", "node")
+        return in_order.select(*columns).mapInArrow(run, "prefix long, tree int, a long, b long, parts int, leads boolean")
 
     first = materialize(compared(dealt), "prefix-matches")
-    heads = first.filter("parts > 1 and a = b").select("tree", "prefix", F.col("a").alias("node"))
-    if heads.isEmpty():
-        return first.select("a", "b")
-    again = heads.join(members, ["tree", "prefix", "node"]).withColumns({"part": F.lit(0), "parts": F.lit(1)})
-    return first.select("a", "b").unionByName(compared(again).select("a", "b"))
+    heads = first.filter("parts > 1 and leads").select("prefix", "tree", F.col("a").alias("node"), F.lit(0).alias("part"), F.lit(1).alias("parts"))
+    near = first.filter("a <> b").select("a", "b")
+    return near if heads.isEmpty() else near.unionByName(compared(heads).select("a", "b"))
 
 
 def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
