@@ -13,7 +13,7 @@ The likeness of two texts is the Jaccard similarity of their digests, from the r
 differences. DataFrame functions only.
 
 Defined cases: a null text counts as empty; texts without a filled line have no digest, and two of
-them likeness 1; rows equal in ``doc_id`` and text are one document and give one row; documents are
+them likeness 1; a null ``doc_id`` is the least long; rows equal in ``doc_id`` and text are one document and give one row; documents are
 ordered by ``doc_id`` descending (null after all others), then by text key; a document alone is its own
 next; an empty table gives an empty result; other columns are ignored.
 """
@@ -185,10 +185,10 @@ def followers(table: DataFrame) -> DataFrame:
 def edited_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, d, k, n_chars, edited_sha256, own, edited, next``: digests of each text, its edited text and the next text. Written once."""
     text = F.coalesce("text", F.lit(""))
-    table = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
+    table = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
     keys = materialize(followers(table.select("d", "k", F.length("text").alias("n_chars"))), "followers")
     # one shuffle of the texts serves both joins; the second moves halves of texts only
-    whole = table.groupBy("d", "k").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    whole = table.groupBy("d", "k").agg(F.first("text").alias("text"))
     sent = whole.join(keys, ["d", "k"]).select(
         F.col("to_d").alias("d"), F.col("to_k").alias("k"), F.expr("substring(text, 1, half)").alias("tail"), digests(F.col("text")).alias("next")
     )
@@ -197,7 +197,7 @@ def edited_digests(docs: DataFrame) -> DataFrame:
     changed = both.withColumn("changed", edit)
     return materialize(
         changed.select(
-            "doc_id",
+            F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"),
             "d",
             "k",
             "n_chars",
