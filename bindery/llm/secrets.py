@@ -142,15 +142,18 @@ def scan_report(docs: DataFrame, repository: Column, owner: Column, max_owners:
         )
 
     def count(test) -> Column:
-        return F.coalesce(F.size(F.filter("s", test)), F.lit(0)).cast("long")
+        return F.size(F.filter("s", lambda x: test(x))).cast("long")
+
+    def of_kind(k: int) -> Column:
+        return count(lambda x: x["kind_no"] == k)
 
     out = scanned.select("uid", "doc_id").join(per_doc, "uid", "left").withColumn("s", F.coalesce("s", F.array()))
     return out.select(
         "doc_id",
-        *[count(lambda x, k=k: x["kind_no"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(joined(True), 256).alias("base_sha256"),
         joined(False).alias("spans"),
-        count(lambda x: x["kind_no"] == 3).alias("n_token"),
+        of_kind(3).alias("n_token"),
         count(lambda x: x["live"]).alias("n_live"),
         count(lambda x: ~x["live"]).alias("n_example"),
     )

@@ -2,7 +2,7 @@
 
 import random
 
-WORDS = [a + b for a in ("ba", "ko", "ri", "ta", "mel", "sun", "dor", "vi", "qua", "zen") for b in ("na", "lo", "mir", "tes", "un", "ga")]
+SYLLABLES = [a + b + c for a in "bcdfgklmnprstvwz" for b in "aeiou" for c in ("", "n", "r")]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: names that operators use for columns of their own
 CLASHING = "uid long, kept boolean, size long, label string, runs string, k long, d long, _row string, _doc string, start int, piece int, copies int"
@@ -12,7 +12,7 @@ def prose(seed, sentences, per_line=3):
     r = random.Random(seed)
     out = []
     for _ in range(sentences):
-        words = [r.choice(WORDS) + r.choice(["", "", "s", "de"]) for _ in range(r.randint(4, 14))]
+        words = ["".join(r.choice(SYLLABLES) for _ in range(r.choice((1, 1, 2, 2, 3, 4)))) for _ in range(r.randint(4, 14))]
         out.append(" ".join(words).capitalize() + ".")
     lines = [" ".join(out[i : i + per_line]) for i in range(0, len(out), per_line)]
     return "\n".join(lines)
