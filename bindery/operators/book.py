@@ -49,16 +49,15 @@ TOC_HEAD = """<?xml version="1.0" encoding="UTF-8"?>
     <ol>
 """
 TOC_TAIL = "\n    </ol>\n  </nav>\n</body>\n</html>"
-# entries of one table-of-contents page kept in one string
-PART_ENTRIES = 100_000
 
 
 def chapters_to_content(chapters: DataFrame) -> DataFrame:
-    """Package entries, one per chapter."""
+    """Package entries, one per chapter; a file is its parts' ``data`` in order, here one."""
     return chapters.select(
         "site",
         F.col("order").alias("seq"),
         F.concat("id", F.lit(".xhtml")).alias("filename"),
+        F.lit(0).alias("part"),
         "title",
         F.col("content").alias("data"),
         F.lit(False).alias("exclude_from_toc"),
@@ -148,37 +147,29 @@ def toc_lines(toc: DataFrame, limit: int | None = None) -> DataFrame:
     return seen.select("site", "page_id", "order", F.concat(line, ends).alias("line"))
 
 
-def toc_html(toc: DataFrame, title: str = TOC_TITLE, limit: int | None = None, part_entries: int = PART_ENTRIES) -> DataFrame:
-    """Table-of-contents page per site, as ``part`` strings to be joined in order.
+def toc_html(toc: DataFrame, title: str = TOC_TITLE, limit: int | None = None) -> DataFrame:
+    """Table-of-contents page per site as lines ``part, data``, to be joined in order of ``part``.
 
-    A site of up to ``part_entries`` entries has one part, the whole page.
+    The head is part 0, each entry a part of its own, and the tail comes last, whatever the size of a site.
     """
     lines = toc_lines(toc, limit)
     placed = ordered_scan(lines, ["site"], [F.col("order"), F.col("page_id")], position="_at", limit=limit)
-    placed = placed.withColumn("part", F.expr(f"_at div {part_entries}").cast("int"))
-    text = F.expr("listagg(line, '\\n') within group (order by _at)")
-    parts = placed.groupBy("site", "part").agg(text.alias("body"))
-    ends = parts.groupBy("site").agg(F.max("part").alias("last"))
     heading = escape_xml(F.lit(title))
     head = F.replace(F.lit(TOC_HEAD), F.lit("{title}"), heading)
-    return parts.join(ends, "site").select(
-        "site",
-        "part",
-        F.concat(
-            F.when(F.col("part") == 0, head).otherwise(F.lit("\n")),
-            "body",
-            F.when(F.col("part") == F.col("last"), F.lit(TOC_TAIL)).otherwise(""),
-        ).alias("data"),
-    )
+    entries = placed.select("site", (F.col("_at") + 1).alias("part"), F.concat(F.when(F.col("_at") > 0, "\n").otherwise(""), "line").alias("data"))
+    sizes = toc.groupBy("site").agg(F.count("*").alias("_n"))
+    first = sizes.select("site", F.lit(0).alias("part"), head.alias("data"))
+    last = sizes.select("site", (F.col("_n") + 1).cast("int").alias("part"), F.lit(TOC_TAIL).alias("data"))
+    return entries.unionByName(first).unionByName(last)
 
 
 def toc_content(chapters: DataFrame, limit: int | None = None) -> DataFrame:
-    """Package entry of a flat table of contents for every site with chapters."""
-    pages = toc_html(flat_toc(chapters), limit=limit)
-    return pages.select(
+    """Package entry of a flat table of contents for every site with chapters, as the lines of its file."""
+    return toc_html(flat_toc(chapters), limit=limit).select(
         "site",
-        (F.col("part") - F.lit(1 << 30)).alias("seq"),
+        F.lit(-1).alias("seq"),
         F.lit("toc.xhtml").alias("filename"),
+        "part",
         F.lit(TOC_TITLE).alias("title"),
         "data",
         F.lit(True).alias("exclude_from_toc"),

@@ -25,19 +25,24 @@ from bindery.session import materialize, materialize_counted
 from bindery.sources.html import KEY, html_nodes
 from bindery.sources.profiles import PROFILES, SIDEBAR_SELECTOR, Profile
 
-MAX_PAGES = 500
-
 
 def canonical_pages(pages: DataFrame, order: str = "page_id") -> DataFrame:
     """One page per site and normalised URL, the first by ``order``.
 
     Keys are reduced with map-side combining, so many copies of one URL meet as one
-    row per task; page bodies only take part in the join by page.
+    row per task. Only the keys of pages which give way take part in the join by page;
+    the result has ``norm_url`` last.
     """
-    first = pages.groupBy("site", normalize_url(F.col("url")).alias("norm_url")).agg(
-        F.min_by("page_id", F.struct(order, "page_id")).alias("page_id")
-    )
-    return pages.join(first, ["site", "page_id"])
+    return pages.join(merged_pages(pages, order), list(KEY), "left_anti").withColumn("norm_url", normalize_url(F.col("url")))
+
+
+def merged_pages(pages: DataFrame, order: str = "page_id") -> DataFrame:
+    """``site, page_id`` of the pages for which another of the same normalised URL stands."""
+    keys = pages.select("site", "page_id", F.col(order).alias("_order"), normalize_url(F.col("url")).alias("norm_url"))
+    place = F.struct("_order", "page_id")
+    first = keys.groupBy("site", "norm_url").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first <> _last")
+    every = keys.withColumn("_place", place).join(first, ["site", "norm_url"])
+    return every.filter("_place <> _first").select("site", "page_id")
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -98,25 +103,25 @@ def next_edges(pages: DataFrame, index: DataFrame, selectors: list[str] | None =
     return known.filter("next_id is not null").select(*KEY, "next_id"), missing
 
 
-def follow_chain(seeds: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def follow_chain(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Pages reached from each seed by following ``next_id``, numbered from 0.
 
-    Stops at a page without a successor, at a page already visited and after
-    ``max_pages``. Jumps of 1, 2, 4, … steps are joined with the pages reached so
-    far, so 500 steps take nine rounds; each round is a table of its own. Many pages
-    may share one successor, which the lookup spreads.
+    Stops at a page without a successor and at a page already visited. Jumps of
+    1, 2, 4, … steps are joined with the pages reached so far until a round reaches no
+    new one, so a chain of n pages takes about log n rounds; each is a table of its
+    own. Many pages may share one successor, which the lookup spreads.
     """
     jump, jumps = materialize_counted(edges.select("site", F.col("page_id").alias("at"), F.col("next_id").alias("to")), "jump")
     start = seeds.select("site", F.col("page_id").alias("at"), F.lit(0).alias("order"))
     reached, size = materialize_counted(start, "reached")
     step = 1
-    while step < max_pages:
+    while True:
         ahead = lookup(reached, jump, ["site", "at"], "inner", right_rows=jumps)
         ahead = ahead.select("site", F.col("to").alias("at"), (F.col("order") + step).alias("order"))
         union = reached.unionByName(ahead).groupBy("site", "at").agg(F.min("order").alias("order"))
-        reached, grown = materialize_counted(union.filter(F.col("order") < max_pages), "reached")
+        reached, grown = materialize_counted(union, "reached")
         step *= 2
-        if grown == size or step >= max_pages:
+        if grown == size:
             break
         size = grown
         # twice the distance: look up where each jump's target jumps to
@@ -146,7 +151,9 @@ def crawl_sites(
     are shredded.
     """
     known = PROFILES if profiles is None else profiles
-    starts = pages.join((default_seeds(pages) if seeds is None else seeds).select("site", "page_id"), ["site", "page_id"])
+    # one seed per site: of several, the first page
+    asked_for = pages.select("site", "page_id") if seeds is None else seeds.select("site", "page_id")
+    starts = pages.join(default_seeds(asked_for), ["site", "page_id"])
     starts = materialize(starts, "seeds")
     paginated = has_pagination(html_nodes(starts))
     chosen = materialize(select_strategy(starts, paginated, profiles), "strategies")
@@ -168,17 +175,19 @@ def crawl_sites(
         groups += [(s, F.col("profile") == name) for name, s in next_by_profile.items()]
         for selectors, which in groups:
             walkers = starts.filter("strategy = 'pagination'").filter(which)
-            own = pages.join(walkers.select("site"), "site", "left_semi")
+            # sites are marked on page keys; bodies are joined by page
+            marked = pages.select("site", "page_id").join(walkers.select("site"), "site", "left_semi")
+            own = pages.join(marked, ["site", "page_id"], "left_semi")
             parts.append(crawl_pagination(walkers, own, index, selectors))
     none = F.lit(None).cast("string")
     found = chosen.filter("false").select("site", "page_id", none.alias("link_text"), F.lit(0).alias("order"))
     lost = chosen.filter("false").select("site", none.alias("href"), none.alias("text"))
     for some, missing in parts:
         found, lost = found.unionByName(some), lost.unionByName(missing)
-    found = materialize(found, "crawled")
+    found = materialize(found.join(chosen.select("site", "profile"), "site"), "crawled")
 
     title = or_else(page_title(F.col("html")), F.coalesce("link_text", F.lit("")))
-    crawled = pages.join(found, ["site", "page_id"]).join(chosen.select("site", "profile", "strategy"), "site")
+    crawled = pages.join(found, ["site", "page_id"])
     crawled = crawled.select("site", "page_id", "url", "html", title.alias("title"), "order", "profile")
     failed = lost.select("site", F.col("href").alias("url"), F.lit("CRAWL_FAILED").alias("error_code"))
     asked = seeds.select("site") if seeds is not None else pages.select("site")

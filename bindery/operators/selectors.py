@@ -1,8 +1,8 @@
 """CSS selectors compiled to predicates over node rows.
 
-A selector is a chain of compounds joined by the descendant combinator. Only the
-list of selector strings is handled on the driver; matching is a projection plus,
-for descendant chains, a running maximum in page order.
+A selector is a chain of compounds joined by descendant and child combinators. Only
+the list of selector strings is handled on the driver; matching is a projection plus,
+for chains, a running maximum in page order.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions.sqltext import q, q_list
 from bindery.operators.render import before, is_element, is_text, next_pos, with_link_text
+from bindery.sources.html import KEY
 
 _SIMPLE = re.compile(
     r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)
@@ -32,6 +33,8 @@ class Compound:
     attrs: tuple[tuple[str, str | None, str | None], ...] = ()
     contains: tuple[str, ...] = ()
     empty: bool = False
+    #: joined to the compound before it by ">"
+    child: bool = False
 
     @property
     def plain_class(self) -> bool:
@@ -68,19 +71,24 @@ class Compound:
 
 
 def parse_selector(selector: str) -> list[list[Compound]] | None:
-    """Alternatives of a comma list, each a descendant chain; None when not understood."""
+    """Alternatives of a comma list, each a chain of compounds; None when not understood."""
     alternatives = []
     for part in re.split(r",(?![^\[(]*[\])])", selector):
         chain, at, part = [], 0, part.strip()
         fields: dict = {}
         while at < len(part):
-            if part[at].isspace():
-                if fields:
+            if part[at].isspace() or part[at] == ">":
+                if fields.keys() - {"child"}:
                     chain.append(fields)
-                fields, at = {}, at + 1
+                    fields = {}
+                if part[at] == ">":
+                    if not chain or fields:
+                        return None
+                    fields = {"child": True}
+                at += 1
                 continue
             m = _SIMPLE.match(part, at)
-            if not m or (m["tag"] and fields):
+            if not m or (m["tag"] and fields.keys() - {"child"}):
                 return None
             if m["tag"]:
                 fields["tag"] = None if m["tag"] == "*" else m["tag"].lower()
@@ -96,6 +104,8 @@ def parse_selector(selector: str) -> list[list[Compound]] | None:
             else:
                 fields.setdefault("contains", []).append(next(m[g] for g in ("cdq", "csq", "cbare") if m[g] is not None))
             at = m.end()
+        if fields == {"child": True}:
+            return None
         if fields:
             chain.append(fields)
         if not chain:
@@ -131,20 +141,44 @@ class Matcher:
         # one pass per ancestor level, so that all running maxima of a level share one window
         level = 1
         while any(len(chain) > level for chain in chains):
-            heads = {tuple(chain[:level]) for chain in chains if len(chain) > level}
+            heads = {tuple(chain[:level]) for chain in chains if len(chain) > level and not chain[level].child}
+            parents = {tuple(chain[:level]) for chain in chains if len(chain) > level and chain[level].child}
+            matcher._mark_children(sorted(parents, key=repr))
             columns = {}
             for head in sorted(heads, key=repr):
                 name = f"_in{len(matcher._flags)}"
-                matcher._flags[head] = name
+                matcher._flags[head, False] = name
                 reach = F.max(F.expr(f"case when {matcher._chain(head, False)} then end_pos end")).over(before())
                 columns[name] = F.coalesce(reach > F.col("pos"), F.lit(False))
             matcher.nodes = matcher.nodes.withColumns(columns)
             level += 1
         return matcher
 
+    def _mark_children(self, heads: list[tuple[Compound, ...]]) -> None:
+        """Flags for rows whose parent matches: an element one level up which is still open.
+
+        Matching elements come a second time at their children's level, where a running
+        maximum of their ends tells; the second rows are dropped after it.
+        """
+        if not heads:
+            return
+        ends = {f"_end{i}": F.expr(f"case when {self._chain(head, False)} then end_pos end") for i, head in enumerate(heads)}
+        matched = F.coalesce(*[F.col(c) for c in ends]).isNotNull()
+        twice = F.when(matched, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+        rows = self.nodes.withColumns(ends).withColumn("_up", F.explode(twice))
+        rows = rows.withColumn("_level", F.col("depth") + F.col("_up").cast("int"))
+        earlier = Window.partitionBy(*KEY, "_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        columns = {}
+        for i, head in enumerate(heads):
+            name = f"_in{len(self._flags)}"
+            self._flags[head, True] = name
+            reach = F.max(F.when(F.col("_up"), F.col(f"_end{i}"))).over(earlier)
+            columns[name] = F.coalesce(reach > F.col("pos"), F.lit(False))
+        self.nodes = rows.withColumns(columns).filter(~F.col("_up")).drop("_up", "_level", *ends)
+
     def _chain(self, chain: tuple[Compound, ...], contains: bool) -> str:
         own = chain[-1].sql(contains)
-        return f"({own} and {self._flags[tuple(chain[:-1])]})" if len(chain) > 1 else own
+        return f"({own} and {self._flags[tuple(chain[:-1]), chain[-1].child]})" if len(chain) > 1 else own
 
     def _any(self, selectors: list[str], contains: bool | None) -> str:
         chains = [tuple(chain) for s in selectors for chain in parse_selector(s) or []]

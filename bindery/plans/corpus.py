@@ -15,11 +15,12 @@ from bindery.operators.book import (
     create_books,
     enrich_metadata,
     hierarchical_toc,
+    toc_content,
     validate_books,
 )
 from bindery.operators.chapters import build_chapters
 from bindery.operators.content import parse_pages
-from bindery.operators.crawl import canonical_pages, crawl_sites
+from bindery.operators.crawl import canonical_pages, crawl_sites, merged_pages
 from bindery.operators.images import image_catalog, image_refs
 from bindery.operators.normalize import normalize_pages
 from bindery.operators.quality import fail_fast, split_errors
@@ -55,34 +56,43 @@ def build_book_corpus(
 ) -> Corpus:
     """Build the books of all sites.
 
+    Every crawled page ends up exactly once, as a chapter or as a row of ``errors``: pages
+    without content (NO_CONTENT_FOUND), with too little text for a chapter
+    (CHAPTER_TOO_SHORT), and copies of another page's URL (DUPLICATE_PAGE). Sites without
+    chapters have a book row and an error without a URL.
+
     ``follow_links`` crawls from seeds; otherwise the stored pages are the crawl, in
     page order, one per normalised URL. Parsed pages, normalised pages and chapters
     are written once to the shared scratch area, as several jobs read each.
     """
     if follow_links:
         crawled, lost = crawl_sites(pages, seeds, profiles)
+        lost = lost.withColumn("page_id", F.lit(None).cast("bigint"))
     else:
         crawled = canonical_pages(pages).select(
             "site", "page_id", "url", "html", page_title(F.col("html")).alias("title"), F.col("page_id").alias("order")
         )
-        lost = None
+        copies = pages.select("site", "page_id", "url").join(merged_pages(pages), ["site", "page_id"], "left_semi")
+        lost = copies.select("site", "page_id", "url", F.lit("DUPLICATE_PAGE").alias("error_code"))
     parsed = materialize(parse_pages(crawled, profiles, carry=("order",)), "parsed")
     parsed = normalize_pages(parsed)
     parsed = materialize(fail_fast(parsed).withColumn("error_code", F.lit(None).cast("string")) if stop_on_error else parsed, "normalized")
     good, bad = split_errors(parsed)
     chapters = materialize(build_chapters(good.select("site", "page_id", "url", "title", "content", "order")), "chapters")
-    images = image_catalog(image_refs(good))
-    first = good.select("site", "page_id", "url", F.col("crawl_title").alias("title"), "order")
+    chosen = [p.image_options["format"] for p in profiles or [] if p.image_options]
+    images = image_catalog(image_refs(good), format=chosen[0] if chosen else "jpeg")
+    first = parsed.select("site", "page_id", "url", F.col("crawl_title").alias("title"), "order")
     books = enrich_metadata(create_books(chapters, first, given, author), chapters)
-    errors = bad.select("site", "url", "error_code")
-    invalid = validate_books(books, chapters).select("site", F.lit(None).cast("string").alias("url"), "error_code")
-    errors = errors.unionByName(invalid)
-    errors = errors if lost is None else errors.unionByName(lost)
+    short = good.select("site", "page_id", "url").join(chapters.select("site", "page_id"), ["site", "page_id"], "left_anti")
+    none = F.lit(None)
+    invalid = validate_books(books, chapters).select("site", none.cast("bigint").alias("page_id"), none.cast("string").alias("url"), "error_code")
+    errors = bad.select("site", "page_id", "url", "error_code").unionByName(short.withColumn("error_code", F.lit("CHAPTER_TOO_SHORT")))
+    errors = errors.unionByName(invalid).unionByName(lost)
     return Corpus(
         chapters=chapters,
         toc=hierarchical_toc(chapters),
         books=book_options(books),
-        package_entries=chapters_to_content(chapters),
+        package_entries=chapters_to_content(chapters).unionByName(toc_content(chapters)),
         images=images,
         report=build_report(chapters, images),
         errors=errors,

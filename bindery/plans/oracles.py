@@ -227,8 +227,8 @@ ORACLES: dict[str, str] = {
     "url_keys": f"select page_id, {path_id()} as path_id, {BASE} as base_url, {url_title()} as title from pages",
     "url_kinds": f"""select page_id, regexp_matches({path('u')}, '(?i)[.]({'|'.join(IMAGE_EXTENSIONS)})$') as image,
       not regexp_matches(lower({path('u')}), {lit(ASSETS)}) as content from (select page_id, {KIND_URL} as u from pages)""",
-    "match_selectors": f"""select page_id, idx::int as selector_idx, n::bigint as n from (select page_id, unnest([0, 1, 2, 3]) as idx,
-      unnest([{n_of('html', '<a ')}, {n_of('html', '<p>')}, 1, 1]) as n from pages) where n > 0""",
+    "match_selectors": f"""select page_id, idx::int as selector_idx, n::bigint as n from (select page_id, unnest([0, 1, 2, 3, 5, 6]) as idx,
+      unnest([{n_of('html', '<a ')}, {n_of('html', '<p>')}, 1, 1, {n_of('html', '<a ')}, 1]) as n from pages) where n > 0""",
     "nav_links": f"""with {A}, {first_links(f"{IS_PAGE} and txt <> ''")} select page_id, href, text, "order" from l""",
     "all_links": f"""with {A}, {first_links(f"{IS_PAGE} and {IN_SITE}")} select page_id, href, text, "order" from l""",
     "chapter_links": f"""with {A}, {first_links(f"{IS_PAGE} and txt <> ''")}, m as (select * replace (case when "order" = 0 then 'Home' when "order" = 1 then 'Terms ' || text else text end as text) from l)
@@ -248,7 +248,8 @@ ORACLES: dict[str, str] = {
     "canonical_pages": f"with {P}, {SORTED_SITE} select site, page_id, norm_url from canon",
     "next_chain": f"""with {P}, r as (select site, page_id, row_number() over w - 1 as k, coalesce(sum(case when page_id % 11 = 0 then 1 else 0 end) over
       (partition by site order by md5(url), page_id rows between unbounded preceding and 1 preceding), 0) as broken from p window w as (partition by site order by md5(url), page_id))
-      select site, page_id, k::int as "order" from r where broken = 0 and k < 500""",
+      select site, page_id, k::int as "order" from r where broken = 0""",
+    "long_chain": """select 's' as site, doc_id as page_id, (row_number() over (order by md5(doc_id::varchar)) - 1)::int as "order" from documents""",
     "crawl_sidebar": f"""with {P}, r as (select site, page_id, row_number() over (partition by site order by page_id) - 1 as k, min(page_id) over (partition by site, {norm('url')}) as target from p),
       f as (select site, target, min(k) as k from r where k <= 3 group by all)
       select site, target as page_id, (row_number() over (partition by site order by k) - 1)::int as "order" from f""",
@@ -317,9 +318,20 @@ ORACLES: dict[str, str] = {
     "toc_level": f"""with {turns(LEVELLED)} select site, "order", {LEVEL} as level from t""",
     "hierarchical_toc": f"""with recursive {TOC} select pr.*, tree.depth from pr join tree using (site, id)""",
     "flatten_toc": f"""with {turns(LEVELLED)} select site, id, (row_number() over (partition by site order by "order") - 1)::int as seq from t""",
-    "toc_html": f"""with recursive {TOC} select site, 0 as part, count(*)::int as entries, count(*)::int as closed, (1 + count(distinct parent_id))::int as lists, (1 + count(distinct parent_id))::int as lists_closed from pr group by site""",
-    "toc_content": f"""with {turns('role')} select site, 'toc.xhtml' as filename, 'Table of Contents' as title, md5({lit(TOC_HEAD.replace('{title}', 'Table of Contents'))} ||
-      string_agg('<li><a href="' || id || '.xhtml">' || {escaped('title')} || '</a></li>', chr(10) order by "order") || {lit(TOC_TAIL)}) as data_md5, true as exclude_from_toc, true as before_toc from t group by site""",
+    "toc_html": f"""with recursive {TOC}, d as (select pr.site, pr.id, pr."order", tree.depth, t.title from pr join tree using (site, id) join t using (site, id)),
+      n as (select *, lead(depth) over (partition by site order by "order") as nx, row_number() over (partition by site order by "order") as k, count(*) over (partition by site) as cnt from d),
+      ln as (select site, k, case when k > 1 then chr(10) else '' end || case when nx > depth
+          then repeat('  ', depth) || '<li>' || chr(10) || repeat('  ', depth) || '  <a href="' || id || '.xhtml">' || {escaped('title')} || '</a>' || chr(10) || repeat('  ', depth) || '  <ol>'
+          else repeat('  ', depth) || '<li><a href="' || id || '.xhtml">' || {escaped('title')} || '</a></li>' end
+        || coalesce(list_aggregate(list_transform(range(depth - 1, coalesce(nx, 0) - 1, -1), lambda d: chr(10) || repeat('  ', d) || '  </ol>' || chr(10) || repeat('  ', d) || '</li>'), 'string_agg', ''), '') as data from n)
+      select site, k::int as part, md5(data) as data_md5 from ln
+      union all select distinct site, 0, md5({lit(TOC_HEAD.replace('{title}', 'Table of Contents'))}) from n
+      union all select distinct site, (cnt + 1)::int, md5({lit(TOC_TAIL)}) from n""",
+    "toc_content": f"""with {turns('role')}, n as (select *, row_number() over (partition by site order by "order") as k, count(*) over (partition by site) as cnt from t),
+      e as (select site, k::int as part, case when k > 1 then chr(10) else '' end || '<li><a href="' || id || '.xhtml">' || {escaped('title')} || '</a></li>' as data from n
+        union all select distinct site, 0, {lit(TOC_HEAD.replace('{title}', 'Table of Contents'))} from n
+        union all select distinct site, (cnt + 1)::int, {lit(TOC_TAIL)} from n)
+      select site, 'toc.xhtml' as filename, part, 'Table of Contents' as title, md5(data) as data_md5, true as exclude_from_toc, true as before_toc from e""",
     "infer_metadata": f"""with {CHAPTERS} select site, {got('site', '^https?://(?:www[.])?(.*)')} as publisher, description from {DESCRIPTION}""",
     "infer_publisher": f"""select page_id, case page_id % 4 when 1 then {got('url', '^https?://(?:www[.])?([^/]*)[.]example')} when 2 then {got('url', '^https?://([^/]*)')} when 3 then 'Read the Docs' else {got('url', '^https?://(?:www[.])?([^/]*)')} end as publisher from pages""",
     "create_books": f"""with {CHAPTERS} select site, min_by(title, page_id) as title, 'Unknown' as author, 'en' as language from ch group by site""",
@@ -337,5 +349,7 @@ ORACLES: dict[str, str] = {
     "split_errors": "select page_id, case when page_id % 10 = 0 then 'NO_CONTENT_FOUND' else 'OK' end as status from pages",
     "book_corpus": f"""with {BOOK} select canon.site, {metadata(f'min_by({TITLE}, canon.page_id)')} as title, {got('canon.site', '^https?://(?:www[.])?(.*)')} as publisher,
       any_value(n) as chapters_count, 0::bigint as images_count from canon join (select site, count(*) as n from kept group by site) as k on k.site = canon.site group by canon.site""",
+    "corpus_ledger": f"""with {P}, {SORTED_SITE} select p.page_id, case when c.page_id is null then 'DUPLICATE_PAGE' when p.page_id % 10 = 3 then 'NO_CONTENT_FOUND'
+      when p.page_id % 10 = 4 then 'CHAPTER_TOO_SHORT' else 'CHAPTER' end as status from p left join (select page_id from canon) c using (page_id)""",
     "book_chapters": f"""with {BOOK} select site, page_id, id, title, (row_number() over (partition by site order by page_id) - 1)::int as "order" from kept""",
 }

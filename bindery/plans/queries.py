@@ -171,7 +171,7 @@ def chapter_links(spark, sf):
 def match_selectors(spark, sf):
     from bindery.operators.selectors import match_selectors
 
-    wanted = ["nav li a", "article p", 'div[class="ad"]', "h1", '[class*="nothing"]']
+    wanted = ["nav li a", "article p", 'div[class="ad"]', "h1", '[class*="nothing"]', "nav > ul > li > a", "article > h1", "nav > a"]
     found = match_selectors(html_nodes(_pages(spark, sf)), wanted)
     return found.groupBy("page_id", "selector_idx").agg(F.count("*").alias("n"))
 
@@ -227,6 +227,14 @@ def next_chain(spark, sf):
     return W.follow_chain(seeds, edges).select("site", "page_id", "order")
 
 
+def long_chain(spark, sf):
+    """All documents as one site, each naming the next by digest of its text and id: a chain as long as the table."""
+    docs = _raw(spark, sf, "documents").select(F.lit("s").alias("site"), F.col("doc_id").alias("page_id"), F.md5(F.col("doc_id").cast("string")).alias("d"))
+    edges = ordered_scan(docs, ["site"], [F.desc("d")], lasts={"next_id": F.col("page_id")}).filter("next_id is not null")
+    seeds = docs.groupBy("site").agg(F.min_by("page_id", "d").alias("page_id"))
+    return W.follow_chain(seeds, edges.select("site", "page_id", "next_id"))
+
+
 def crawl_sidebar(spark, sf):
     """Crawl each site from its root, whose sidebar lists the site's second to fourth page."""
     pages = _pages(spark, sf)
@@ -563,15 +571,14 @@ def flatten_toc(spark, sf):
 
 
 def toc_html(spark, sf):
-    """Nested tables of contents, as the digest of each page; lists and entries counted."""
+    """Nested tables of contents, line by line."""
     out = B.toc_html(B.hierarchical_toc(_turns(spark, sf, LEVELLED)))
-    return out.select("site", "part", F.regexp_count("data", F.lit("<li>")).alias("entries"), F.regexp_count("data", F.lit("</li>")).alias("closed"),
-                      F.regexp_count("data", F.lit("<ol>")).alias("lists"), F.regexp_count("data", F.lit("</ol>")).alias("lists_closed"))
+    return out.select("site", "part", F.md5("data").alias("data_md5"))
 
 
 def toc_content(spark, sf):
     out = B.toc_content(_turns(spark, sf, "role"))
-    return out.select("site", "filename", "title", F.md5("data").alias("data_md5"), "exclude_from_toc", "before_toc")
+    return out.select("site", "filename", "part", "title", F.md5("data").alias("data_md5"), "exclude_from_toc", "before_toc")
 
 
 def infer_metadata(spark, sf):
@@ -643,6 +650,21 @@ def book_chapters(spark, sf):
     return chapters.select("site", "page_id", "id", "title", "order")
 
 
+def corpus_ledger(spark, sf):
+    """Every stored page once: its chapter, or why it has none.
+
+    Of ten pages one has next to no HTML and one an article without enough text for a chapter.
+    """
+    part = F.col("page_id") % 10
+    thin = F.when(part == 3, F.lit("<body><p>hi</p></body>")).when(
+        part == 4, F.lit("<body><article><h1>T</h1><p class='short'><b>few</b> <i>words</i> <u>only</u></p></article></body>")
+    )
+    pages = _pages(spark, sf).withColumn("html", F.coalesce(thin, F.col("html")))
+    corpus = build_book_corpus(pages)
+    told = corpus.errors.filter("page_id is not null").select("page_id", F.col("error_code").alias("status"))
+    return corpus.chapters.select("page_id", F.lit("CHAPTER").alias("status")).unionByName(told)
+
+
 QUERIES: dict[str, Query] = {
     "read_pages": read_pages_query,
     "html_nodes": html_nodes_query,
@@ -665,6 +687,7 @@ QUERIES: dict[str, Query] = {
     "link_audit": link_audit,
     "canonical_pages": canonical_pages,
     "next_chain": next_chain,
+    "long_chain": long_chain,
     "crawl_sidebar": crawl_sidebar,
     "crawl_sites": crawl_sites,
     "remove_noise": remove_noise,
@@ -719,5 +742,6 @@ QUERIES: dict[str, Query] = {
     "build_report": build_report,
     "split_errors": split_errors_query,
     "book_corpus": book_corpus,
+    "corpus_ledger": corpus_ledger,
     "book_chapters": book_chapters,
 }

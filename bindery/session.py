@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
-
 
 def get_spark(app: str = "bindery", cores: str = "*") -> SparkSession:
     """Local session for tests and benchmarks; on a cluster pass your own."""
@@ -31,18 +28,11 @@ def get_spark(app: str = "bindery", cores: str = "*") -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``.
-
-    Only a local master may run without that setting; it then gets a folder of
-    its own, because driver and executors share the machine.
-    """
+    """This application's folder below ``spark.checkpoint.dir``, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = _FALLBACK.setdefault(app, tempfile.mkdtemp(prefix="bindery-"))
-    return f"{base.rstrip('/')}/bindery-{app}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{base.rstrip('/')}/bindery-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

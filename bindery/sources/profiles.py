@@ -38,10 +38,6 @@ NEXT_SELECTORS = [
     'a[rel="next"]', ".next a", "a.next", ".pagination-next a", 'a:contains("Next")', 'a:contains("→")',
     'a:contains("»")', ".nav-next a", '[aria-label="Next"]',
 ]
-PREV_SELECTORS = [
-    'a[rel="prev"]', ".prev a", "a.prev", ".pagination-prev a", 'a:contains("Previous")', 'a:contains("←")',
-    'a:contains("«")', ".nav-prev a", '[aria-label="Previous"]',
-]
 
 
 @dataclass(frozen=True)
@@ -60,10 +56,12 @@ class Profile:
     next_selector: str | None = None
     prev_selector: str | None = None
     chapter_link: str | None = None
+    image_options: dict | None = None
 
 
 DEFAULT = Profile("default")
 
+# fixed values: profiles of known documentation sites
 DOCS_CONTENT = [".markdown-body", "article.markdown-body", "#main", "main", ".content", "section.content", "article"]
 DOCS_TITLE = ["h1", ".markdown-body h1", "article h1", "#main h1"]
 DOCS_NAVIGATION = [
@@ -240,9 +238,18 @@ def merge_profile(partial: DataFrame) -> DataFrame:
 
 
 def as_profile(merged: DataFrame, name: str = "user") -> Profile:
-    """One merged configuration row as a driver-side profile which fits every site."""
+    """One merged configuration row as a driver-side profile which fits every site.
+
+    Raises INVALID_CONFIG for a selector which is not understood.
+    """
+    from bindery.operators.selectors import parse_selector
+
     row = merged.first()
     s = row.strategy
+    single = [x for x in (s.selector, s.next_selector, s.prev_selector, row.chapter_link) if x]
+    for selector in [*row.content, *row.title, *row.navigation, *row.exclude, *single]:
+        if parse_selector(selector) is None:
+            raise ValueError(f"[INVALID_CONFIG] selector not understood: {selector}")
     return Profile(
         name=name,
         url_patterns=[""],
@@ -255,4 +262,5 @@ def as_profile(merged: DataFrame, name: str = "user") -> Profile:
         next_selector=s.next_selector,
         prev_selector=s.prev_selector,
         chapter_link=row.chapter_link,
+        image_options=row.image_options.asDict(),
     )

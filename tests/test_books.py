@@ -179,17 +179,16 @@ def nest(rows, depth=0):
 def test_toc_html(spark):
     toc = B.hierarchical_toc(chapters(spark, ["Intro", "1.1 One", "1.1.1 Deep", "2. Two", "End & more", "1.1.1 Last"]))
     tree = [("c0", "Intro", [("c1", "1.1 One", [("c2", "1.1.1 Deep", [])]), ("c3", "2. Two", [])]), ("c4", "End &amp; more", [("c5", "1.1.1 Last", [])])]
-    whole = B.toc_html(toc, "My <toc>").first().data
-    assert whole == B.TOC_HEAD.replace("{title}", "My &lt;toc&gt;") + nest(tree) + B.TOC_TAIL
-    parts = B.toc_html(toc, "My <toc>", part_entries=2).orderBy("part").collect()
-    assert len(parts) == 3 and "".join(p.data for p in parts) == whole
+    parts = B.toc_html(toc, "My <toc>").orderBy("part").collect()
+    assert [p.part for p in parts] == list(range(8))
+    assert "".join(p.data for p in parts) == B.TOC_HEAD.replace("{title}", "My &lt;toc&gt;") + nest(tree) + B.TOC_TAIL
 
 
 def test_toc_content_and_entries(spark):
     some = chapters(spark, ["<a>", "b"])
-    row = B.toc_content(some).first()
-    assert (row.filename, row.title, row.exclude_from_toc, row.before_toc) == ("toc.xhtml", "Table of Contents", True, True)
-    assert "&lt;a&gt;" in row.data and B.toc_content(some.filter("false")).count() == 0
+    rows = B.toc_content(some).orderBy("part").collect()
+    assert {(r.filename, r.title, r.exclude_from_toc, r.before_toc) for r in rows} == {("toc.xhtml", "Table of Contents", True, True)}
+    assert "&lt;a&gt;" in "".join(r.data for r in rows) and B.toc_content(some.filter("false")).count() == 0
     entries = B.chapters_to_content(some).orderBy("seq").collect()
     assert [(e.filename, e.title, e.exclude_from_toc) for e in entries] == [("c0.xhtml", "<a>", False), ("c1.xhtml", "b", False)]
     flat = B.flat_toc(some).orderBy("order").collect()
@@ -282,7 +281,10 @@ def test_profiles(spark, tmp_path):
     assert (row.content, row.title, row.strategy.type, row.image_options.quality, row.image_options.format) == ([".mine"], P.DEFAULT_TITLE, "sidebar", 50, "jpeg")
     (tmp_path / "d.json").write_text("{}")
     mine = P.as_profile(P.merge_profile(P.load_profiles(spark, str(tmp_path / "d.json"))))
-    assert (mine.content, mine.strategy) == (P.DEFAULT_CONTENT, "auto")
+    assert (mine.content, mine.strategy, mine.image_options["format"]) == (P.DEFAULT_CONTENT, "auto", "jpeg")
+    (tmp_path / "e.json").write_text('{"selectors": {"content": ["a:not(.x)"]}}')
+    with pytest.raises(ValueError, match="INVALID_CONFIG.*a:not"):
+        P.as_profile(P.merge_profile(P.load_profiles(spark, str(tmp_path / "e.json"))))
 
 
 def raw_pages(spark):

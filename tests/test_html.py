@@ -106,6 +106,6 @@ def test_selectors(spark):
     assert [found.get(i, []) for i in range(len(SELECTORS))] == [e for _, e in SELECTORS]
 
 
-@pytest.mark.parametrize("text", ["", "a >", "a[", "a:hover", "a,,b"])
+@pytest.mark.parametrize("text", ["", "a >", "> a", "a > > b", "a[", "a:hover", "a,,b", "h1 + p", "li:first-child"])
 def test_selectors_not_understood(text):
     assert parse_selector(text) is None
