@@ -176,7 +176,7 @@ def followers(table: DataFrame) -> DataFrame:
     order = [F.col("d").desc(), F.col("k")]
     placed = ordered_scan(narrow, ["_all"], order, lasts={"to": one}, limit=KEYS_PER_SLICE)
     # the first document follows the last: the smallest id with the largest key
-    last = narrow.agg(F.max_by(one, F.struct(-F.col("d") - 1, "k"))).first()
+    last = narrow.agg(F.max_by(one, F.struct(F.bitwise_not("d"), "k"))).first()
     end = F.struct(*[F.lit(v).cast(t) for v, t in zip(last[0] or (None,) * 3, ("long", "long", "int"), strict=True)])
     to = F.coalesce(F.col("to"), end.cast("struct<d:bigint,k:bigint,half:int>"))
     return placed.withColumn("to", to).select("d", "k", F.col("to.d").alias("to_d"), F.col("to.k").alias("to_k"), F.col("to.half").alias("half"))

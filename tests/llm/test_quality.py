@@ -52,7 +52,7 @@ def test_bands_reject_repetition_and_noise_but_keep_prose():
     for n in (80, 400, 3000, 12000):
         clean = " ".join(r.choice(syllables) for _ in range(n))
         assert judge(clean)
-        assert not judge(" ".join(w + r.choice(["%%%", "&&&", "***"]) for w in clean.split()[: n // 3]) if n > 800 else "lo " * n)
+        assert not judge(" ".join(r.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) for _ in range(n)))
         assert not judge(" ".join("".join(chr(r.randrange(33, 126)) for _ in range(40)) for _ in range(max(n // 8, 60))))
 
 
