@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from bindery.functions.urls import resolve_url
 from bindery.operators.render import drop_subtrees, is_element, is_text, next_pos
-from bindery.operators.scan import lookup
-from bindery.session import materialize
+from bindery.operators.scan import SAFE_BROADCAST_ROWS, lookup
+from bindery.session import materialize, materialize_counted
 from bindery.sources.html import KEY
 
 # File extension and type by image format.
@@ -60,22 +60,26 @@ def remove_images(nodes: DataFrame) -> DataFrame:
 def update_image_refs(nodes: DataFrame, catalog: DataFrame, base: str = "url") -> DataFrame:
     """Point images found in the catalog at their packaged file and drop their ``srcset``.
 
-    Only image rows take part in the join; one image may be on every page, so the
-    lookup spreads hot URLs.
+    A catalog of few rows is looked up in one pass over the nodes. Otherwise only image
+    rows take part in a join; one image may be on every page, so it spreads hot URLs.
     """
     src = F.col("attrs")["src"]
     wanted = (F.col("tag") == "img") & (src != "") & ~src.startswith("data:")
     flagged = nodes.withColumn("_img", F.coalesce(wanted, F.lit(False)))
-    images = flagged.filter("_img").withColumn("_abs", resolve_url(src, F.col(base)))
+    flagged = flagged.withColumn("_abs", F.when(F.col("_img"), resolve_url(src, F.col(base))))
     files = catalog.select("site", F.col("url").alias("_abs"), "filename").dropDuplicates(["site", "_abs"])
-    found = lookup(images, files, ["site", "_abs"])
+    files, known = materialize_counted(files, "image-files")
+    few = known <= SAFE_BROADCAST_ROWS
+    images = flagged if few else flagged.filter("_img")
+    found = lookup(images, files, ["site", "_abs"], right_rows=known)
     # the source keeps its place among the attributes
     fixed = F.expr(
         "map_from_entries(transform(filter(map_entries(attrs), e -> e.key <> 'srcset'), "
         "e -> struct(e.key, if(e.key = 'src', concat('images/', filename), e.value))))"
     )
     done = found.withColumn("attrs", F.when(F.col("filename").isNotNull(), fixed).otherwise(F.col("attrs")))
-    return flagged.filter("not _img").select(*nodes.columns).unionByName(done.select(*nodes.columns))
+    done = done.select(*nodes.columns)
+    return done if few else flagged.filter("not _img").select(*nodes.columns).unionByName(done)
 
 
 def match_images(refs: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -93,7 +93,10 @@ def filter_chapter_links(links: DataFrame) -> DataFrame:
 
 
 def link_audit(nodes: DataFrame, selectors: list[str] | None = None, base: str = "url") -> DataFrame:
-    """Per page: matched elements, kept pages, and drops by the first reason that applies."""
+    """Per page: matched elements, kept pages, and drops by the first reason that applies.
+
+    ``anchor_links`` counts kept links written with a fragment.
+    """
     found = _candidates(nodes, selectors or [SIDEBAR_SELECTOR], base)
     accepted = F.col("href").isNotNull() & F.col("same_site") & F.col("is_page") & (F.col("text") != "")
     order = F.struct("selector_idx", "pos")
@@ -109,7 +112,7 @@ def link_audit(nodes: DataFrame, selectors: list[str] | None = None, base: str =
     )
     names = ("no_href", "unresolvable", "duplicate", "off_site", "asset", "no_text", "page_links")
     counts = [F.count_if(F.col("reason") == n).alias(n) for n in names]
-    anchors = F.count_if((F.col("reason") == "page_links") & F.col("href").contains("#")).alias("anchor_links")
+    anchors = F.count_if((F.col("reason") == "page_links") & F.col("raw").contains("#")).alias("anchor_links")
     return found.withColumn("reason", reason).groupBy(*KEY).agg(F.count("*").alias("matched"), *counts, anchors)
 
 

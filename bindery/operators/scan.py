@@ -19,6 +19,8 @@ from bindery.session import materialize, materialize_counted
 
 # rows of one group a single task may scan
 SAFE_GROUP_ROWS = 4_000_000
+# slices whose carried values, a row each, may be broadcast
+SAFE_CARRY_ROWS = 20_000
 # rows on one side of a join which may be broadcast; narrow key rows only
 SAFE_BROADCAST_ROWS = 200_000
 # rows of one key above which a lookup spreads them
@@ -83,7 +85,7 @@ def ordered_scan(
     ).filter("_count is not null")
     # only the first group of a slice can continue from an earlier one: at most one row per slice
     match = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
-    joined = local.join(F.broadcast(carry), match, "left")
+    joined = local.join(F.broadcast(carry) if slices <= SAFE_CARRY_ROWS else carry, match, "left")
     helpers = [f"_s_{n}" for n in sums] + [f"_l_{n}" for n in lasts] + [f"_k{i}" for i in range(len(keys))]
     done = joined.drop("_slice", *helpers)
     if position:

@@ -6,10 +6,68 @@ the tree. Queries whose result has no such form have no entry.
 
 from __future__ import annotations
 
-from bindery.operators.book import TOC_HEAD, TOC_TAIL
-from bindery.operators.chapters import HEAD, MIDDLE, TAIL
-from bindery.operators.links import BOILERPLATE
-from bindery.functions.urls import ASSET_EXTENSIONS, ASSET_PATHS, IMAGE_EXTENSIONS
+# fixed values, written out again so that a wrong one in the library shows
+TOC_HEAD = """<?xml version="1.0" encoding="UTF-8"?>
+<!DOCTYPE html>
+<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">
+<head>
+  <meta charset="UTF-8" />
+  <title>{title}</title>
+  <style>
+    nav ol {
+      list-style-type: none;
+      padding-left: 1.5em;
+    }
+    nav > ol {
+      padding-left: 0;
+    }
+    nav li {
+      margin: 0.5em 0;
+    }
+    nav a {
+      text-decoration: none;
+      color: inherit;
+    }
+    nav a:hover {
+      text-decoration: underline;
+    }
+  </style>
+</head>
+<body>
+  <nav epub:type="toc" id="toc">
+    <h1>{title}</h1>
+    <ol>
+"""
+TOC_TAIL = """
+    </ol>
+  </nav>
+</body>
+</html>"""
+HEAD = """<?xml version="1.0" encoding="UTF-8"?>
+<!DOCTYPE html>
+<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">
+<head>
+  <meta charset="UTF-8" />
+  <title>"""
+MIDDLE = """</title>
+</head>
+<body>
+  """
+TAIL = """
+</body>
+</html>"""
+BOILERPLATE = '(?i)^(home|about|contact|search|login|sign (in|up)|register|share|tweet|facebook|twitter|github|edit|download)\\z|^(privacy|terms|cookie)'
+ASSET_EXTENSIONS = (
+    "css", "js", "json", "xml", "rss", "atom", "txt", "pdf", "zip", "tar", "gz", "mp3", "mp4", "wav", "avi", "jpg",
+    "jpeg", "png", "gif", "webp", "svg", "bmp", "ico", "woff", "woff2", "ttf", "eot",
+)
+ASSET_PATHS = (
+    "/api/", "/admin/", "/wp-admin/", "/wp-includes/", "/assets/", "/static/", "/fonts/", "/images/", "/img/",
+    "/css/", "/js/",
+)
+IMAGE_EXTENSIONS = (
+    "jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "ico",
+)
 
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _CODES = [9, 10, 11, 12, 13, 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279]
@@ -244,7 +302,7 @@ ORACLES: dict[str, str] = {
     "link_audit": f"""with {A}, f as (select *, {norm('r')} as h, {IN_SITE} as inside, {IS_PAGE} as page, {IN_SITE} and {IS_PAGE} and txt <> '' as ok from a),
       g as (select *, case when pos > min(case when ok then pos end) over (partition by page_id, h) then 'duplicate' when not inside then 'off_site' when not page then 'asset' when txt = '' then 'no_text' else 'page_links' end as why from f)
       select page_id, count(*) as matched, 0::bigint as no_href, 0::bigint as unresolvable, count(*) filter (where why = 'duplicate') as duplicate, count(*) filter (where why = 'off_site') as off_site,
-      count(*) filter (where why = 'asset') as asset, count(*) filter (where why = 'no_text') as no_text, count(*) filter (where why = 'page_links') as page_links, 0::bigint as anchor_links from g group by page_id""",
+      count(*) filter (where why = 'asset') as asset, count(*) filter (where why = 'no_text') as no_text, count(*) filter (where why = 'page_links') as page_links, count(*) filter (where why = 'page_links' and contains(href, '#')) as anchor_links from g group by page_id""",
     "canonical_pages": f"with {P}, {SORTED_SITE} select site, page_id, norm_url from canon",
     "next_chain": f"""with {P}, r as (select site, page_id, row_number() over w - 1 as k, coalesce(sum(case when page_id % 11 = 0 then 1 else 0 end) over
       (partition by site order by md5(url), page_id rows between unbounded preceding and 1 preceding), 0) as broken from p window w as (partition by site order by md5(url), page_id))
@@ -292,7 +350,7 @@ ORACLES: dict[str, str] = {
     "duplicate_chapter_ids": f"with {titled(LANG)} select site, id, count(*) as uses from ch group by all having count(*) > 1",
     "filter_valid_chapters": f"""select conv_id::varchar as site, turn as page_id, length({wrapped('text', 'role')})::int as size from conversations
       where length({trim(sub(wrapped('text', 'role'), '<[^>]+>'))}) >= 50""",
-    "sort_by_order": f"""with {P} select site, page_id, page_id::int as "order" from p order by site, page_id""",
+    "sort_by_order": f"""with {P} select site, page_id, page_id::int as "order", (row_number() over (order by site, page_id))::int as place from p""",
     "normalize_order": """select o_custkey::varchar as site, o_orderkey as page_id, (row_number() over (partition by o_custkey order by
       case when o_custkey % 2 = 0 then o_orderkey % 3 else o_orderkey end, o_orderkey) - 1)::int as "order" from orders""",
     "resolve_duplicate_orders": """with l as (select o_custkey::varchar as site, o_orderkey as page_id, lpad((o_orderkey * 7919 % 1009)::varchar, 9, '0') as title,

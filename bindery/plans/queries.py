@@ -464,7 +464,10 @@ def filter_valid_chapters(spark, sf):
 
 
 def sort_by_order(spark, sf):
-    return H.sort_by_order(_titled(spark, sf)).select("site", "page_id", "order")
+    """The sorted rows with their places in the whole result."""
+    placed = H.sort_by_order(_titled(spark, sf)).select("site", "page_id", "order").withColumn("at", F.monotonically_increasing_id())
+    placed = materialize(placed.withColumn("all", F.lit(0)), "sorted")
+    return ordered_scan(placed, ["all"], [F.col("at")], position="place").select("site", "page_id", "order", (F.col("place") + 1).alias("place"))
 
 
 def _orders(spark, sf):

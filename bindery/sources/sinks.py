@@ -13,10 +13,16 @@ ROWS_PER_FILE = 200_000
 def write_book_dataset(tables: dict[str, DataFrame], path: str, buckets: int = SITE_BUCKETS, mode: str = "overwrite") -> None:
     """One Parquet table per name below ``path``, in folders ``site_bucket=…``.
 
-    Each task writes its own files, split by row count; a hot site is spread over
-    as many tasks as hold its rows, because nothing is repartitioned by site.
+    Rows are dealt out by bucket and, in a bucket with many rows, by a salt too, so a
+    folder gets about as many files as its rows fill however many tasks made them, and a
+    hot site is spread over several.
     """
     for name, df in tables.items():
         bucketed = df.withColumn("site_bucket", F.pmod(F.xxhash64("site"), F.lit(buckets)).cast("int"))
-        writer = bucketed.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE)
+        # one row per bucket
+        files = {r.site_bucket: -(-r["count"] // ROWS_PER_FILE) for r in bucketed.groupBy("site_bucket").count().collect()}
+        salts = F.create_map(*[F.lit(x) for pair in files.items() for x in pair])[F.col("site_bucket")] if files else F.lit(1)
+        salt = F.pmod(F.xxhash64(*df.columns), salts)
+        dealt = bucketed.repartition(max(sum(files.values()), 1), "site_bucket", salt)
+        writer = dealt.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE)
         writer.partitionBy("site_bucket").parquet(f"{path}/{name}")

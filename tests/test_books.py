@@ -302,7 +302,10 @@ def test_corpus(spark, tmp_path):
     # page 4 has the URL of page 1
     assert got == [("a.org", "One", 0), ("a.org", "Two", 1), ("b.org", "Solo", 0)]
     assert [(r.title, r.author) for r in corpus.books.orderBy("site").collect()] == [("One page", "Someone"), ("Solo page", "Someone")]
-    assert [tuple(r) for r in corpus.errors.collect()] == [("b.org", "https://b.org/b/thin", "NO_CONTENT_FOUND")]
+    assert sorted(tuple(r) for r in corpus.errors.collect()) == [
+        ("a.org", 4, "https://a.org/b/one", "DUPLICATE_PAGE"),
+        ("b.org", 5, "https://b.org/b/thin", "NO_CONTENT_FOUND"),
+    ]
     assert [r.url for r in corpus.images.collect()] == ["https://a.org/i.png"]
     assert {r.site: r.images_count for r in corpus.report.collect()} == {"a.org": 1, "b.org": 0}
     corpus.write(str(tmp_path / "out"))
@@ -312,6 +315,34 @@ def test_corpus(spark, tmp_path):
         build_book_corpus(raw_pages(spark), stop_on_error=True)
 
 
+def test_every_page_is_a_chapter_or_an_error(spark):
+    def page(site, i, body):
+        return (site, i, f"https://{site}/{i}", f"<title>First {site}</title><article>{body}</article>")
+
+    rows = [
+        ("a", 1, "https://a/1", "<title>First bad</title><p>no"),
+        page("a", 2, f"<h1>Good</h1>{TEXT}"),
+        ("a", 3, "https://a/2", f"<article><h1>Copy</h1>{TEXT}</article>"),
+        page("a", 4, "<h1>T</h1><p class='short'><b>few</b> <i>words</i> <u>only</u></p>"),
+        ("b", 5, "https://b/5", "<title>All bad</title><p>no"),
+    ]
+    corpus = build_book_corpus(spark.createDataFrame(rows, "site string, page_id long, url string, html string"))
+    errors = {r.page_id: r.error_code for r in corpus.errors.filter("page_id is not null").collect()}
+    assert errors == {1: "NO_CONTENT_FOUND", 3: "DUPLICATE_PAGE", 4: "CHAPTER_TOO_SHORT", 5: "NO_CONTENT_FOUND"}
+    assert [r.page_id for r in corpus.chapters.collect()] == [2]
+    assert {r.site: r.title for r in corpus.books.collect()} == {"a": "First bad", "b": "All bad"}
+    assert [r.site for r in corpus.errors.filter("page_id is null").collect()] == ["b"]
+    entries = corpus.package_entries.filter("filename = 'toc.xhtml'").orderBy("part").collect()
+    assert [e.part for e in entries] == [0, 1, 2] and {e.site for e in entries} == {"a"}
+
+
+def test_many_tasks_write_few_files(spark, tmp_path):
+    table = spark.range(400).selectExpr("'s' || id % 9 as site", "id").repartition(40)
+    write_book_dataset({"t": table}, str(tmp_path), buckets=4)
+    files = [f for f in (tmp_path / "t").rglob("*.parquet")]
+    assert len(files) <= 4 and spark.read.parquet(str(tmp_path / "t")).count() == 400
+
+
 def test_corpus_with_links(spark):
     rows = [
         ("s", 1, "https://s.org/", f'<title>Home</title><div class="sidebar"><a href="/two">Two</a></div><article><h1>H</h1>{TEXT}</article>'),
