@@ -308,7 +308,8 @@ ORACLES: dict[str, str] = {
       (partition by site order by md5(url), page_id rows between unbounded preceding and 1 preceding), 0) as broken from p window w as (partition by site order by md5(url), page_id))
       select site, page_id, k::int as "order" from r where broken = 0""",
     "long_chain": """select 's' as site, doc_id as page_id, (row_number() over (order by md5(doc_id::varchar)) - 1)::int as "order" from documents""",
-    "crawl_sidebar": f"""with {P}, r as (select site, page_id, row_number() over (partition by site order by page_id) - 1 as k, min(page_id) over (partition by site, {norm('url')}) as target from p),
+    "crawl_sidebar": f"""with {P}, o as (select *, row_number() over (partition by site order by page_id) - 1 as n from p),
+      g as (select site || '#' || (n // 4) as site, page_id, url, n % 4 as k from o), r as (select *, min(page_id) over (partition by site, {norm('url')}) as target from g),
       f as (select site, target, min(k) as k from r where k <= 3 group by all)
       select site, target as page_id, (row_number() over (partition by site order by k) - 1)::int as "order" from f""",
     "crawl_sites": f"""with {A.replace('from pages)', 'from pages where page_id in (select min(page_id) from pages group by ' + site() + '))')}, {first_links(f"{IS_PAGE} and {IN_SITE}")},
@@ -337,7 +338,7 @@ ORACLES: dict[str, str] = {
     "resolve_image_urls": f"""select page_id, unnest([1, 2, 3, 4])::int as n, unnest([{site()} || {IMG_A}, {BASE} || {IMG_B}, 'data:image/png;base64,AA', {site()} || {IMG_A}]) as src,
       unnest([null, {BASE} || 'a.jpg 1x, ' || {site()} || '/b.jpg 2x', null, null]) as srcset from pages""",
     "update_image_refs": f"""select page_id, unnest(['images/img-' || substring(md5({site()} || {IMG_A}), 1, 12) || '.jpg', {IMG_B}, 'data:image/png;base64,AA']) as src, unnest([2, 1, 1])::bigint as n from pages""",
-    "match_images": f"""with {CAT}, q as (select distinct site, original_url as url from refs union select site, 'x/' || filename from cat where length(url) % 2 = 0 union select site, u from abs where length(u) % 3 = 0),
+    "match_images": f"""with {CAT}, q as (select distinct site, original_url as url from refs union select site, 'x/' || filename from cat union select site, u from abs),
       m as (select q.site, q.url, cat.image_id, cat.url as image_url, case when cat.url = q.url then 1 when cat.filename = regexp_extract(q.url, '([^/]*)$', 1) then 2 when ends_with(cat.url, q.url) or ends_with(q.url, cat.url) then 3 end as tier
         from q left join cat on cat.site = q.site),
       b as (select *, row_number() over (partition by site, url order by tier nulls last, image_url) as k from m)

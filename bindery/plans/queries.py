@@ -236,19 +236,21 @@ def long_chain(spark, sf):
 
 
 def crawl_sidebar(spark, sf):
-    """Crawl each site from its root, whose sidebar lists the site's second to fourth page."""
-    pages = _pages(spark, sf)
-    placed = ordered_scan(pages.select("site", "page_id", "url"), ["site"], [F.col("page_id")], position="at")
+    """Each four pages of a site in turn make a site of their own; its first page's sidebar lists the others."""
+    placed = ordered_scan(_pages(spark, sf).select("site", "page_id", "url"), ["site"], [F.col("page_id")], position="at")
+    origin = F.regexp_extract("url", "^(https?://[^/]*)", 1)
+    site = F.concat_ws("#", "site", F.expr("cast(at div 4 as string)"))
+    placed = materialize(placed.select(site.alias("site"), "page_id", "url", origin.alias("origin"), (F.col("at") % 4).alias("at")), "quads")
     link = F.concat(
         F.lit('<li><a href="'), F.regexp_replace("url", "^https?://[^/]*", ""), F.lit('">page '), F.col("page_id").cast("string"), F.lit("</a></li>")
     )
-    # at most three rows a site are brought together
+    # three rows are brought together
     listed = placed.filter("at between 1 and 3").withColumn("link", link).groupBy("site")
     listed = listed.agg(F.expr("listagg(link, '') within group (order by at)").alias("links"))
     seeds = placed.filter("at = 0").join(listed, "site", "left")
     menu = F.concat(F.lit('<title>t</title><div class="sidebar"><ul>'), F.coalesce("links", F.lit("")), F.lit("</ul></div>"))
-    seeds = seeds.select("site", "page_id", F.concat("site", F.lit("/")).alias("url"), menu.alias("html"))
-    found, _ = W.crawl_sidebar(seeds, W.page_index(pages))
+    seeds = seeds.select("site", "page_id", F.concat("origin", F.lit("/")).alias("url"), menu.alias("html"))
+    found, _ = W.crawl_sidebar(seeds, W.page_index(placed))
     return found.select("site", "page_id", "order")
 
 
@@ -411,8 +413,8 @@ def match_images(spark, sf):
     """References as written and as file names, against the catalog."""
     refs = _refs(spark, sf)
     catalog = I.image_catalog(refs)
-    named = catalog.filter("length(url) % 2 = 0").select("site", F.concat(F.lit("x/"), "filename").alias("url"))
-    whole = refs.select("site", U.resolve_url(F.col("original_url"), F.col("url")).alias("url")).filter("length(url) % 3 = 0")
+    named = catalog.select("site", F.concat(F.lit("x/"), "filename").alias("url"))
+    whole = refs.select("site", U.resolve_url(F.col("original_url"), F.col("url")).alias("url"))
     asked = refs.select("site", F.col("original_url").alias("url")).unionByName(named).unionByName(whole)
     return I.match_images(asked, catalog).select("site", "url", "image_id", "tier")
 
