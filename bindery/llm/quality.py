@@ -32,14 +32,14 @@ class Bands:
 
     whole: tuple[tuple[float, float, float], ...] = (
         (512, 0.47, 0.90),
-        (1024, 0.47, 0.82),
-        (2048, 0.45, 0.74),
-        (4096, 0.435, 0.68),
-        (8192, 0.42, 0.64),
-        (16384, 0.405, 0.62),
-        (32768, 0.393, 0.60),
-        (65536, 0.385, 0.60),
-        (float("inf"), 0.375, 0.60),
+        (1024, 0.46, 0.82),
+        (2048, 0.445, 0.74),
+        (4096, 0.43, 0.68),
+        (8192, 0.414, 0.64),
+        (16384, 0.40, 0.62),
+        (32768, 0.388, 0.60),
+        (65536, 0.378, 0.60),
+        (float("inf"), 0.368, 0.60),
     )
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (0.43, 0.75)
