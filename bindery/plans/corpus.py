@@ -24,7 +24,7 @@ from bindery.operators.crawl import canonical_pages, crawl_sites, merged_pages
 from bindery.operators.images import image_catalog, image_refs
 from bindery.operators.normalize import normalize_pages
 from bindery.operators.quality import fail_fast, split_errors
-from bindery.session import materialize
+from bindery.session import drop_scratch, materialize
 from bindery.sources.profiles import Profile
 from bindery.sources.sinks import write_book_dataset
 
@@ -41,8 +41,11 @@ class Corpus:
     report: DataFrame
     errors: DataFrame
 
-    def write(self, path: str) -> None:
+    def write(self, path: str, drop: bool = False) -> None:
+        """Write all tables; ``drop`` deletes this application's scratch tables afterwards, on which these tables read."""
         write_book_dataset(vars(self), path)
+        if drop:
+            drop_scratch(self.chapters.sparkSession)
 
 
 def build_book_corpus(

@@ -319,6 +319,9 @@ ORACLES: dict[str, str] = {
     "remove_empty_elements": f"select page_id, tag, count(*) as n from ({WITH_EXTRA}) where tag <> 'b' group by all",
     "strip_attributes": attr_counts(),
     "parse_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, 0 as n_images, null::varchar as error_code from pages",
+    "configured_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, 'png' as format from pages",
+    "converted_tags": """select page_id, unnest(['n0', 'n1', 'n2', 'n3', 'n4', 'n5', 'n6']) as elem_id, unnest(['span', 'span', 'span', 'span', 'div', 'div', 'mark']) as tag,
+      unnest(['class,id', 'class,id', 'class,id', 'class,id', 'class,id', 'class,id', 'class,foo,id']) as attributes from pages""",
     "extract_images": f"select page_id, unnest([0, 1])::int as pos, unnest([{IMG_A}, {IMG_B}]) as original_url, unnest(['seven', '']) as alt_text from pages",
     "clean_content": f"""select page_id, {squash("regexp_replace(" + got('html', '(?s)<body>(.*)') + ", '<article>', ' x<article>')")} as text_md5, ({n_of('html', '<a ')} + 1)::int as links, false as loose from pages""",
     "largest_text_block": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5 from pages",

@@ -7,6 +7,7 @@ expressions which the comparison SQL repeats.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,7 +26,8 @@ from bindery.operators.quality import split_errors
 from bindery.operators.render import render_html
 from bindery.operators.scan import ordered_scan
 from bindery.plans.corpus import build_book_corpus
-from bindery.session import materialize
+from bindery.session import materialize, scratch_dir
+from bindery.sources import profiles as P
 from bindery.sources.html import html_nodes
 from bindery.sources.pages import read_pages, spread
 
@@ -297,6 +299,27 @@ def parse_pages(spark, sf):
     return out.select("page_id", "title", _squashed(F.col("content")).alias("text_md5"), F.size("images").alias("n_images"), "error_code")
 
 
+# a user's configuration file
+USER_CONFIG = '{"selectors": {"content": ["body > article"], "title": ["article > h1"], "exclude": ["nav", ".ad"]}, "imageOptions": {"format": "png"}}'
+
+
+def configured_pages(spark, sf):
+    """Pages parsed by a configuration which is read from a file and filled from the defaults."""
+    folder = f"{scratch_dir(spark)}/config-{uuid.uuid4().hex}"
+    spark.createDataFrame([(USER_CONFIG,)], "value string").write.text(folder)
+    mine = P.as_profile(P.merge_profile(P.load_profiles(spark, folder)))
+    out = C.parse_pages(_pages(spark, sf), [mine])
+    return out.select("page_id", "title", _squashed(F.col("content")).alias("text_md5"), F.lit(mine.image_options["format"]).alias("format"))
+
+
+def converted_tags(spark, sf):
+    """Elements outside the allow-list put in front of each article."""
+    junk = "".join(f'<{t} id="n{i}" class="c" foo="b">x</{t}>' for i, t in enumerate("font blink center tt dialog button mark".split()))
+    pages = _pages(spark, sf).withColumn("html", F.replace("html", F.lit("<article>"), F.lit(f"{junk}<article>")))
+    nodes = N.convert_invalid_tags(html_nodes(pages)).filter(F.col("elem_id").rlike("^n[0-9]$"))
+    return nodes.select("page_id", "elem_id", "tag", F.array_join(F.array_sort(F.map_keys("attrs")), ",").alias("attributes"))
+
+
 def _with_images(spark, sf):
     """Pages with images by relative, root and data URLs, one of them twice."""
     tag = F.concat(
@@ -699,6 +722,8 @@ QUERIES: dict[str, Query] = {
     "remove_empty_elements": remove_empty_elements,
     "strip_attributes": strip_attributes,
     "parse_pages": parse_pages,
+    "configured_pages": configured_pages,
+    "converted_tags": converted_tags,
     "extract_images": extract_images,
     "clean_content": clean_content,
     "largest_text_block": largest_text_block,

@@ -72,7 +72,7 @@ def compare(spark, sf_dir: str, names: list[str] | None = None) -> list[str]:
 
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
-    session = get_spark()
+    session = get_spark(cores=os.environ.get("COMPARE_CPUS", "*"))
     session.sparkContext.setLogLevel("OFF")
     bad = compare(session, f"/root/testdata/sf{sf}", sys.argv[2:] or None)
     print("failed:", bad)
