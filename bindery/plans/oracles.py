@@ -90,6 +90,12 @@ def got(x: str, pattern: str) -> str:
     return f"regexp_extract({x}, {lit(pattern)}, 1)"
 
 
+
+def tags(x: str) -> str:
+    """Digest of opening tags in order, with their links, ``b`` apart."""
+    return f"""md5(list_aggregate(list_filter(regexp_extract_all({x}, '<([a-zA-Z][a-zA-Z0-9]*(?: href="[^"]*")?)', 1), lambda t: t <> 'b'), 'string_agg', ','))"""
+
+
 def n_of(x: str, pattern: str) -> str:
     return f"len(regexp_extract_all({x}, {lit(pattern)}))"
 
@@ -272,7 +278,7 @@ ORACLES: dict[str, str] = {
     "html_text": "select page_id, md5(replace("
     + sub(sub(decode("replace(html, '\"</p>\"', '\"' || chr(1) || '\"')"), "<[^>]+>"), r"[\s\x0B]+")
     + ", chr(1), '</p>')) as text_md5 from pages",
-    "render_html": f"select page_id, {squash('html')} as text_md5 from pages",
+    "render_html": f"select page_id, {squash('html')} as text_md5, {tags('html')} as tags_md5 from pages",
     "resolve_url": f"with {A} select page_id, pos, r as resolved from a",
     "url_checks": """with v as (select page_id, unnest([0, 1, 2, 3])::int as variant, unnest([url, regexp_replace(url, '^https?:', 'ftp:'),
       regexp_replace(url, '^https?://', ''), regexp_replace(url, '(example[.][a-z]+)/', '\\1:99999/')]) as u from pages)
@@ -315,10 +321,10 @@ ORACLES: dict[str, str] = {
     "crawl_sites": f"""with {A.replace('from pages)', 'from pages where page_id in (select min(page_id) from pages group by ' + site() + '))')}, {first_links(f"{IS_PAGE} and {IN_SITE}")},
       {P} select site, url, 'OK' as status from p where page_id in (select min(page_id) from p group by site)
       union all select site, href, 'CRAWL_FAILED' from l where length(text) >= 2 and not regexp_matches(text, {lit(BOILERPLATE.replace(chr(92) + 'z', '$'))})""",
-    "remove_noise": f"select page_id, {squash(f'{TITLE} || {ARTICLE}')} as text_md5, 0 as noise_tags, 0 as comments from pages",
+    "remove_noise": f"select page_id, {squash(f'{TITLE} || {ARTICLE}')} as text_md5, {tags(f"'<html><head><meta><title><body><article>' || {ARTICLE}")} as tags_md5, 0 as noise_tags, 0 as comments from pages",
     "remove_empty_elements": f"select page_id, tag, count(*) as n from ({WITH_EXTRA}) where tag <> 'b' group by all",
     "strip_attributes": attr_counts(),
-    "parse_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, 0 as n_images, null::varchar as error_code from pages",
+    "parse_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, {tags(ARTICLE)} as tags_md5, 0 as n_images, null::varchar as error_code from pages",
     "configured_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, 'png' as format from pages",
     "converted_tags": """select page_id, unnest(['n0', 'n1', 'n2', 'n3', 'n4', 'n5', 'n6']) as elem_id, unnest(['span', 'span', 'span', 'span', 'div', 'div', 'mark']) as tag,
       unnest(['class,id', 'class,id', 'class,id', 'class,id', 'class,id', 'class,id', 'class,foo,id']) as attributes from pages""",

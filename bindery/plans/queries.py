@@ -54,6 +54,12 @@ def _squashed(html: Column) -> Column:
     return F.md5(text)
 
 
+def _tags(html: Column) -> Column:
+    """Digest of an HTML string's opening tags in order, with their links; ``b`` apart, which is re-opened."""
+    opened = F.regexp_extract_all(html, F.lit('<([a-zA-Z][a-zA-Z0-9]*(?: href="[^"]*")?)'), F.lit(1))
+    return F.md5(F.array_join(F.filter(opened, lambda t: t != "b"), ","))
+
+
 # --- sources ---------------------------------------------------------------
 
 
@@ -74,7 +80,7 @@ def html_text(spark, sf):
 
 def render_html_query(spark, sf):
     out = render_html(html_nodes(_pages(spark, sf)))
-    return out.select("page_id", _squashed(F.col("html")).alias("text_md5"))
+    return out.select("page_id", _squashed(F.col("html")).alias("text_md5"), _tags(F.col("html")).alias("tags_md5"))
 
 
 # --- URLs ------------------------------------------------------------------
@@ -269,7 +275,8 @@ def crawl_sites(spark, sf):
 def remove_noise(spark, sf):
     out = render_html(C.remove_noise(html_nodes(_pages(spark, sf))))
     left = F.regexp_count("html", F.lit("<(nav|footer|script|style|div)[ >]")).alias("noise_tags")
-    return out.select("page_id", _squashed(F.col("html")).alias("text_md5"), left, F.regexp_count("html", F.lit("<!--")).alias("comments"))
+    digests = (_squashed(F.col("html")).alias("text_md5"), _tags(F.col("html")).alias("tags_md5"))
+    return out.select("page_id", *digests, left, F.regexp_count("html", F.lit("<!--")).alias("comments"))
 
 
 def remove_empty_elements(spark, sf):
@@ -296,7 +303,8 @@ def strip_attributes(spark, sf):
 
 def parse_pages(spark, sf):
     out = C.parse_pages(_pages(spark, sf))
-    return out.select("page_id", "title", _squashed(F.col("content")).alias("text_md5"), F.size("images").alias("n_images"), "error_code")
+    digests = (_squashed(F.col("content")).alias("text_md5"), _tags(F.col("content")).alias("tags_md5"))
+    return out.select("page_id", "title", *digests, F.size("images").alias("n_images"), "error_code")
 
 
 # a user's configuration file
