@@ -1,8 +1,9 @@
 """Similarity join of documents on word shingles by a MinHash LSH forest.
 
 A text's signature is cut into ``TREES`` labels of ``DEPTH`` minimum hashes. In a tree, texts are
-ordered by label, so texts which share a prefix stand together. Matching starts at whole labels and
-shortens the prefix until pairs at the threshold share one in some tree with the target recall.
+sorted by the prefixes of their labels, so texts which share one stand together. Matching starts at
+whole labels and shortens the prefix until pairs at the threshold share one in some tree with the
+target recall; shorter prefixes would only bring together texts below the threshold.
 What meets below a prefix is compared by whole signatures with leaders: a text close to a leader is
 covered by it, a text near a leader joins its family, and one near none leads on. The margins between
 the two limits and the threshold keep any pair above the threshold in one family. A family's
@@ -31,7 +32,7 @@ from bindery.llm.common import components, materialize, numbered
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-TREES = 16
+TREES = 24
 DEPTH = 6
 TARGET_RECALL = 0.9999
 #: signature likeness from which a text is covered by a leader, and from which it joins its family
@@ -70,6 +71,12 @@ def signature(runs: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_keys(signed: np.ndarray, depth: int) -> list[int]:
+    """A key for each tree and its label's first ``depth`` values, as signed 64-bit integers."""
+    labels = signed.reshape(TREES, DEPTH)[:, :depth]
+    return [h - (1 << 64) if (h := xxhash.xxh3_64_intdigest(label.tobytes(), tree)) >> 63 else h for tree, label in enumerate(labels)]
+
+
 def set_key(runs: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(runs.tobytes()) + f"{len(runs):x}"
 
@@ -92,8 +99,11 @@ def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """``uid, doc_id, text_key, set_key, n_shingles, signature``: a row per document. Written once."""
+def signatures(docs: DataFrame, depth: int) -> DataFrame:
+    """``uid, doc_id, text_key, set_key, n_shingles, prefixes, signature``: a row per document. Written once.
+
+    ``prefixes`` holds the key of each tree's prefix, ``signature`` one byte of each minimum, which is enough to compare by.
+    """
     text = F.coalesce("text", F.lit(""))
     table = numbered(docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")))
 
@@ -102,23 +112,27 @@ def signatures(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 for uid, doc_id, key, text in zip(*(batch.column(c) for c in ("uid", "doc_id", "text_key", "text")), strict=True):
                     runs = shingles(text.as_py())
-                    yield uid.as_py(), doc_id.as_py(), key.as_py(), set_key(runs), len(runs), signature(runs).tobytes()
+                    signed = signature(runs)
+                    found = prefix_keys(signed, depth), signed.astype(np.uint8).tobytes()
+                    yield uid.as_py(), doc_id.as_py(), key.as_py(), set_key(runs), len(runs), *found
 
-        names = ["uid", "doc_id", "text_key", "set_key", "n_shingles", "signature"]
-        yield from _batches(rows(), names, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()], 512)
+        names = ["uid", "doc_id", "text_key", "set_key", "n_shingles", "prefixes", "signature"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        yield from _batches(rows(), names, types, 512)
 
-    schema = "uid long, doc_id long, text_key long, set_key string, n_shingles long, signature binary"
+    schema = "uid long, doc_id long, text_key long, set_key string, n_shingles long, prefixes array<long>, signature binary"
     return materialize(table.mapInArrow(run, schema), "signatures")
 
 
 def distinct_sets(signed: DataFrame) -> DataFrame:
-    """``node, set_key, text_key, n_shingles, copies, signature``: one row per different shingle set that is not empty."""
+    """``node, set_key, text_key, n_shingles, copies, prefixes, signature``: one row per different shingle set that is not empty."""
     filled = signed.filter("n_shingles > 0")
     return filled.groupBy("set_key").agg(
         F.min("uid").alias("node"),
         F.min_by("text_key", "uid").alias("text_key"),
         F.first("n_shingles").alias("n_shingles"),
         F.count(F.lit(1)).alias("copies"),
+        F.first("prefixes").alias("prefixes"),
         F.first("signature").alias("signature"),
     )
 
@@ -169,14 +183,10 @@ def rooted(pairs: list[tuple[int, int]]) -> dict[int, int]:
     return {x: find(x) for x in root}
 
 
-def prefix_matches(sets: DataFrame, depth: int) -> DataFrame:
+def prefix_matches(sets: DataFrame) -> DataFrame:
     """``a, b``: nodes and the smallest node of the family they are near to under a prefix, over all trees."""
-    cut, width = 4 * DEPTH, 4 * depth
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    label = F.expr(f"substring(signature, tree * {cut} + 1, {cut})")
-    prefix = F.xxhash64("tree", F.expr(f"substring(signature, tree * {cut} + 1, {width})"))
     # narrow rows find the prefixes that two texts share; signatures go only where they are compared
-    members = sets.select("node", "signature", tree).select("node", "tree", prefix.alias("prefix"))
+    members = sets.select("node", F.explode("prefixes").alias("prefix"))
     sizes = members.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     together = members.join(sizes, "prefix")
     parts = F.ceil(F.col("rows") / PART_ROWS)
@@ -186,26 +196,25 @@ def prefix_matches(sets: DataFrame, depth: int) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for (prefix, _), held in grouped(batches, ["prefix", "part"]):
                 nodes = np.array([r["node"] for r in held], np.int64)
-                signs = np.frombuffer(b"".join(r["signature"] for r in held), np.uint32).reshape(len(held), -1)
+                signs = np.frombuffer(b"".join(r["signature"] for r in held), np.uint8).reshape(len(held), -1)
                 pairs = leaders(nodes, signs)
                 roots, leads = rooted(pairs), {b for _, b in pairs}
                 parts = held[0]["parts"]
                 for r in held:
                     a = r["node"]
                     if roots[a] != a or (parts > 1 and a in leads):
-                        yield prefix, r["tree"], a, roots[a], parts, a in leads
+                        yield prefix, a, roots[a], parts, a in leads
 
-        names = ["prefix", "tree", "a", "b", "parts", "leads"]
-        yield from _batches(rows(), names, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()])
+        names = ["prefix", "a", "b", "parts", "leads"]
+        yield from _batches(rows(), names, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()])
 
     def compared(rows: DataFrame) -> DataFrame:
-        signed = rows.join(sets.select("node", "signature"), "node").withColumn("label", label)
-        columns = ["prefix", "part", "tree", "node", "signature", "parts"]
-        in_order = signed.repartition("prefix", "part").sortWithinPartitions("prefix", "part", "label", "node")
-        return in_order.select(*columns).mapInArrow(run, "prefix long, tree int, a long, b long, parts int, leads boolean")
+        signed = rows.join(sets.select("node", "signature"), "node").select("prefix", "part", "node", "signature", "parts")
+        in_order = signed.repartition("prefix", "part").sortWithinPartitions("prefix", "part", "node")
+        return in_order.mapInArrow(run, "prefix long, a long, b long, parts int, leads boolean")
 
     first = materialize(compared(dealt), "prefix-matches")
-    heads = first.filter("parts > 1 and leads").select("prefix", "tree", F.col("a").alias("node"), F.lit(0).alias("part"), F.lit(1).alias("parts"))
+    heads = first.filter("parts > 1 and leads").select("prefix", F.col("a").alias("node"), F.lit(0).alias("part"), F.lit(1).alias("parts"))
     near = first.filter("a <> b").select("a", "b")
     return near if heads.isEmpty() else near.unionByName(compared(heads).select("a", "b"))
 
@@ -257,7 +266,7 @@ def verified(members: list[dict], within: bool, threshold: float) -> Iterator[tu
 def verified_links(docs: DataFrame, sets: DataFrame, families: DataFrame, threshold: float) -> DataFrame:
     """``node, root, links, texts``: exact links of each text, by blocks; a node may have several rows."""
     members = materialize(
-        families.select("node", F.col("label").alias("family")).join(sets.drop("signature"), "node"), "family-members"
+        families.select("node", F.col("label").alias("family")).join(sets.drop("signature", "prefixes"), "node"), "family-members"
     )
     sizes = members.groupBy("family").agg(F.sum("n_shingles").alias("total"))
     placed = members.join(sizes, "family").withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
@@ -306,9 +315,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``n_links`` counts the other documents at or above the threshold, ``n_copies`` those with equal shingles, itself included.
     """
-    signed = signatures(docs)
+    signed = signatures(docs, prefix_depth(threshold))
     sets = materialize(distinct_sets(signed), "distinct-sets")
-    families = components(prefix_matches(sets, prefix_depth(threshold)))
+    families = components(prefix_matches(sets))
     links = verified_links(docs, sets, families, threshold)
     linked = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
