@@ -91,9 +91,12 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, starts``: for each text with repeats, the sentences at which a repeated run begins."""
     each = sentence_runs(docs).select("doc_id", "text_key", F.posexplode("runs").alias("start", "run"))
+    # most runs occur once: bare counts sort them out before places are compared
+    often = each.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run")
+    matched = materialize(each.join(often, "run", "left_semi"), "matched-runs")
     place = F.struct("doc_id", "text_key", "start")
-    first = each.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("run", "first")
-    later = each.join(first, "run").filter(place != F.col("first"))
+    first = matched.groupBy("run").agg(F.min(place).alias("first"))
+    later = matched.join(first, "run").filter(place != F.col("first"))
     # a text's own runs: bounded by its length
     return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
