@@ -262,6 +262,10 @@ def attr_counts() -> str:
 
 
 TAGS = "select page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag from pages"
+# a <b> that is never closed is opened again in every later paragraph and in the footer, of several the last three
+BOLD = """select page_id, 'b' as tag, total + least(3, total) + sum(least(3, before)) as n from (
+  select page_id, len(regexp_extract_all(html, '<b>')) as total, len(regexp_extract_all(array_to_string(seg[1:i - 1], ' '), '<b>')) as before
+  from (select page_id, html, string_split(html, '<p>') as seg, unnest(generate_series(2, len(string_split(html, '<p>')))) as i from pages)) group by page_id, total having total > 0"""
 WITH_EXTRA = " union all ".join([TAGS, *[f"select page_id, {lit(t)} from pages" for t in ("div", "br", "p", "img")]])
 
 # rendered text of an article: entities written the way the renderer does
@@ -274,7 +278,7 @@ BOOK = f"""{P}, {SORTED_SITE}, t as (select *, {sanitized('raw')} as san from (s
 
 ORACLES: dict[str, str] = {
     "read_pages": f"select {site()} as site, page_id, url, md5(html) as html_md5 from pages",
-    "html_nodes": f"select page_id, tag, count(*) as n from ({TAGS}) where tag <> 'b' group by all",
+    "html_nodes": f"select page_id, tag, count(*) as n from ({TAGS}) where tag <> 'b' group by all union all {BOLD}",
     "html_text": "select page_id, md5(replace("
     + sub(sub(decode("replace(html, '\"</p>\"', '\"' || chr(1) || '\"')"), "<[^>]+>"), r"[\s\x0B]+")
     + ", chr(1), '</p>')) as text_md5 from pages",
@@ -322,7 +326,7 @@ ORACLES: dict[str, str] = {
       {P} select site, url, 'OK' as status from p where page_id in (select min(page_id) from p group by site)
       union all select site, href, 'CRAWL_FAILED' from l where length(text) >= 2 and not regexp_matches(text, {lit(BOILERPLATE.replace(chr(92) + 'z', '$'))})""",
     "remove_noise": f"select page_id, {squash(f'{TITLE} || {ARTICLE}')} as text_md5, {tags(f"'<html><head><meta><title><body><article>' || {ARTICLE}")} as tags_md5, 0 as noise_tags, 0 as comments from pages",
-    "remove_empty_elements": f"select page_id, tag, count(*) as n from ({WITH_EXTRA}) where tag <> 'b' group by all",
+    "remove_empty_elements": f"select page_id, tag, count(*) as n from ({WITH_EXTRA}) where tag <> 'b' group by all union all {BOLD}",
     "strip_attributes": attr_counts(),
     "parse_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, {tags(ARTICLE)} as tags_md5, 0 as n_images, null::varchar as error_code from pages",
     "configured_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, 'png' as format from pages",

@@ -68,7 +68,7 @@ def read_pages_query(spark, sf):
 
 
 def html_nodes_query(spark, sf):
-    nodes = html_nodes(_pages(spark, sf)).filter("kind = 'element' and tag <> 'b'")
+    nodes = html_nodes(_pages(spark, sf)).filter("kind = 'element'")
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
@@ -283,7 +283,7 @@ def remove_empty_elements(spark, sf):
     """Empty elements of several kinds put in front of each article."""
     junk = F.lit("<div><p> </p><span></span></div><section><!-- c --></section><div><br></div><p><img src=x></p>")
     pages = _pages(spark, sf).withColumn("html", F.replace("html", F.lit("<article>"), F.concat(junk, F.lit("<article>"))))
-    nodes = C.remove_empty_elements(html_nodes(pages)).filter("kind = 'element' and tag <> 'b'")
+    nodes = C.remove_empty_elements(html_nodes(pages)).filter("kind = 'element'")
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
