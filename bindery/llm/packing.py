@@ -32,8 +32,8 @@ from bindery.llm.common import materialize, numbered, ranked_rows
 CAPACITY = 2048
 #: rows of one length per part when ranks are counted
 ROWS_PER_PART = 1_000_000
-#: words a worker keeps the ids of
-KEPT_WORDS = 1_500_000
+#: words a worker keeps the ids of, about 200 bytes each
+KEPT_WORDS = 400_000
 # one stop or comma between a letter and white space
 STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=\s|$)")
 ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
