@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from bindery.session import materialize, materialize_counted
+from bindery.session import materialize
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,4 +100,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ).distinct()
 
 
-__all__ = ["components", "materialize", "materialize_counted", "numbered", "own_columns", "per_batch", "ranked_rows", "read_table"]
+__all__ = ["components", "materialize", "numbered", "own_columns", "per_batch", "ranked_rows", "read_table"]

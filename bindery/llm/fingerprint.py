@@ -213,7 +213,8 @@ def edited_digests(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: fingerprints of its text and its edited text, and likenesses to the edited and the next text."""
     table = edited_digests(docs)
-    pairs = table.select("d", "k", F.col("own").alias("a"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("edited").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("next").alias("b")))).alias("o"))
+    others = [F.struct(F.lit(i).alias("kind"), F.col(n).alias("b")) for i, n in enumerate(("edited", "next"))]
+    pairs = table.select("d", "k", F.col("own").alias("a"), F.explode(F.array(*others)).alias("o"))
     found = differences(pairs.select("d", "k", "o.kind", "a", "o.b"), ["d", "k", "kind"])
     sides = found.groupBy("d", "k").agg(
         *[F.max(F.when(F.col("kind") == i, F.struct("plus", "minus"))).alias(n) for i, n in enumerate(("to_edited", "to_next"))]

@@ -31,7 +31,9 @@ def base(text):
     """The three kinds as the rules state them."""
     text = text or ""
     out = []
-    low = re.compile(r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""".replace("password|passwd|secret|token|api_?key", "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))))
+    words = ("password", "passwd", "secret", "token", "api_?key")
+    either = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words)
+    low = re.compile(f"({either})" + r"""["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
     out += [(m.start(), 0, m.end()) for m in low.finditer(text) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
