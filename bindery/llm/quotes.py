@@ -106,17 +106,20 @@ def links(table: DataFrame) -> DataFrame:
 
 
 def threads(table: DataFrame, linked: DataFrame) -> DataFrame:
-    """``uid, root, depth``: replies followed to the message that begins the thread, by doubling."""
+    """``uid, root, depth``: replies followed to the message that begins the thread, by doubling.
+
+    Messages which point at a beginning are done; only the others are joined on.
+    """
     steps = F.when(F.col("parent").isNull(), 0).otherwise(1).alias("steps")
-    now = table.select("uid").join(linked, "uid", "left").select("uid", F.coalesce("parent", "uid").alias("up"), steps)
-    now = materialize(now, "jumps")
-    while True:
-        above = now.select(F.col("uid").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
-        after = materialize(now.join(above, "up").select("uid", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps")), "jumps")
-        moved = now.select("uid", F.col("up").alias("was")).join(after, "uid").filter("was <> up").limit(1).count()
-        now = after
-        if not moved:
-            return now.select("uid", F.col("up").alias("root"), F.col("steps").alias("depth"))
+    start = table.select("uid").join(linked, "uid", "left").select("uid", F.coalesce("parent", "uid").alias("up"), steps)
+    now = materialize(start.withColumn("done", F.col("steps") == 0), "jumps")
+    while not now.filter("not done").isEmpty():
+        ahead = now.select(F.col("uid").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
+        moved = now.filter("not done").join(ahead, "up").select(
+            "uid", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("_steps") == 0).alias("done")
+        )
+        now = materialize(now.filter("done").unionByName(moved), "jumps")
+    return now.select("uid", F.col("up").alias("root"), F.col("steps").alias("depth"))
 
 
 def conversations(messages: DataFrame, group: str = "conv_id", number: str = "turn", text: str = "text") -> DataFrame:
