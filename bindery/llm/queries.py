@@ -25,7 +25,8 @@ def paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.deduplicated(read_table(spark, sf_dir, "documents"))
+    """Runs of lines only, as the comparison SQL has them; the pipeline also deletes long lines which repeat by themselves."""
+    return linededup.deduplicated(read_table(spark, sf_dir, "documents"), long_words=None)
 
 
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

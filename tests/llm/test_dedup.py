@@ -61,6 +61,25 @@ def test_line_runs_of_odd_documents(spark):
     assert linededup.deduplicated(empty(spark)).count() == 0
 
 
+def test_long_lines_repeat_by_themselves(spark):
+    r = random.Random(3)
+    line = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    passage, short, han = line(55), line(49), "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(60))
+    own = [line(9) for _ in range(8)]
+    texts = [
+        f"{own[0]}\n{passage}\n{short}\n{own[1]}\n{han}",
+        f"{own[2]}\n  {passage} \n\n{own[3]}\n{short}\n{own[4]}\n{passage}",
+        passage,
+        f"{own[5]}\n{han}\n{own[6]}",
+        short,
+    ]
+    docs = docs_of(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    done = {x.doc_id: x for x in linededup.deduplicated(docs).collect()}
+    assert [done[i].removed for i in range(5)] == ["", "1:1,6:6", "0:0", "1:1", ""]
+    assert done[1].text == f"{own[2]}\n\n{own[3]}\n{short}\n{own[4]}" and done[2].text == ""
+    assert all(x.n_removed == 0 for x in linededup.deduplicated(docs, long_words=None).collect())
+
+
 def spans_left(rows):
     """Remove sentences in runs seen before, run by run."""
     seen, out = set(), {}
