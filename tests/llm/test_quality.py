@@ -1,3 +1,4 @@
+import pathlib
 import random
 import re
 
@@ -75,3 +76,32 @@ def test_keep_quality_agrees_and_passes_columns_on(spark):
     n = quality.quality_metrics(docs).filter("kept").count()
     assert kept.count() == n > 3
     assert quality.keep_quality(empty(spark)).count() == quality.quality_metrics(empty(spark)).count() == 0
+
+
+def keeps(text):
+    return quality.judge(text, zstandard.ZstdCompressor(level=3), quality.Bands())["kept"]
+
+
+@pytest.mark.parametrize("name", ["GPL-3", "LGPL-2.1", "GFDL-1.3", "Apache-2.0", "GPL-2", "MPL-2.0"])
+def test_real_prose_is_kept(name):
+    path = pathlib.Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no licence texts here")
+    text = path.read_text()
+    assert keeps(text) and keeps(text[: len(text) // 2]) and keeps(text[:3000])
+
+
+def test_the_lowest_ratio_falls_on_with_length():
+    bands = quality.Bands()
+    low = bands.whole[-1][1]
+    assert quality.in_bands(65536, low, [], bands) and not quality.in_bands(65536, 0.9 * low, [], bands)
+    assert quality.in_bands(2**23, 0.6 * low, [], bands) and not quality.in_bands(2**23, 0.3 * low, [], bands)
+
+
+def test_a_layer_of_marks_is_rejected():
+    for seed, n in ((1, 12), (2, 40), (3, 150)):
+        text = prose(seed, n)
+        r = random.Random(seed)
+        assert keeps(text)
+        assert not keeps(text.replace(" ", " | "))
+        assert not keeps(" ".join(w + r.choice(["&&&", "%%%", "***", "$$$", "###"]) for w in text.split()))
