@@ -1,10 +1,16 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-A text is cut into sentences, after stops and line ends. As a passage may be quoted from the middle
-of a sentence, sentences are also cut after words chosen by their hash: cuts depend on nothing but
-the word before them, so equal passages are cut alike wherever they stand. From every sentence on,
-the shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed. A run which
-occurs earlier in the corpus is a repeat, and sentences covered by any repeat are removed.
+A text is cut into sentences after stops. As a passage may be quoted from the middle of a sentence
+and may hold no stops, it is also cut by winnowing: words are hashed, and of every ``CUT_WINDOW``
+consecutive words the one with the least hash (the last of equal ones) ends a sentence. Cuts depend
+on nothing but the ``CUT_WINDOW - 1`` words to both sides; line ends and other white space play no
+part. From every sentence on, the shortest run of at least ``SENTENCES`` sentences and ``WORDS``
+words is hashed. A run which occurs earlier in the corpus is a repeat, and sentences covered by any
+repeat are removed.
+
+Any repeated passage of 50 words holds a repeated run: but for its first and last ``CUT_WINDOW - 1``
+words it is cut alike wherever it stands, a cut falls into every ``CUT_WINDOW`` words, and
+``WORDS + 4 * CUT_WINDOW`` is less than 50.
 
 Earlier means a smaller ``doc_id`` (null before all), then a smaller text key, then a higher place.
 Hashes are reduced by an aggregate and joined back to their places; their groups are never gathered.
@@ -17,7 +23,9 @@ between them not at all; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,30 +35,34 @@ from bindery.llm.common import materialize, per_batch
 
 SENTENCES = 2
 WORDS = 15
-#: one word in so many ends a sentence by its hash
-CUT_WORDS = 8
+#: one word or more of so many consecutive ones ends a sentence by its hash
+CUT_WINDOW = 8
 STOPS = (".", "!", "?", "…", "。")
 WORD = re.compile(r"\S+")
 
 
-def sentences(text: str, ends: dict[str, bool]) -> list[list[str]]:
-    """The sentences of a text as lists of words; ``ends`` remembers which words end one."""
-    out = []
-    for line in text.split("\n"):
-        held: list[str] = []
-        for w in line.split():
-            held.append(w)
-            end = ends.get(w)
-            if end is None:
-                if len(ends) > 500_000:
-                    ends.clear()
-                end = ends[w] = w.rstrip("\"')]»”").endswith(STOPS) or xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % CUT_WORDS == 0
-            if end:
-                out.append(held)
-                held = []
-        if held:
-            out.append(held)
-    return out
+def word_mark(w: str) -> int:
+    """The hash of a word, with its lowest bit set if a stop ends the word."""
+    h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
+    return h & ~1 | w.rstrip("\"')]»”").endswith(STOPS)
+
+
+def sentences(text: str, marks: dict[str, int]) -> list[list[str]]:
+    """The sentences of a text as lists of words; ``marks`` remembers the hashes of words and which end by a stop."""
+    words = text.split()
+    if len(marks) > 500_000:
+        marks.clear()
+    for w in words:
+        if w not in marks:
+            marks[w] = word_mark(w)
+    marked = np.fromiter((marks[w] for w in words), np.int64, len(words))
+    ends = marked & 1 == 1
+    if len(words) >= CUT_WINDOW:
+        # backwards, so that the first of equal hashes is the last in the text
+        least = np.lib.stride_tricks.sliding_window_view((marked >> 1)[::-1], CUT_WINDOW).argmin(axis=1)
+        ends[len(words) - 1 - (least + np.arange(len(least)))] = True
+    at = [0, *(np.flatnonzero(ends) + 1).tolist(), len(words)]
+    return [words[i:j] for i, j in pairwise(at) if i < j]
 
 
 def run_ends(parts: list[list[str]]) -> list[int]:
@@ -82,8 +94,8 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
     table = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def rows(columns: dict[str, list]) -> dict[str, list]:
-        ends: dict[str, bool] = {}
-        return {"doc_id": columns["doc_id"], "text_key": columns["text_key"], "runs": [run_hashes(sentences(t, ends)) for t in columns["text"]]}
+        marks: dict[str, int] = {}
+        return {"doc_id": columns["doc_id"], "text_key": columns["text_key"], "runs": [run_hashes(sentences(t, marks)) for t in columns["text"]]}
 
     return materialize(per_batch(table, "doc_id long, text_key long, runs array<long>", rows), "sentence-runs")
 
@@ -101,9 +113,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
 
-def without(text: str, starts: list[int], ends: dict[str, bool]) -> tuple[str, int, int, str]:
+def without(text: str, starts: list[int], marks: dict[str, int]) -> tuple[str, int, int, str]:
     """The text left over, its sentences, those removed, and the removed spans in code points."""
-    parts = sentences(text, ends)
+    parts = sentences(text, marks)
     runs = run_ends(parts)
     gone = [False] * len(parts)
     upto = 0
@@ -136,8 +148,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("text string, n long, removed string")
     def cut(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        ends: dict[str, bool] = {}
-        out = [(t, 0, "") if s is None else (lambda r: (r[0], r[2], r[3]))(without(t, list(s), ends)) for t, s in zip(text, starts, strict=True)]
+        marks: dict[str, int] = {}
+        out = [(t, 0, "") if s is None else (lambda r: (r[0], r[2], r[3]))(without(t, list(s), marks)) for t, s in zip(text, starts, strict=True)]
         return pd.DataFrame(out, columns=["text", "n", "removed"])
 
     done = both.select("doc_id", cut("text", "starts").alias("c"))

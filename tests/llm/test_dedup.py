@@ -136,3 +136,27 @@ def test_a_passage_from_the_middle_of_a_sentence_is_found(spark):
     assert first.text == rows[0][1]
     left = second.text.split()
     assert sum(w in words for w in left) <= 30 and all(w in left for w in own[2].split()[:30])
+
+
+def test_every_passage_of_fifty_words_holds_a_common_run():
+    r = random.Random(7)
+    words = lambda n, k: [f"w{r.randrange(k)}" for _ in range(n)]
+    for i in range(2000):
+        passage = words(50, 3 if i % 4 == 0 else 10**6)
+        runs = []
+        for _ in range(2):
+            text = words(r.randrange(30), 10**6) + passage + words(r.randrange(30), 10**6)
+            runs.append(set(spans.run_hashes(spans.sentences("".join(w + r.choice(" \n") for w in text), {}))))
+        assert runs[0] & runs[1]
+
+
+def test_a_passage_wrapped_otherwise_and_without_stops_is_removed(spark):
+    r = random.Random(8)
+    words = lambda n, to="v": [f"{to}{r.randrange(10**6)}" for _ in range(n)]
+    passages = [words(50, "w") for _ in range(40)]
+    wrapped = lambda p, n: "\n".join(" ".join(p[i : i + n]) for i in range(0, len(p), n))
+    rows = [(100 * k + i, wrapped(words(20) + p + words(20), n), "en", "a", 1) for i, p in enumerate(passages) for k, n in ((0, 9), (1, 13))]
+    for row in spans.deduplicated(docs_of(spark, rows)).collect():
+        p = passages[row.doc_id % 100]
+        left = sum(w in p for w in row.text.split())
+        assert len(row.text.split()) - left == 40 and (left == 50 if row.doc_id < 100 else left <= 35)
