@@ -2,9 +2,11 @@
 
 Messages quote what they answer with ``>`` before each line, nested for quotes in quotes. A message
 is parsed into runs of lines of one quote level; level 0 is what its author wrote. Level by level the
-quoted lines form a passage, whose normalised text is hashed, as are the paragraphs and the whole of
-what every message's author wrote. A passage is joined to the messages which wrote it: to the latest
-earlier one of the same group, or else to the earliest one of the corpus. A message replies to the
+quoted lines form a passage, whose normalised text is hashed, as are the whole, the parts between
+quotes and the lines of what every message's author wrote. A passage is joined to the messages which
+wrote it: to the latest earlier one of the same group, or else to the earliest one of the corpus. A
+passage that no message wrote as a whole is joined by its lines, to the message which wrote most of
+them and at least half. A message replies to the
 origin of its outermost passage; following replies gives threads, ordered by reply.
 
 Hashes are reduced to one origin per group and one per corpus before the join, so a first turn which a
@@ -47,8 +49,8 @@ def blocks(text: str) -> list[tuple[int, str]]:
     return [(d, "\n".join(lines)) for d, lines in out]
 
 
-def own_text(parts: list[tuple[int, str]]) -> str:
-    """What the author wrote: level 0 without the lines that introduce a quote."""
+def own_parts(parts: list[tuple[int, str]]) -> list[str]:
+    """What the author wrote, by the quotes between: level 0 without the lines that introduce a quote."""
     out = []
     for i, (depth, text) in enumerate(parts):
         if depth:
@@ -58,7 +60,11 @@ def own_text(parts: list[tuple[int, str]]) -> str:
             while lines and (not lines[-1].strip() or INTRO.match(lines[-1].strip())):
                 lines.pop()
         out.append("\n".join(lines).strip("\n"))
-    return "\n".join(p for p in out if p.strip())
+    return [p for p in out if p.strip()]
+
+
+def own_text(parts: list[tuple[int, str]]) -> str:
+    return "\n".join(own_parts(parts))
 
 
 def passage_hash(text: str) -> str | None:
@@ -67,10 +73,16 @@ def passage_hash(text: str) -> str | None:
     return hashlib.sha256(words.encode("utf-8", "surrogatepass")).hexdigest() if words else None
 
 
+def line_hashes(text: str) -> list[str]:
+    """The different hashes of a passage's lines; none for a passage of one line."""
+    found = {passage_hash(line) for line in text.split("\n")} - {None}
+    return sorted(found) if len(found) > 1 else []
+
+
 def parsed(messages: DataFrame, group: str, number: str, text: str) -> DataFrame:
     """``uid, grp, num, own, quoted, wrote``: own text, quoted passages outermost first, hashes of what was written. Written once."""
     table = messages.select(F.col(group).cast("string").alias("grp"), F.col(number).cast("long").alias("num"), F.coalesce(text, F.lit("")).alias("text"))
-    schema = "uid long, grp string, num long, own string, quoted array<struct<depth: int, hash: string>>, wrote array<string>"
+    schema = "uid long, grp string, num long, own string, quoted array<struct<depth: int, hash: string, lines: array<string>>>, wrote array<string>"
 
     def rows(columns: dict[str, list]) -> dict[str, list]:
         own, quoted, wrote = [], [], []
@@ -78,9 +90,9 @@ def parsed(messages: DataFrame, group: str, number: str, text: str) -> DataFrame
             parts = blocks(t)
             mine = own_text(parts)
             own.append(mine)
-            found = [{"depth": d, "hash": h} for d, p in parts if d and (h := passage_hash(p))]
+            found = [{"depth": d, "hash": h, "lines": line_hashes(p)} for d, p in parts if d and (h := passage_hash(p))]
             quoted.append(sorted(found, key=lambda q: q["depth"]))
-            pieces = {passage_hash(p) for p in (mine, *mine.split("\n"))} - {None}
+            pieces = {passage_hash(p) for p in (mine, *own_parts(parts), *mine.split("\n"))} - {None}
             wrote.append(sorted(pieces))
         return {k: columns[k] for k in ("uid", "grp", "num")} | {"own": own, "quoted": quoted, "wrote": wrote}
 
@@ -93,14 +105,28 @@ def links(table: DataFrame) -> DataFrame:
     # combined map-side: a row per hash and message number of a group, and a row per hash
     in_group = wrote.groupBy("hash", "grp", "num").agg(F.min("uid").alias("origin"))
     anywhere = wrote.groupBy("hash").agg(F.min(F.struct("grp", "num", "uid")).alias("first"))
-    quotes = table.select("uid", "grp", "num", F.posexplode("quoted").alias("place", "q")).select("uid", "grp", "num", "place", "q.depth", "q.hash")
+    quotes = table.select("uid", "grp", "num", F.posexplode("quoted").alias("place", "q")).select("uid", "grp", "num", "place", "q.depth", "q.hash", "q.lines")
     near = in_group.select(F.col("hash").alias("_h"), F.col("grp").alias("_g"), F.col("num").alias("_n"), "origin")
-    same = quotes.join(near, (F.col("hash") == F.col("_h")) & F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_n") < F.col("num")))
-    latest = same.groupBy("uid", "place").agg(F.max_by("origin", "_n").alias("close"))
+
+    def same_group(df: DataFrame) -> DataFrame:
+        return df.join(near, (F.col("hash") == F.col("_h")) & F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_n") < F.col("num")))
+
+    latest = same_group(quotes).groupBy("uid", "place").agg(F.max_by("origin", "_n").alias("close"))
     both = quotes.join(latest, ["uid", "place"], "left").join(anywhere, "hash", "left")
     # every link leads to an earlier message, so replies form no cycle
-    origin = F.coalesce("close", F.when(F.col("first") < F.struct("grp", "num", "uid"), F.col("first.uid")))
-    return both.withColumn("parent", origin).filter("parent is not null").groupBy("uid").agg(
+    earlier = F.col("first") < F.struct("grp", "num", "uid")
+    whole = materialize(both.withColumn("parent", F.coalesce("close", F.when(earlier, F.col("first.uid")))).drop("hash", "close", "first"), "quote-origins")
+    # only what no message wrote as a whole goes by lines
+    missed = whole.filter("parent is null and size(lines) > 0").withColumn("n", F.size("lines"))
+    lines = missed.select("uid", "grp", "num", "place", "n", F.explode("lines").alias("hash"))
+    enough = 2 * F.col("votes") >= F.col("n")
+    of_group = same_group(lines).groupBy("uid", "place", "n", "_n").agg(F.count(F.lit(1)).alias("votes"), F.min("origin").alias("origin"))
+    close = of_group.filter(enough).groupBy("uid", "place").agg(F.max_by("origin", F.struct("votes", "_n")).alias("close"))
+    of_all = lines.join(anywhere, "hash").filter(earlier).groupBy("uid", "place", "n", "first").agg(F.count(F.lit(1)).alias("votes"))
+    far = of_all.filter(enough).groupBy("uid", "place").agg(F.min_by("first.uid", F.struct(-F.col("votes"), F.col("first"))).alias("far"))
+    by_lines = missed.select("uid", "place", "depth").join(close, ["uid", "place"], "left").join(far, ["uid", "place"], "left")
+    found = whole.select("uid", "place", "depth", "parent").unionByName(by_lines.select("uid", "place", "depth", F.coalesce("close", "far").alias("parent")))
+    return found.filter("parent is not null").groupBy("uid").agg(
         F.min_by("parent", F.struct("depth", "place")).alias("parent"), F.count(F.lit(1)).alias("linked")
     )
 

@@ -57,3 +57,19 @@ def test_levels():
     assert quotes.level("> > a") == (2, "a") and quotes.level(">>a") == (2, "a") and quotes.level(" > a") == (1, "a")
     assert quotes.level("a > b") == (0, "a > b") and quotes.level(">") == (1, "")
     assert quotes.blocks("x\n> y\n> z\nw") == [(0, "x"), (1, "y\nz"), (0, "w")]
+
+
+def test_partial_and_inline_quotes(spark):
+    rows = [
+        ("p", 0, "first line\nsecond line\nthird line\nfourth line"),
+        ("p", 1, "second line\nother words"),
+        ("p", 2, "> second line\n> third line\nSome of it."),  # two lines of four
+        ("p", 3, "> first line\n> second line\nAnswer one\nover two lines.\n> fourth line\nAnswer two\nover lines too."),
+        ("p", 4, "> > first line\n> Answer two\n> over lines too.\nTo a part of an inline reply."),
+        ("q", 0, "> first line\n> third line\n> a line nobody wrote\nFrom another group."),
+        ("q", 1, "> nobody\n> wrote\n> fourth line\nToo little in common."),
+    ]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id string, turn long, text string").repartition(2)).collect()
+    to = {(r.group, r.number): (r.reply_to_group, r.reply_to_number) for r in got}
+    none = (None, None)
+    assert to == {("p", 0): none, ("p", 1): none, ("p", 2): ("p", 0), ("p", 3): ("p", 0), ("p", 4): ("p", 3), ("q", 0): ("p", 0), ("q", 1): none}
