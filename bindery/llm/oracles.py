@@ -107,9 +107,32 @@ select d.doc_id,
 from documents d
 """
 
+NEGATIVES = """
+with v as (
+  select row_number() over () as uid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as hugeint)) as vec
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.uid, a.vec_id as anchor_id, a.label = b.label as same, b.vec_id,
+         cast(coalesce(list_sum(list_transform(range(1, 1 + least(len(a.vec), len(b.vec))), lambda i: a.vec[i] * b.vec[i])), 0) as bigint) as score
+  from v a join v b on a.uid <> b.uid where a.vec_id % 100 = 0
+), p as (
+  select *, row_number() over (partition by uid order by score desc, vec_id nulls last) as place from s where same
+), n as (
+  select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by p.uid, p.place order by s.score desc, s.vec_id nulls last) as rank
+  from p join s using (uid)
+  where p.place <= 5 and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_round_trip": WARC,
     "op4_winnowed_lines": LINES,
     "op6_quotation_threads": THREADS,
     "op8_lsh_forest_join": JACCARD,
+    "op13_window_negatives": NEGATIVES,
 }
