@@ -107,6 +107,44 @@ select d.doc_id,
 from documents d
 """
 
+DIVERGENCE = r"""
+with d as (
+  select row_number() over () as doc, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents
+), w as (
+  select doc, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+  from d
+), k as (
+  select lang, term, count(*) as total from w group by lang, term having count(distinct doc) >= 30
+), g as (
+  select distinct lang, source from d
+), c as (
+  select lang, source, term, count(*) as n from w join k using (lang, term) group by lang, source, term
+), f as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.total from g join k using (lang) left join c using (lang, source, term)
+), m as (
+  select *, sum(n) over (partition by lang, source) as source_n, count(*) over (partition by lang, source) as kinds from f
+), l as (
+  select lang, sum(total) as lang_n from k group by lang
+), p as (
+  select lang, source, term, n, 1 + cast(1000000000 as hugeint) * (n + 5) // (source_n + 5 * kinds) as p,
+         1 + cast(1000000000 as hugeint) * (total + 5) // (lang_n + 5 * kinds) as q
+  from m join l using (lang)
+), pair as (
+  select a.lang, a.source, b.source as item, coalesce((
+    select sum(abs(x.p - y.p)) from p x join p y using (lang, term) where x.lang = a.lang and x.source = a.source and y.source = b.source), 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+), own as (
+  select lang, source, term as item, p - q as value from p where n > 0 and p > q
+), ranked as (
+  select *, 'pair' as part, row_number() over (partition by lang, source order by value desc, item) as rank from pair
+  union all by name
+  select *, 'term' as part, row_number() over (partition by lang, source order by value desc, item) as rank from own
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from ranked where part = 'pair' or rank <= 50
+"""
+
 NEGATIVES = """
 with v as (
   select row_number() over () as uid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
@@ -134,5 +172,6 @@ ORACLES: dict[str, str] = {
     "op4_winnowed_lines": LINES,
     "op6_quotation_threads": THREADS,
     "op8_lsh_forest_join": JACCARD,
+    "op12_term_tree_audit": DIVERGENCE,
     "op13_window_negatives": NEGATIVES,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import fingerprint, jaccard, linededup, mixing, negatives, oracles, packing, quality, quotes, secrets, spans, warc
+from bindery.llm import divergence, fingerprint, jaccard, linededup, mixing, negatives, oracles, packing, quality, quotes, secrets, spans, warc
 from bindery.llm.common import read_table
 
 
@@ -58,6 +58,10 @@ def quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_metrics(read_table(spark, sf_dir, "documents"))
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
 def hard_negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the rows whose id is divisible by 100; labels of ids divisible by 7 are moved on by one."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lsh_forest_join": shingle_join,
     "op9_source_mix": source_mix,
     "op10_compression_bands": quality_bands,
+    "op12_term_tree_audit": source_divergence,
     "op13_window_negatives": hard_negative_rows,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
