@@ -1,8 +1,8 @@
 """Comparison SQL (DuckDB) for the queries of this subpackage that SQL can express.
 
 The others are held against brute force in ``tests/llm``: token ids (op1), sketches (op3), hashed
-sentence cuts (op5), code-point offsets of regular expressions (op7), seeded draws (op9) and
-compressed sizes (op10) have no SQL form.
+sentence cuts (op5), code-point offsets of regular expressions (op7), seeded draws (op9),
+compressed sizes (op10) and a trained model (op11) have no SQL form.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import divergence, fingerprint, jaccard, linededup, mixing, negatives, oracles, packing, quality, quotes, secrets, spans, warc
+from bindery.llm import divergence, fingerprint, jaccard, lbl, linededup, mixing, negatives, oracles, packing, quality, quotes, secrets, spans, warc
 from bindery.llm.common import read_table
 
 
@@ -58,6 +58,10 @@ def quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_metrics(read_table(spark, sf_dir, "documents"))
 
 
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.scored(read_table(spark, sf_dir, "documents"))
+
+
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lsh_forest_join": shingle_join,
     "op9_source_mix": source_mix,
     "op10_compression_bands": quality_bands,
+    "op11_log_bilinear": model_scores,
     "op12_term_tree_audit": source_divergence,
     "op13_window_negatives": hard_negative_rows,
 }
