@@ -20,8 +20,7 @@ share for unseen words, so class and token probabilities each sum to one and no
 Defined cases: a null text is empty and scores its end alone; a null id counts as an empty one, which is
 a training text; repeated rows are texts of their own; words of any length are compared as a whole; with
 no training text the classes have the probabilities of an untrained model and base scores are 0; an empty
-table gives an empty
-result; other columns are ignored.
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
