@@ -276,6 +276,15 @@ BOOK = f"""{P}, {SORTED_SITE}, t as (select *, {sanitized('raw')} as san from (s
   named as (select *, {chapter_id('url', 'idx')} as id, {sanitized("case when k > 0 then san || ' (' || (k + 1) || ')' else san end")} as title from d),
   kept as (select * from named where length({escaped('title')}) + 5 + length({_RENDERED}) >= 50)"""
 
+# the same over pages of which some are thin
+THIN = """case page_id % 10 when 3 then '<body><p>hi</p></body>'
+  when 4 then '<body><article><h1>T</h1><p class=''short''><b>few</b> <i>words</i> <u>only</u></p></article></body>' else html end"""
+LEDGER = BOOK.replace(P, P.replace("url, html from", f"url, {THIN} as html from"))
+# inner HTML of an article as rendered: the source, the ends of its last paragraph, and what later paragraphs open again
+RENDERED_SIZE = f"(length({trim(ARTICLE)}) + 8 + 7 * greatest({n_of(ARTICLE, '<p>')} - 1, 0))"
+# an article of 50 characters or less is too short for a selector, and the body is taken
+CHOSEN = f"case when {RENDERED_SIZE} > 50 then {ARTICLE} else '<article>' || {ARTICLE} end"
+
 ORACLES: dict[str, str] = {
     "read_pages": f"select {site()} as site, page_id, url, md5(html) as html_md5 from pages",
     "html_nodes": f"select page_id, tag, count(*) as n from ({TAGS}) where tag <> 'b' group by all union all {BOLD}",
@@ -328,7 +337,7 @@ ORACLES: dict[str, str] = {
     "remove_noise": f"select page_id, {squash(f'{TITLE} || {ARTICLE}')} as text_md5, {tags(f"'<html><head><meta><title><body><article>' || {ARTICLE}")} as tags_md5, 0 as noise_tags, 0 as comments from pages",
     "remove_empty_elements": f"select page_id, tag, count(*) as n from ({WITH_EXTRA}) where tag <> 'b' group by all union all {BOLD}",
     "strip_attributes": attr_counts(),
-    "parse_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, {tags(ARTICLE)} as tags_md5, 0 as n_images, null::varchar as error_code from pages",
+    "parse_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, {tags(CHOSEN)} as tags_md5, 0 as n_images, null::varchar as error_code from pages",
     "configured_pages": f"select page_id, {trim(decode(H1))} as title, {squash(ARTICLE)} as text_md5, 'png' as format from pages",
     "converted_tags": """select page_id, unnest(['n0', 'n1', 'n2', 'n3', 'n4', 'n5', 'n6']) as elem_id, unnest(['span', 'span', 'span', 'span', 'div', 'div', 'mark']) as tag,
       unnest(['class,id', 'class,id', 'class,id', 'class,id', 'class,id', 'class,id', 'class,foo,id']) as attributes from pages""",
@@ -421,7 +430,8 @@ ORACLES: dict[str, str] = {
     "split_errors": "select page_id, case when page_id % 10 = 0 then 'NO_CONTENT_FOUND' else 'OK' end as status from pages",
     "book_corpus": f"""with {BOOK} select canon.site, {metadata(f'min_by({TITLE}, canon.page_id)')} as title, {got('canon.site', '^https?://(?:www[.])?(.*)')} as publisher,
       any_value(n) as chapters_count, 0::bigint as images_count from canon join (select site, count(*) as n from kept group by site) as k on k.site = canon.site group by canon.site""",
-    "corpus_ledger": f"""with {P}, {SORTED_SITE} select p.page_id, case when c.page_id is null then 'DUPLICATE_PAGE' when p.page_id % 10 = 3 then 'NO_CONTENT_FOUND'
-      when p.page_id % 10 = 4 then 'CHAPTER_TOO_SHORT' else 'CHAPTER' end as status from p left join (select page_id from canon) c using (page_id)""",
+    "corpus_ledger": f"""with {LEDGER} select p.page_id, case when c.page_id is null then 'DUPLICATE_PAGE' when p.page_id % 10 = 3 then 'NO_CONTENT_FOUND'
+      when k.page_id is null then 'CHAPTER_TOO_SHORT' else 'CHAPTER' end as status
+      from p left join (select page_id from canon) c using (page_id) left join (select page_id from kept) k using (page_id)""",
     "book_chapters": f"""with {BOOK} select site, page_id, id, title, (row_number() over (partition by site order by page_id) - 1)::int as "order" from kept""",
 }
