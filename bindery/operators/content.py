@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bindery.functions.sqltext import let, q
 from bindery.functions.strings import JS_SPACE, js_trim, or_else, page_title
 from bindery.operators.links import detect_site_profile
-from bindery.operators.render import cut, drop_subtrees, is_element, is_text, next_pos, page_strings, render_html, so_far
+from bindery.operators.render import cut, drop_subtrees, drop_tags, is_element, is_text, next_pos, page_strings, render_html, so_far
 from bindery.operators.selectors import Matcher
 from bindery.sources.html import KEY, html_nodes
 from bindery.sources.profiles import DEFAULT, PROFILES, Profile
@@ -80,11 +80,14 @@ def remove_noise(
     base = list(dict.fromkeys([*base, *shared]))
     extra = {name: [s for s in group if s not in base] for name, group in own.items()}
     m = Matcher.over(nodes, [*base, *[s for group in extra.values() for s in group]])
-    flag = m.any_of(base)
+    # the end of an empty element is not known to the rows inside it
+    matches = m.any_of if m.tests_empty else m.within
+    flag = matches(base)
     for name, group in extra.items():
         if group:
-            flag = flag | ((F.col("profile") == name) & m.any_of(group))
-    out = drop_subtrees(m.nodes, flag).drop(*m.helpers)
+            flag = flag | ((F.col("profile") == name) & matches(group))
+    out = drop_subtrees(m.nodes, flag) if m.tests_empty else m.nodes.filter(~F.coalesce(flag, F.lit(False)))
+    out = out.drop(*m.helpers)
     out = remove_comments(out) if comments else out
     return remove_empty_elements(out) if empty else out
 
@@ -115,7 +118,7 @@ def collapse_space(html: Column) -> Column:
 def clean_content(pages: DataFrame, html: str = "content") -> DataFrame:
     """``content`` without scripts and empty links and with collapsed white space."""
     nodes = html_nodes(pages, html)
-    nodes = drop_subtrees(nodes, F.col("tag").isin("script", "style", "noscript"))
+    nodes = drop_tags(nodes, ["script", "style", "noscript"])
     nodes = drop_subtrees(_mark_links(nodes), _empty_links()).drop("_next")
     out = render_html(nodes, "content", scope="body")
     return out.withColumn("content", collapse_space(F.col("content")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions.urls import resolve_url
-from bindery.operators.render import drop_subtrees, is_element, is_text, next_pos
+from bindery.operators.render import drop_subtrees, drop_tags, is_element, is_text, next_pos
 from bindery.operators.scan import SAFE_BROADCAST_ROWS, lookup
 from bindery.session import materialize, materialize_counted
 from bindery.sources.html import KEY
@@ -50,7 +50,7 @@ def extract_image_urls(nodes: DataFrame, base: str = "url") -> DataFrame:
 
 def remove_images(nodes: DataFrame) -> DataFrame:
     """Drop images and pictures, then figures which are left without any child."""
-    out = drop_subtrees(nodes, F.col("tag").isin("img", "picture"))
+    out = drop_tags(nodes, ["img", "picture"])
     child = is_element() | (is_text() & (F.col("text") != ""))
     out = out.withColumn("_next", next_pos(child))
     bare = (F.col("tag") == "figure") & (F.col("_next").isNull() | (F.col("_next") > F.col("end_pos")))

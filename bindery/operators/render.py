@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.sources.html import KEY, VOID
+from bindery.functions.sqltext import q
+from bindery.sources.html import KEY, LEVEL, PART, VOID
+
+# the innermost link around a row, and the body as second element, in ``ancestors``
+_LINK = f"(?s).*{LEVEL}([0-9]+){PART}a{PART}"
+_BODY = f"^{LEVEL}[^{LEVEL}]*{LEVEL}[0-9]+{PART}body{PART}"
 
 
 def by_pos(descending: bool = False):
@@ -58,6 +63,12 @@ def drop_subtrees(nodes: DataFrame, flag: Column) -> DataFrame:
     return nodes.withColumn("_reach", reach).filter("_reach is null or _reach < pos").drop("_reach")
 
 
+def drop_tags(nodes: DataFrame, tags: list[str]) -> DataFrame:
+    """Remove the elements with one of the tags, with all they contain: a test of each row."""
+    around = F.col("ancestors").rlike(f"{LEVEL}[0-9]+{PART}(?:{'|'.join(tags)}){PART}")
+    return nodes.filter(~around & ~F.coalesce(F.col("tag").isin(*tags), F.lit(False)))
+
+
 def next_pos(flag: Column) -> Column:
     """Position of the next row where ``flag`` holds, else null."""
     return F.last(F.when(flag, F.col("pos")), ignorenulls=True).over(by_pos(descending=True).rowsBetween(Window.unboundedPreceding, -1))
@@ -83,9 +94,9 @@ def events(nodes: DataFrame) -> DataFrame:
 def render_html(nodes: DataFrame, name: str = "html", scope: str = "document", carry: tuple[str, ...] = ()) -> DataFrame:
     """One HTML string per page: the whole document or the inside of ``body``."""
     if scope == "body":
-        body = is_element() & (F.col("tag") == "body") & (F.col("depth") == 1)
-        text = F.expr("listagg(case when inner_ then piece end, '') within group (order by ev)")
-        nodes = nodes.withColumn("inner_", inside(body))
+        # rows outside the body stay as rows without text, so that no page is lost
+        within = f"ancestors rlike {q(_BODY)}"
+        text = F.expr(f"listagg(case when {within} then piece end, '') within group (order by ev)")
     else:
         text = F.expr("listagg(piece, '') within group (order by ev)")
     kept = [F.first(c).alias(c) for c in carry]
@@ -148,13 +159,12 @@ def cut(text: Column, begin: Column, end: Column) -> Column:
 def with_link_text(nodes: DataFrame, wanted: Column) -> DataFrame:
     """The wanted element rows with ``inner_text``, the text inside each ``a``.
 
-    Links do not nest, so each text belongs to at most one link and no pairs are
-    formed; other elements get empty text.
+    Links do not nest, so each text belongs to at most one link, which its ancestors
+    name; only these texts and the wanted rows are shuffled. Other elements get empty text.
     """
-    link = F.when(is_element() & (F.col("tag") == "a"), F.struct("pos", "end_pos"))
-    owner = F.last(link, ignorenulls=True).over(so_far())
+    owner = F.regexp_extract("ancestors", _LINK, 1)
     row = F.struct(*[c for c in nodes.columns if c not in KEY])
-    piece = F.when(is_text() & (owner["end_pos"] > F.col("pos")), F.struct(owner["pos"].alias("at"), F.col("pos").alias("ev"), F.col("text").alias("piece"), F.lit(None).cast(_row_type(nodes)).alias("row")))
+    piece = F.when(is_text() & (owner != ""), F.struct(owner.cast("int").alias("at"), F.col("pos").alias("ev"), F.col("text").alias("piece"), F.lit(None).cast(_row_type(nodes)).alias("row")))
     own = F.when(wanted, F.struct(F.col("pos").alias("at"), F.col("pos").alias("ev"), F.lit(None).cast("string").alias("piece"), row.alias("row")))
     parts = nodes.withColumn("_parts", F.array_compact(F.array(piece, own))).select(*KEY, F.inline("_parts"))
     text = F.expr("listagg(piece, '') within group (order by ev)")

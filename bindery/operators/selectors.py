@@ -1,21 +1,23 @@
 """CSS selectors compiled to predicates over node rows.
 
 A selector is a chain of compounds joined by descendant and child combinators. Only
-the list of selector strings is handled on the driver; matching is a projection plus,
-for chains, a running maximum in page order.
+the list of selector strings is handled on the driver. A row's own columns tell
+whether the last compound matches; the others are looked for in ``ancestors`` by one
+regular expression. So matching, and telling what lies inside matching elements, are
+tests of single rows: no shuffle, no window.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions.sqltext import q, q_list
-from bindery.operators.render import before, is_element, is_text, next_pos, with_link_text
-from bindery.sources.html import KEY
+from bindery.operators.render import is_element, is_text, next_pos, with_link_text
+from bindery.sources.html import LEVEL, PART
 
 _SIMPLE = re.compile(
     r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)
@@ -44,6 +46,32 @@ class Compound:
     def plain_tag(self) -> bool:
         return bool(self.tag) and not (self.classes or self.ids or self.attrs or self.contains or self.empty)
 
+    def parts(self) -> list[str]:
+        """What the parts of an element in ``ancestors`` have to match, each from its beginning."""
+        rest, word = f"[^{PART}]*", rf"(?:[^{PART}]*\s)?"
+        found = [f"#{re.escape(i)}{PART}" for i in self.ids] + [rf"\.{re.escape(c)}{PART}" for c in self.classes]
+        for name, op, value in self.attrs:
+            v, key = re.escape(value or ""), rf"\[{re.escape(name)}="
+            forms = {
+                None: key,
+                "=": f"{key}{v}{PART}",
+                "*=": f"{key}{rest}{v}",
+                "^=": f"{key}{v}",
+                "$=": f"{key}{rest}{v}{PART}",
+                "~=": rf"{key}{word}{v}(?:\s{rest})?{PART}",
+                "|=": f"{key}{v}(?:-{rest})?{PART}",
+            }
+            found.append("(?!)" if op in ("*=", "^=", "$=") and not value else forms[op])
+        return found
+
+    def level(self) -> str:
+        """Regular expression of the whole element in ``ancestors``."""
+        tests = [f"(?={PART}{re.escape(self.tag)}{PART})"] if self.tag else []
+        tests += [f"(?=[^{LEVEL}]*{PART}{part})" for part in self.parts()]
+        if self.empty:  # nothing is inside an empty element
+            tests.append("(?!)")
+        return f"{LEVEL}[0-9]+{''.join(tests)}[^{LEVEL}]*"
+
     def sql(self, contains: bool) -> str:
         tests = ["kind = 'element'"]
         if self.tag:
@@ -119,66 +147,52 @@ def split_list(selectors: str) -> list[str]:
     return [s.strip() for s in selectors.split(",")]
 
 
+def chain_pattern(chain: list[Compound] | tuple[Compound, ...]) -> str:
+    """Regular expression of elements in ``ancestors`` which match the compounds one after the other."""
+    out = ""
+    for i, compound in enumerate(chain):
+        out += ("" if compound.child or not i else f"(?:{LEVEL}[^{LEVEL}]*)*") + compound.level()
+    return out
+
+
+def inside_pattern(chains: list[tuple[Compound, ...]]) -> str:
+    """Regular expression which finds an element matching one of the chains in ``ancestors``."""
+    single = [c[0] for c in chains if len(c) == 1]
+    tags = sorted({re.escape(c.tag) for c in single if c.plain_tag})
+    # of one condition: what a part has to match, with names of classes put together
+    one = [c for c in single if not c.tag and not c.empty and len(c.ids) + len(c.classes) + len(c.attrs) == 1]
+    classes = sorted({re.escape(c.classes[0]) for c in one if c.classes})
+    found = [rf"{PART}\.(?:{'|'.join(classes)}){PART}"] if classes else []
+    found += [f"{PART}(?:{'|'.join(parts)})"] if (parts := sorted({c.parts()[0] for c in one if not c.classes})) else []
+    found += [f"{LEVEL}[0-9]+{PART}(?:{'|'.join(tags)}){PART}"] if tags else []
+    return "|".join(found + [chain_pattern(c) for c in chains if len(c) > 1 or not (c[0].plain_tag or c[0] in one)])
+
+
 @dataclass
 class Matcher:
-    """Adds the helper columns a set of selectors needs and gives their predicates.
+    """Adds the helper column a set of selectors needs and gives their predicates.
 
     ``:contains`` needs element text and so only works through ``match_selectors``;
     elsewhere such a selector counts as not understood.
     """
 
     nodes: DataFrame
-    _flags: dict = field(default_factory=dict)
+    tests_empty: bool = False
 
     @staticmethod
     def over(nodes: DataFrame, selectors: list[str]) -> Matcher:
-        chains = [chain for s in selectors for chain in parse_selector(s) or []]
-        if any(c.empty for chain in chains for c in chain):
+        empty = any(c.empty for s in selectors for chain in parse_selector(s) or [] for c in chain)
+        if empty:
             follower = next_pos(is_element() | (is_text() & (F.col("text") != "")))
-            empty = follower.isNull() | (follower > F.col("end_pos"))
-            nodes = nodes.withColumn("_empty", empty)
-        matcher = Matcher(nodes)
-        # one pass per ancestor level, so that all running maxima of a level share one window
-        level = 1
-        while any(len(chain) > level for chain in chains):
-            heads = {tuple(chain[:level]) for chain in chains if len(chain) > level and not chain[level].child}
-            parents = {tuple(chain[:level]) for chain in chains if len(chain) > level and chain[level].child}
-            matcher._mark_children(sorted(parents, key=repr))
-            columns = {}
-            for head in sorted(heads, key=repr):
-                name = f"_in{len(matcher._flags)}"
-                matcher._flags[head, False] = name
-                reach = F.max(F.expr(f"case when {matcher._chain(head, False)} then end_pos end")).over(before())
-                columns[name] = F.coalesce(reach > F.col("pos"), F.lit(False))
-            matcher.nodes = matcher.nodes.withColumns(columns)
-            level += 1
-        return matcher
-
-    def _mark_children(self, heads: list[tuple[Compound, ...]]) -> None:
-        """Flags for rows whose parent matches: an element one level up which is still open.
-
-        Matching elements come a second time at their children's level, where a running
-        maximum of their ends tells; the second rows are dropped after it.
-        """
-        if not heads:
-            return
-        ends = {f"_end{i}": F.expr(f"case when {self._chain(head, False)} then end_pos end") for i, head in enumerate(heads)}
-        matched = F.coalesce(*[F.col(c) for c in ends]).isNotNull()
-        twice = F.when(matched, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-        rows = self.nodes.withColumns(ends).withColumn("_up", F.explode(twice))
-        rows = rows.withColumn("_level", F.col("depth") + F.col("_up").cast("int"))
-        earlier = Window.partitionBy(*KEY, "_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        columns = {}
-        for i, head in enumerate(heads):
-            name = f"_in{len(self._flags)}"
-            self._flags[head, True] = name
-            reach = F.max(F.when(F.col("_up"), F.col(f"_end{i}"))).over(earlier)
-            columns[name] = F.coalesce(reach > F.col("pos"), F.lit(False))
-        self.nodes = rows.withColumns(columns).filter(~F.col("_up")).drop("_up", "_level", *ends)
+            nodes = nodes.withColumn("_empty", follower.isNull() | (follower > F.col("end_pos")))
+        return Matcher(nodes, empty)
 
     def _chain(self, chain: tuple[Compound, ...], contains: bool) -> str:
         own = chain[-1].sql(contains)
-        return f"({own} and {self._flags[tuple(chain[:-1]), chain[-1].child]})" if len(chain) > 1 else own
+        if len(chain) == 1:
+            return own
+        pattern = chain_pattern(chain[:-1]) + (r"\z" if chain[-1].child else "")
+        return f"({own} and ancestors rlike {q(pattern)})"
 
     def _any(self, selectors: list[str], contains: bool | None) -> str:
         chains = [tuple(chain) for s in selectors for chain in parse_selector(s) or []]
@@ -202,6 +216,13 @@ class Matcher:
         """
         return F.expr(self._any(selectors, contains))
 
+    def within(self, selectors: list[str]) -> Column:
+        """Does the row match one of the selectors, or lie inside an element which does?"""
+        chains = [tuple(chain) for s in selectors for chain in parse_selector(s) or []]
+        pattern = inside_pattern([c for c in chains if not any(p.contains for p in c)])
+        inside = f"ancestors rlike {q(pattern)}" if pattern else "false"
+        return F.expr(f"({self._any(selectors, None)} or {inside})")
+
     def indexes(self, selectors: list[str], contains: bool | None = None) -> Column:
         """Array of the (0-based) positions of the selectors the row matches."""
         tests = [f"if({self._any([s], contains)}, {i}, null)" for i, s in enumerate(selectors)]
@@ -209,7 +230,7 @@ class Matcher:
 
     @property
     def helpers(self) -> list[str]:
-        return [*self._flags.values(), "_empty"]
+        return ["_empty"]
 
 
 def match_selectors(nodes: DataFrame, selectors: list[str], text: bool = False) -> DataFrame:

@@ -3,6 +3,11 @@
 One row per element, text, comment or doctype. ``pos`` and ``end_pos`` number the
 open and close events of a page from one counter, so "inside element e" is
 ``pos > e.pos AND pos < e.end_pos`` and intervals are either nested or disjoint.
+``ancestors`` lists the open elements around a row, outermost first, as text which
+regular expressions can search: for each ``LEVEL``, its ``pos``, ``PART``, its tag and
+``PART``, then ``#id``, ``.class`` and ``[name=value`` with a ``PART`` after each. So
+selectors are tests of one row. It tells the page as it was shredded, whatever later
+steps do to tags and attributes, and up to ``MAX_LEVELS`` elements.
 Tree building follows the HTML rules for implied tags, void and raw-text
 elements, table rows and unclosed formatting elements. Not covered: moving
 misplaced content out of tables and re-parenting around mis-nested blocks.
@@ -14,6 +19,7 @@ import html as entities
 import re
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -27,7 +33,7 @@ KEY = ("site", "page_id")
 
 NODE_SCHEMA = (
     "pos int, end_pos int, depth int, kind string, tag string, attrs map<string,string>, "
-    "elem_id string, classes array<string>, text string"
+    "elem_id string, classes array<string>, text string, ancestors string"
 )
 _ARROW = {
     "pos": pa.int32(),
@@ -39,7 +45,10 @@ _ARROW = {
     "elem_id": pa.string(),
     "classes": pa.list_(pa.string()),
     "text": pa.string(),
+    "ancestors": pa.string(),
 }
+LEVEL, PART = "\x1e", "\x1f"
+MAX_LEVELS = 512
 
 # Element groups of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -304,6 +313,43 @@ def shred_html(source: str) -> list[list]:
     return page.rows
 
 
+def _level(pos: int, tag: str, attrs: dict[str, str]) -> str:
+    """An element as one level of ``ancestors``."""
+    found = [f"#{attrs['id']}"] if "id" in attrs else []
+    found += [f".{c}" for c in attrs.get("class", "").split()]
+    found += [f"[{k}={v}" for k, v in attrs.items()]
+    parts = [str(pos), tag, *[x.replace(LEVEL, " ").replace(PART, " ") for x in found]]
+    return LEVEL + PART.join(parts) + PART
+
+
+def _add_ancestors(rows: list[list]) -> None:
+    around = [""]  # by depth
+    for row in rows:
+        depth = row[2]
+        row.append(around[depth])
+        if row[3] == "element":
+            level = _level(row[0], row[4], row[5]) if depth < MAX_LEVELS else ""
+            around[depth + 1 :] = [around[depth] + level]
+
+
+def _page_rows(source: str | None) -> list[list]:
+    rows = shred_html(source or "")
+    _add_ancestors(rows)
+    return rows
+
+
+def _of_size(rows: list[tuple], limit: int = 16 << 20) -> Iterator[list[tuple]]:
+    """Rows in pieces whose ``ancestors`` hold about ``limit`` characters."""
+    begin = held = 0
+    for at, (_, row) in enumerate(rows):
+        held += len(row[-1])
+        if held > limit:
+            yield rows[begin : at + 1]
+            begin, held = at + 1, 0
+    if begin < len(rows):
+        yield rows[begin:]
+
+
 def html_nodes(df: DataFrame, html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
     """Node table of every page; ``carry`` columns are repeated on each node.
 
@@ -318,20 +364,16 @@ def html_nodes(df: DataFrame, html: str = "html", carry: tuple[str, ...] = ()) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keep))
-            owners: list[int] = []
-            rows: list[list] = []
-            for i in range(batch.num_rows):
-                found = shred_html(texts[i].as_py() or "")
-                rows += found
-                owners += [i] * len(found)
-                if len(rows) >= 20_000 or i == batch.num_rows - 1:
+            found = ((i, row) for i in range(batch.num_rows) for row in _page_rows(texts[i].as_py()))
+            while some := list(islice(found, 20_000)):
+                for part in _of_size(some):
+                    owners, rows = zip(*part, strict=True)
                     left = [batch.column(k).take(pa.array(owners, pa.int32())) for k in range(len(keep))]
-                    columns = list(zip(*rows))
+                    columns = list(zip(*rows, strict=True))
                     right = [
                         pa.array([list(v.items()) if v else [] for v in c] if n == "attrs" else c, _ARROW[n])
                         for n, c in zip(names, columns)
                     ]
                     yield pa.RecordBatch.from_arrays(left + right, names=keep + names)
-                    owners, rows = [], []
 
     return source.mapInArrow(run, f"{fields}, {NODE_SCHEMA}")
