@@ -109,10 +109,15 @@ def _mark_links(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("_next", next_pos((F.col("tag") == "img") | (is_text() & ~_is_blank())))
 
 
+def collapse_runs(text: Column, blank: str = r"\s\xA0") -> Column:
+    """At most two line breaks in a row, one space for blanks and tabs."""
+    gap = rf"[{blank}\x{{FEFF}}\x{{2028}}\x{{2029}}]*"
+    return F.regexp_replace(F.regexp_replace(text, rf"\n{gap}\n{gap}\n", "\n\n"), r"[ \t]+", " ")
+
+
 def collapse_space(html: Column) -> Column:
-    """At most two line breaks in a row, one space for blanks and tabs, trimmed."""
-    s = F.regexp_replace(html, r"\n[\s\xA0\x{FEFF}\x{2028}\x{2029}]*\n[\s\xA0\x{FEFF}\x{2028}\x{2029}]*\n", "\n\n")
-    return js_trim(F.regexp_replace(s, r"[ \t]+", " "))
+    """The same, trimmed."""
+    return js_trim(collapse_runs(html))
 
 
 def clean_content(pages: DataFrame, html: str = "content") -> DataFrame:
@@ -154,13 +159,11 @@ def clean_title_suffix(title: Column) -> Column:
     return js_trim(F.regexp_replace(title, r"\s*[|\-–—]\s*[^|\-–—]+\z", ""))
 
 
-def parse_pages(pages: DataFrame, profiles: list[Profile] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Title, main content and images of every page.
-
-    ``pages`` has ``site, page_id, url, html`` and optionally ``profile`` (else it is
-    detected) and ``title`` from the crawl. Every page comes back once: with
-    ``content``, or with ``error_code`` where there is none. The page is shredded
-    once and shuffled once; selection cuts slices out of the rendered page.
+def chosen_content(
+    pages: DataFrame, profiles: list[Profile] | None = None, carry: tuple[str, ...] = (), rows: bool = False
+) -> tuple[DataFrame, list[Column]]:
+    """A row per page with the chosen element ``_c``, whether its content is long enough (``_ok``),
+    and the page's strings (or nodes); and the columns which selection settles, in order.
     """
     known = [*(PROFILES if profiles is None else profiles), DEFAULT]
     if "profile" not in pages.columns:
@@ -181,7 +184,7 @@ def parse_pages(pages: DataFrame, profiles: list[Profile] | None = None, carry:
     marked = _mark_links(m.nodes.withColumn("_hits", F.when(F.size(hits) > 0, hits)))
     reach = F.max(F.when(_empty_links(), F.col("end_pos"))).over(so_far())
     marked = marked.withColumn("_dead_link", F.coalesce(reach >= F.col("pos"), F.lit(False)))
-    doc = page_strings(marked, F.col("_hits"), keep, dead=F.col("_dead_link"))
+    doc = page_strings(marked, F.col("_hits"), keep, dead=F.col("_dead_link"), rows=rows)
 
     # first title selector whose first match has text
     texts = f"transform({_ranked(known, 'title', titles, t0)}, i -> {let(f'get({_marked('i')}, 0)', 'm', _text('m'))})"
@@ -215,19 +218,27 @@ def parse_pages(pages: DataFrame, profiles: list[Profile] | None = None, carry:
     )
     # first image per source
     once = "filter(im, (i, n) -> array_position(transform(im, o -> o.original_url), i.original_url) = n + 1)"
-    ok = F.length(raw) >= MIN_CONTENT
+    settled = [
+        F.col("url"),
+        F.col("profile"),
+        F.col("crawl_title"),
+        *[F.col(c) for c in carry],
+        or_else(title, or_else(F.col("crawl_title"), F.lit("Untitled"))).alias("title"),
+        F.when(F.col("_ok"), F.expr(let(f"transform({inside}, e -> {image})", "im", once))).alias("images"),
+        F.when(~F.col("_ok"), F.lit("NO_CONTENT_FOUND")).alias("error_code"),
+    ]
+    return picked.withColumn("_ok", F.coalesce(F.length(raw) >= MIN_CONTENT, F.lit(False))), settled
+
+
+def parse_pages(pages: DataFrame, profiles: list[Profile] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Title, main content and images of every page.
+
+    ``pages`` has ``site, page_id, url, html`` and optionally ``profile`` (else it is
+    detected) and ``title`` from the crawl. Every page comes back once: with
+    ``content``, or with ``error_code`` where there is none. The page is shredded
+    once and shuffled once; selection cuts slices out of the rendered page.
+    """
+    picked, settled = chosen_content(pages, profiles, carry)
     live = collapse_space(cut(F.col("live"), F.col("_c.v0"), F.col("_c.v1")))
-    return (
-        picked.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-        .select(
-            *KEY,
-            "url",
-            "profile",
-            "crawl_title",
-            *carry,
-            or_else(title, or_else(F.col("crawl_title"), F.lit("Untitled"))).alias("title"),
-            F.when(F.col("_ok"), live).alias("content"),
-            F.when(F.col("_ok"), F.expr(let(f"transform({inside}, e -> {image})", "im", once))).alias("images"),
-            F.when(~F.col("_ok"), F.lit("NO_CONTENT_FOUND")).alias("error_code"),
-        )
-    )
+    *first, images, error = settled
+    return picked.select(*KEY, *first, F.when(F.col("_ok"), live).alias("content"), images, error)

@@ -116,10 +116,17 @@ def link_dispositions(
     )
 
 
-def _flatten_to_text(nodes: DataFrame, flag: Column) -> DataFrame:
-    """Turn flagged elements into bare spans which keep only the text inside them."""
-    out = nodes.withColumn("_flat", F.coalesce(flag, F.lit(False)))
-    out = out.withColumn("_held", inside(F.col("_flat"))).filter(~F.col("_held") | is_text())
+def _flatten_to_text(nodes: DataFrame, flag: Column, seam: str = "") -> DataFrame:
+    """Turn flagged elements into bare spans which keep only the text inside them.
+
+    ``seam`` is put between texts which elements have parted.
+    """
+    out = nodes.withColumn("_flat", F.coalesce(flag, F.lit(False))).withColumn("_held", inside(F.col("_flat")))
+    if seam:
+        goes_on = (F.lag("kind").over(by_pos()) == "text") & (F.lag("depth").over(by_pos()) == F.col("depth"))
+        parted = F.col("_held") & is_text() & ~F.coalesce(goes_on, F.lit(False))
+        out = out.withColumn("text", F.when(parted, F.concat(F.lit(seam), "text")).otherwise(F.col("text")))
+    out = out.filter(~F.col("_held") | is_text())
     kind = F.when(F.col("_held"), F.lit("text")).otherwise(F.col("kind"))
     none = F.expr("cast(map() as map<string,string>)")
     return out.withColumns(
@@ -137,13 +144,22 @@ def resolve_links(
     remove_external: bool = False,
     convert_external: bool = True,
     remove_anchors: bool = False,
+    seam: str = "",
 ) -> DataFrame:
-    """Make links absolute; links out of the site or not to pages become plain text."""
+    """Make links absolute; links out of the site or not to pages become plain text.
+
+    ``seam`` marks where elements that go have parted texts.
+    """
     linked = F.when((F.col("tag") == "a"), _dispositions(base, remove_external, convert_external, remove_anchors))
     out = nodes.withColumn("_link", linked)
-    if remove_external:
-        out = drop_subtrees(out, F.col("_link.what") == "drop")
-    out = _flatten_to_text(out, F.col("_link.what") == "text")
+    dropped = F.coalesce(F.col("_link.what") == "drop", F.lit(False))
+    if remove_external and seam:
+        mark = {"kind": F.lit("text"), "text": F.lit(seam), "tag": F.lit(None).cast("string"), "_link": F.lit(None)}
+        out = out.withColumn("_gone", dropped).withColumn("_in", inside(F.col("_gone"))).filter("not _in")
+        out = out.withColumns({c: F.when(F.col("_gone"), v).otherwise(F.col(c)) for c, v in mark.items()}).drop("_gone", "_in")
+    elif remove_external:
+        out = drop_subtrees(out, dropped)
+    out = _flatten_to_text(out, F.col("_link.what") == "text", seam)
     href = F.expr("transform_values(attrs, (k, v) -> if(k = 'href', _link.to, v))")
     return out.withColumn("attrs", F.when(F.col("_link.what") == "resolve", href).otherwise(F.col("attrs"))).drop("_link")
 

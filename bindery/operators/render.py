@@ -103,9 +103,14 @@ def render_html(nodes: DataFrame, name: str = "html", scope: str = "document", c
     return events(nodes).groupBy(*KEY).agg(*kept, F.coalesce(text, F.lit("")).alias(name))
 
 
-def page_strings(nodes: DataFrame, marks: Column, carry: tuple[str, ...] = (), dead: Column | None = None) -> DataFrame:
+def page_strings(
+    nodes: DataFrame, marks: Column, carry: tuple[str, ...] = (), dead: Column | None = None, rows: bool = False
+) -> DataFrame:
     """Render each page once and note where marked elements lie in the result.
 
+    With ``rows`` the page's nodes come too, as the array ``nodes`` without ``dead`` ones, in
+    place of ``live``.
+
     ``marks`` is an array column (null for unmarked rows). The result has ``html``
     and ``text`` of the page, ``live`` (the HTML without ``dead`` rows) and
     ``elems``: per marked element ``pos, end_pos, tag, attrs, marks`` and half-open
@@ -131,11 +136,16 @@ def page_strings(nodes: DataFrame, marks: Column, carry: tuple[str, ...] = (), d
                       (F.col("_v") - F.col("_vl")).alias("v1"))
     void = F.col("tag").isin(*sorted(VOID))
     in_order = lambda a, b: a["pos"] - b["pos"]
+    if rows:
+        node = F.struct("pos", "end_pos", "depth", "kind", "tag", "attrs", F.col("text").alias("text"))
+        left = F.collect_list(F.when(~F.col("closing") & ~F.col("_dead"), node)).alias("nodes")
+    else:
+        left = F.coalesce(F.expr("listagg(case when not _dead then piece end, '') within group (order by ev)"), F.lit("")).alias("live")
     grouped = ev.groupBy(*KEY).agg(
         *[F.first(c).alias(c) for c in carry],
         F.expr("listagg(piece, '') within group (order by ev)").alias("html"),
         F.coalesce(F.expr("listagg(case when kind in ('text', 'raw') and not closing then text end, '') within group (order by ev)"), F.lit("")).alias("text"),
-        F.coalesce(F.expr("listagg(case when not _dead then piece end, '') within group (order by ev)"), F.lit("")).alias("live"),
+        left,
         F.collect_list(F.when(marked & ~F.col("closing"), opened)).alias("_open"),
         F.collect_list(F.when(marked & (F.col("closing") | void), closed)).alias("_close"),
     )

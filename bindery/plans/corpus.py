@@ -19,10 +19,9 @@ from bindery.operators.book import (
     validate_books,
 )
 from bindery.operators.chapters import build_chapters
-from bindery.operators.content import parse_pages
+from bindery.operators.clean import clean_pages
 from bindery.operators.crawl import canonical_pages, crawl_sites, merged_pages
 from bindery.operators.images import image_catalog, image_refs
-from bindery.operators.normalize import normalize_pages
 from bindery.operators.quality import fail_fast, split_errors
 from bindery.session import drop_scratch, materialize
 from bindery.sources.profiles import Profile
@@ -77,8 +76,7 @@ def build_book_corpus(
         )
         copies = pages.select("site", "page_id", "url").join(merged_pages(pages), ["site", "page_id"], "left_semi")
         lost = copies.select("site", "page_id", "url", F.lit("DUPLICATE_PAGE").alias("error_code"))
-    parsed = materialize(parse_pages(crawled, profiles, carry=("order",)), "parsed")
-    parsed = normalize_pages(parsed)
+    parsed = clean_pages(crawled, profiles, carry=("order",))
     parsed = materialize(fail_fast(parsed).withColumn("error_code", F.lit(None).cast("string")) if stop_on_error else parsed, "normalized")
     good, bad = split_errors(parsed)
     chapters = materialize(build_chapters(good.select("site", "page_id", "url", "title", "content", "order")), "chapters")
