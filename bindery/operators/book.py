@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bindery.functions.sqltext import bind, let
 from bindery.functions.strings import escape_xml, js_trim, or_else, sanitize_metadata_field, slug
 from bindery.functions.urls import title_from_url, url_host
+from bindery.operators.outline import parents_by_level
 from bindery.operators.scan import lookup, ordered_scan
 from bindery.session import materialize
 
@@ -80,31 +81,9 @@ def toc_level(title: Column) -> Column:
 
 
 def hierarchical_toc(chapters: DataFrame, limit: int | None = None) -> DataFrame:
-    """Entries with their parent: the nearest earlier entry of a lower level.
-
-    One pass keeps, per level, the last entry seen; the number of levels is bounded
-    by the title length. An entry's ancestors are the kept entries of lower levels
-    which no later, lower one has closed.
-    """
+    """Entries with their parent: the nearest earlier entry of a lower level."""
     entries = chapters.select("site", "page_id", "id", "title", "order", toc_level(F.col("title")).alias("level"))
-    deepest = entries.agg(F.max("level")).first()[0] or 0
-    at = F.struct("order", "page_id", "id")
-    lasts = {f"_l{k}": F.when(F.col("level") == k, at) for k in range(deepest)}
-    out = ordered_scan(entries, ["site"], [F.col("order"), F.col("page_id")], lasts=lasts, limit=limit) if lasts else entries
-    none = F.lit(None).cast("string")
-    if not lasts:
-        return out.withColumns({"parent_id": none, "depth": F.lit(0)})
-    lower = [F.when(F.col("level") > k, F.col(f"_l{k}")) for k in range(deepest)]
-    # greatest needs two arguments; a repeated one changes nothing
-    parent = F.greatest(*lower, lower[0])
-    depth = F.lit(0)
-    for k in range(deepest):
-        closed = F.lit(False)
-        if k:
-            newest = F.greatest(*[F.col(f"_l{j}") for j in range(k)], F.col("_l0"))
-            closed = F.coalesce(newest > F.col(f"_l{k}"), F.lit(False))
-        depth = depth + F.when((F.col("level") > k) & F.col(f"_l{k}").isNotNull() & ~closed, 1).otherwise(0)
-    return out.select("site", "page_id", "id", "title", "order", "level", parent["id"].alias("parent_id"), depth.alias("depth"))
+    return parents_by_level(entries, limit).select("site", "page_id", "id", "title", "order", "level", "parent_id", "depth")
 
 
 def flatten_toc(toc: DataFrame, limit: int | None = None) -> DataFrame:

@@ -195,11 +195,11 @@ def _is_long_enough(title: Column, size: Column) -> Column:
     return F.length(escape_xml(title)) + F.when(size > 0, size + between).otherwise(0) >= MIN_TEXT
 
 
-def build_chapters(pages: DataFrame, filter_empty: bool = True, limit: int | None = None) -> DataFrame:
-    """Pages of each site to numbered chapters.
+def chapter_listing(pages: DataFrame, filter_empty: bool = True, limit: int | None = None) -> DataFrame:
+    """Chapters of each site without their bodies: ``site, page_id, id, title, order, source_url``.
 
-    Ordering, titles and the length filter work on a table of keys, written once;
-    page content is read for its text size and joined once at the end.
+    Ordering, titles and the length filter work on a table of keys, which is written once;
+    of page content only the text size is read.
     """
     keys = pages.select("site", "page_id", "url", "title", "order", _text_size(F.col("content")).alias("_size"))
     keys = materialize(keys, "chapter-keys")
@@ -208,4 +208,15 @@ def build_chapters(pages: DataFrame, filter_empty: bool = True, limit: int | Non
     placed = resolve_duplicate_orders(keys, limit=limit, at_most=largest)
     titled = _titled_keys(placed, limit, largest)
     kept = titled.filter(_is_long_enough(F.col("title"), F.col("_size"))) if filter_empty else titled
-    return _chapters(pages, normalize_order(materialize(kept, "chapter-keys"), limit, largest))
+    ordered = normalize_order(materialize(kept, "chapter-keys"), limit, largest)
+    return materialize(ordered.select("site", "page_id", "id", "title", "order", F.col("url").alias("source_url")), "chapter-listing")
+
+
+def listed_chapters(pages: DataFrame, listing: DataFrame) -> DataFrame:
+    """The chapters of a listing with the content of ``pages``, wrapped."""
+    return _chapters(pages, listing.withColumnRenamed("source_url", "url"))
+
+
+def build_chapters(pages: DataFrame, filter_empty: bool = True, limit: int | None = None) -> DataFrame:
+    """Pages of each site to numbered chapters; page content is joined once, at the end."""
+    return listed_chapters(pages, chapter_listing(pages, filter_empty, limit))

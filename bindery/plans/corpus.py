@@ -18,7 +18,7 @@ from bindery.operators.book import (
     toc_content,
     validate_books,
 )
-from bindery.operators.chapters import build_chapters
+from bindery.operators.chapters import HEAD, chapter_listing, listed_chapters
 from bindery.operators.clean import clean_pages
 from bindery.operators.crawl import canonical_pages, crawl_sites, merged_pages
 from bindery.operators.images import image_catalog, image_refs
@@ -64,8 +64,8 @@ def build_book_corpus(
     chapters have a book row and an error without a URL.
 
     ``follow_links`` crawls from seeds; otherwise the stored pages are the crawl, in
-    page order, one per normalised URL. Parsed pages, normalised pages and chapters
-    are written once to the shared scratch area, as several jobs read each.
+    page order, one per normalised URL. Clean pages are written once to the shared
+    scratch area, as several jobs read them; all other intermediate tables hold keys.
     """
     if follow_links:
         crawled, lost = crawl_sites(pages, seeds, profiles)
@@ -79,21 +79,23 @@ def build_book_corpus(
     parsed = clean_pages(crawled, profiles, carry=("order",))
     parsed = materialize(fail_fast(parsed).withColumn("error_code", F.lit(None).cast("string")) if stop_on_error else parsed, "normalized")
     good, bad = split_errors(parsed)
-    chapters = materialize(build_chapters(good.select("site", "page_id", "url", "title", "content", "order")), "chapters")
+    listing = chapter_listing(good.select("site", "page_id", "url", "title", "content", "order"))
+    chapters = listed_chapters(good, listing)
     chosen = [p.image_options["format"] for p in profiles or [] if p.image_options]
     images = image_catalog(image_refs(good), format=chosen[0] if chosen else "jpeg")
     first = parsed.select("site", "page_id", "url", F.col("crawl_title").alias("title"), "order")
-    books = enrich_metadata(create_books(chapters, first, given, author), chapters)
-    short = good.select("site", "page_id", "url").join(chapters.select("site", "page_id"), ["site", "page_id"], "left_anti")
+    books = enrich_metadata(create_books(listing, first, given, author), listing)
+    short = good.select("site", "page_id", "url").join(listing.select("site", "page_id"), ["site", "page_id"], "left_anti")
     none = F.lit(None)
-    invalid = validate_books(books, chapters).select("site", none.cast("bigint").alias("page_id"), none.cast("string").alias("url"), "error_code")
+    wrapped = listing.withColumn("content", F.lit(HEAD))  # a wrapped chapter is never empty
+    invalid = validate_books(books, wrapped).select("site", none.cast("bigint").alias("page_id"), none.cast("string").alias("url"), "error_code")
     errors = bad.select("site", "page_id", "url", "error_code").unionByName(short.withColumn("error_code", F.lit("CHAPTER_TOO_SHORT")))
     errors = errors.unionByName(invalid).unionByName(lost)
     return Corpus(
         chapters=chapters,
-        toc=hierarchical_toc(chapters),
+        toc=hierarchical_toc(listing),
         books=book_options(books),
-        package_entries=chapters_to_content(chapters).unionByName(toc_content(chapters)),
+        package_entries=chapters_to_content(chapters).unionByName(toc_content(listing)),
         images=images,
         report=build_report(chapters, images),
         errors=errors,

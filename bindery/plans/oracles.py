@@ -435,3 +435,4 @@ ORACLES: dict[str, str] = {
       from p left join (select page_id from canon) c using (page_id) left join (select page_id from kept) k using (page_id)""",
     "book_chapters": f"""with {BOOK} select site, page_id, id, title, (row_number() over (partition by site order by page_id) - 1)::int as "order" from kept""",
 }
+ORACLES["incremental_corpus"] = ORACLES["book_corpus"]
