@@ -30,6 +30,16 @@ def numbered(docs: DataFrame, uid: str = "uid") -> DataFrame:
     return docs.withColumn(uid, F.monotonically_increasing_id())
 
 
+def give_back_memory() -> None:
+    """At the end of a task: workers live on, and what they have freed is else kept for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def per_batch(df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """Apply ``rows`` to the columns of each Arrow batch; it returns the columns of ``schema``."""
     struct = StructType.fromDDL(schema)
@@ -42,6 +52,7 @@ def per_batch(df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict
             for at in range(0, batch.num_rows, 512):
                 out = rows(batch.slice(at, 512).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+        give_back_memory()
 
     return df.mapInArrow(run, struct)
 
@@ -100,4 +111,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ).distinct()
 
 
-__all__ = ["components", "materialize", "numbered", "own_columns", "per_batch", "ranked_rows", "read_table"]
+__all__ = ["components", "give_back_memory", "materialize", "numbered", "own_columns", "per_batch", "ranked_rows", "read_table"]

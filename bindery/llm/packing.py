@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import materialize, numbered, ranked_rows
+from bindery.llm.common import give_back_memory, materialize, numbered, ranked_rows
 
 CAPACITY = 2048
 #: rows of one length per part when ranks are counted
 ROWS_PER_PART = 1_000_000
 #: words a worker keeps the ids of, about 200 bytes each
 KEPT_WORDS = 400_000
+#: words encoded at a time
+LEARNT_WORDS = 4096
 # one stop or comma between a letter and white space
 STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=\s|$)")
 ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -65,8 +67,11 @@ class Ids:
 
     def learn(self, words: set[str]) -> None:
         new = list(words)
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = array("I", e.ids).tobytes()
+        # an encoding holds far more than ids: a few at a time, as one text may bring a million words
+        for at in range(0, len(new), LEARNT_WORDS):
+            some = new[at : at + LEARNT_WORDS]
+            for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                self.known[word] = array("I", e.ids).tobytes()
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
@@ -118,6 +123,7 @@ def token_pieces(
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
                 columns = zip(*out, strict=True) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+        give_back_memory()
 
     return table.select("uid", "doc_id", "text").mapInArrow(run, schema)
 

@@ -25,8 +25,9 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from bindery.llm.common import own_columns, per_batch
+from bindery.llm.common import give_back_memory, own_columns, per_batch
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -157,16 +158,15 @@ def quality_metrics(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """The rows of ``docs`` whose text the rules keep, with all their columns."""
+    """The rows of ``docs`` whose text the rules keep, with all their columns; only texts go to Python."""
 
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import zstandard
 
         compressor = zstandard.ZstdCompressor(level=bands.level)
-        for batch in batches:
-            kept = [judge(t.as_py(), compressor, bands)["kept"] for t in batch.column(at)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        for texts in batches:
+            yield pa.array([judge(t.as_py(), compressor, bands)["kept"] for t in texts], pa.bool_())
+        give_back_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(kept("text"))
