@@ -349,6 +349,7 @@ ORACLES: dict[str, str] = {
       r as (select *, dense_rank() over (partition by page_id order by level) as a, dense_rank() over (partition by page_id order by moved) as b from s)
       select page_id, string_agg('h' || a, ',' order by k) as fixed, string_agg('h' || b, ',' order by k) as shifted from r group by page_id""",
     "first_heading": f"select page_id, {trim(decode(H1))} as heading from pages",
+    "node_table": f"select page_id, {trim(decode(H1))} as heading, {n_of('html', '<a ')}::bigint as links from pages",
     "link_dispositions": f"""with {A} select page_id, href, case when {IN_SITE} then 'resolve' else 'text' end as disposition, case when {IN_SITE} then r end as resolved from a
       union all select page_id, unnest(['#x', 'mailto:m', 'https://other.example/']), unnest(['keep', 'text', 'text']), null from pages""",
     "normalize_pages": f"""with {A} select page_id, (count(r) filter (where {IN_SITE}))::int as links, (count(r) filter (where not {IN_SITE}))::int as spans, 1 as attributes

@@ -30,6 +30,7 @@ from bindery.plans.incremental import update_book_corpus
 from bindery.session import materialize, scratch_dir
 from bindery.sources import profiles as P
 from bindery.sources.html import html_nodes
+from bindery.sources.nodes import bucketed_nodes
 from bindery.sources.pages import read_pages, spread
 from bindery.sources.sinks import read_book_table
 
@@ -381,6 +382,14 @@ def fix_headings(spark, sf):
     return fixed.join(listed(N.normalize_chapter_headings(nodes)).withColumnRenamed("tags", "shifted"), "page_id")
 
 
+def node_table(spark, sf):
+    """Heading and links of each page from one stored node table."""
+    nodes = bucketed_nodes(_pages(spark, sf), carry=("url",))
+    links = L.link_audit(nodes, ["a"]).select("site", "page_id", F.col("matched").alias("links"))
+    out = N.first_heading(nodes).join(links, ["site", "page_id"], "left")
+    return out.select("page_id", "heading", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
 def first_heading(spark, sf):
     return N.first_heading(html_nodes(_pages(spark, sf))).select("page_id", "heading")
 
@@ -752,6 +761,7 @@ QUERIES: dict[str, Query] = {
     "clean_content": clean_content,
     "largest_text_block": largest_text_block,
     "fix_headings": fix_headings,
+    "node_table": node_table,
     "first_heading": first_heading,
     "link_dispositions": link_dispositions,
     "normalize_pages": normalize_pages,

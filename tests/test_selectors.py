@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from bindery.operators.content import remove_noise
-from bindery.operators.render import with_link_text
+from bindery.operators.links import link_audit
+from bindery.operators.normalize import first_heading, fix_heading_hierarchy, resolve_links
+from bindery.operators.render import render_html, with_link_text
 from bindery.operators.selectors import Matcher, match_selectors, parse_selector
 from bindery.sources import html as H
 from bindery.sources.html import html_nodes, shred_html
+from bindery.sources.nodes import bucketed_nodes
 
 TAGS = "div section p span a ul li em".split()
 CLASSES = ["x", "y", "x-y", "nav", "a.b"]
@@ -136,6 +139,27 @@ def test_only_link_texts_are_shuffled(nodes, pages):
                 assert got[i, row[0]] == text
 
 
+def test_a_stored_node_table_is_not_shuffled_again(spark, pages, nodes):
+    rows = [("s", i, source, f"https://s/{i}") for i, source in pages]
+    df = spark.createDataFrame(rows, "site string, page_id long, html string, url string")
+    stored = bucketed_nodes(df, carry=("url",), buckets=5)
+    assert stored.count() == nodes.count()
+    operators = {
+        "noise": render_html(remove_noise(stored)),
+        "heading": first_heading(stored),
+        "audit": link_audit(stored, ["a"]),
+        "links": resolve_links(stored),
+        "headings": fix_heading_hierarchy(stored),
+    }
+    for name, out in operators.items():
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString(), name
+    both = operators["heading"].join(operators["audit"], ["site", "page_id"])
+    assert "Exchange hashpartitioning" not in both._jdf.queryExecution().executedPlan().toString()
+    plain = html_nodes(df, carry=("url",))
+    assert sorted(map(tuple, first_heading(plain).collect())) == sorted(map(tuple, operators["heading"].collect()))
+    assert sorted(map(tuple, render_html(remove_noise(plain)).collect())) == sorted(map(tuple, operators["noise"].collect()))
+
+
 def test_deep_pages_and_marks_in_values(spark):
     deep = "<div>" * 2000 + "x"
     odd = f'<div title="a{H.LEVEL}b{H.PART}.x{H.PART}c"><p>t</p></div>'
