@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -58,10 +59,20 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    taken = [(s, e) for s, _, e, _ in found]
+    # the characters taken, as intervals apart from each other: one look at the last that begins before a token's end
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted((s, e) for s, _, e, _ in found):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for m in TOKEN.finditer(text):
-        if random_looking(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
-            found.append((m.start(), 3, m.end(), m[0]))
+        if random_looking(m[0]):
+            at = bisect_left(starts, m.end()) - 1
+            if at < 0 or ends[at] <= m.start():
+                found.append((m.start(), 3, m.end(), m[0]))
     return sorted(found)
 
 

@@ -82,3 +82,20 @@ def test_counts_over_the_corpus(spark):
 def test_odd_and_empty(spark):
     assert secrets.scan_report(odd_docs(spark), F.col("doc_id"), F.col("source")).count() == len(odd_rows())
     assert secrets.scan_report(empty(spark), F.col("doc_id"), F.col("source")).count() == 0
+
+
+def test_long_texts_take_time_in_proportion_and_overlaps_are_found():
+    import time
+
+    r = random.Random(9)
+    letters = "abcdefghijkABCDEFGHIJK0123456789"
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    some = [f"token={word(20)} {word(40)} AKIA{'A1' * 9} {'0a1b' * 5}{word(30)} x" for _ in range(40)]
+    text = " ".join(some)
+    found = secrets.candidates(text)
+    base = [(s, e) for s, kind, e, _ in found if kind < 3]
+    wanted = [m.span() for m in secrets.TOKEN.finditer(text) if secrets.random_looking(m[0]) and not any(s < m.end() and m.start() < e for s, e in base)]
+    assert [(s, e) for s, kind, e, _ in found if kind == 3] == wanted != []
+    started = time.perf_counter()
+    assert len(secrets.candidates(" ".join(some * 200))) == 200 * len(found)
+    assert time.perf_counter() - started < 20
