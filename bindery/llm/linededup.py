@@ -1,21 +1,26 @@
 """Removal of repeated runs of lines, found by winnowing.
 
 The lines of a text that are not blank are hashed. Every window of ``run_lines`` consecutive line
-hashes selects its least, so two texts which share a run of that many lines share a selected hash.
-A line of ``long_words`` words or more is a window of its own too, whatever stands around it, so a
-passage on one line and a text of one line are found. Without ``long_words`` lines repeat in runs only.
-Selected hashes found at two positions or more are matches; each is extended to both sides, over the
-lines left and right of it in the windows that selected it, and windows whose extended hash occurs
-earlier in the corpus are later repeats. Overlapping and adjacent ones join into maximal runs, which
-are deleted together with blank lines inside them. The earliest occurrence stays.
+hashes selects its least, the leftmost of equals, so two texts which share a run of that many lines
+share a selected hash. Places selected by several windows are one fingerprint. Later places of a hash
+are joined to its first one, and the match is extended to both sides by comparing the lines around.
+It is a repeat when it has ``run_lines`` lines. What stands in other surroundings than at the first
+place is joined again by the selected hash with its surroundings, so a repeat of any earlier place
+counts. Overlapping and adjacent repeats join into maximal runs, which are deleted together with blank
+lines inside them. The earliest occurrence stays.
+
+A line of ``long_words`` words or more is a run by itself, whatever stands around it, so a passage on
+one line and a text of one line are found. Without ``long_words`` lines repeat in runs only.
 
 Earlier means a smaller ``doc_id`` (null before all), then a smaller text key, then a higher place.
-DataFrame functions only; groups of equal hashes are reduced by aggregates and never gathered.
+DataFrame functions only; groups of equal hashes are reduced by aggregates and never gathered, and
+hot hashes are spread when places are joined to the first one.
 
 Defined cases: a null or empty text stays empty; texts of fewer than ``run_lines`` filled lines change
-only by long lines; a character of a script without spaces counts as a word; rows equal in ``doc_id`` and text are one document and share its result; lines are compared
-without white space at their ends; an empty table gives an empty result; other columns pass through
-``drop_repeated_lines`` and are ignored by ``repeated_runs``.
+only by long lines; a character of a script without spaces counts as a word; rows equal in ``doc_id``
+and text are one document and share its result; lines are compared without white space of any kind at
+their ends, and a line of white space is blank; an empty table gives an empty result; other columns
+pass through ``drop_repeated_lines`` and are ignored by ``repeated_runs``.
 """
 
 from __future__ import annotations
@@ -24,26 +29,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import materialize
+from bindery.operators.scan import lookup
 
 RUN_LINES = 2
 #: a line of so many words repeats by itself
-LONG_WORDS = 50
+LONG_WORDS = 12
+#: white space inside a line
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 10)
+ENDS = rf"^[{SPACES}]++|(?<![{SPACES}])[{SPACES}]++$"
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
+WORD = rf"[{UNSPACED}]|[^{SPACES}{UNSPACED}]+"
 
 
 def _lines(text: Column | str) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _window(start: Column, lines: int) -> Column:
-    return F.struct(start.cast("int").alias("start"), F.lit(lines).alias("lines"))
+def is_filled(text: Column | str) -> Column:
+    return F.rlike(text, F.lit(rf"[^\n{SPACES}]"))
+
 
+def line_places(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """``doc_id, text_key, lines, place, selected, around``: the selected places of each text. Written once.
 
-def line_windows(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
-    """``doc_id, text_key, start, lines, selected, place, window``: the windows of each text with their selected hash. Written once."""
+    ``lines`` is the length of a repeat, ``around`` the ``lines - 1`` hashes on either side with the selected one between.
+    """
     text = F.coalesce("text", F.lit(""))
-    filled = F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: x != "")
+    filled = F.transform(F.filter(_lines(text), is_filled), lambda x: F.regexp_replace(x, F.lit(ENDS), F.lit("")))
 
     def long(x: Column) -> Column:
         # short lines are told by their length alone
@@ -56,32 +68,69 @@ def line_windows(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int |
         (F.array().cast("array<boolean>") if long_words is None else F.transform("l", long)).alias("long"),
     )
     n = F.size("h")
-    runs = F.when(n >= run_lines, F.transform(F.sequence(F.lit(0), F.greatest(n - run_lines, F.lit(0))), lambda i: _window(i, run_lines)))
-    singles = F.filter(F.transform("long", lambda x, i: F.when(x, _window(i, 1))), lambda x: x.isNotNull())
-    windows = F.concat(F.coalesce(runs, F.array().cast("array<struct<start:int,lines:int>>")), singles)
-    each = hashed.select("doc_id", "text_key", "h", F.explode(windows).alias("at")).select("doc_id", "text_key", "h", "at.start", "at.lines")
-    cut = each.select("doc_id", "text_key", "start", "lines", F.slice("h", F.col("start") + 1, F.col("lines")).alias("w"))
-    chosen = cut.withColumn("selected", F.array_min("w"))
-    place = F.col("start") + F.array_position("w", F.col("selected")).cast("int") - 1
-    return materialize(
-        chosen.select("doc_id", "text_key", "start", "lines", "selected", place.alias("place"), F.xxhash64("w").alias("window")), "line-windows"
+
+    def least(i: Column) -> Column:
+        window = F.slice("h", i + 1, run_lines)
+        return (i + F.array_position(window, F.array_min(window)) - 1).cast("int")
+
+    def found(place: Column, lines: int) -> Column:
+        around = F.transform(F.sequence(place - (lines - 1), place + (lines - 1)), lambda j: F.get("h", j))
+        return F.struct(F.lit(lines).alias("lines"), place.alias("place"), F.get("h", place).alias("selected"), around.alias("around"))
+
+    none = F.array().cast("array<int>")
+    runs = F.when(n >= run_lines, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - run_lines, F.lit(0))), least))).otherwise(none)
+    singles = F.filter(F.transform("long", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    chosen = hashed.select("doc_id", "text_key", "h", runs.alias("runs"), singles.alias("singles"))
+    places = F.concat(F.transform("runs", lambda p: found(p, run_lines)), F.transform("singles", lambda p: found(p, 1)))
+    return materialize(chosen.select("doc_id", "text_key", F.inline(places)), "line-places")
+
+
+def _first_of(rows: DataFrame, by: list[str], begin: Column, *carried: str) -> DataFrame:
+    """``by, first`` and the columns carried from the first row, of keys which occur more than once. Written once."""
+    held = [F.min_by(c, begin).alias(f"first_{c}") for c in carried]
+    firsts = rows.groupBy(*by).agg(F.min(begin).alias("first"), F.max(begin).alias("_last"), *held)
+    return materialize(firsts.filter("first <> _last").drop("_last"), "first-places")
+
+
+def later_repeats(places: DataFrame) -> DataFrame:
+    """``doc_id, text_key, start, lines``: lines of a text which occur earlier in the corpus, around each selected place."""
+    at = F.struct("doc_id", "text_key", "place")
+    by = ["lines", "selected"]
+    joined = lookup(places, _first_of(places, by, at, "around"), by, "inner").filter(at != F.col("first"))
+    side = F.col("lines") - 1
+    equal = F.zip_with("around", "first_around", lambda a, b: F.coalesce(a == b, F.lit(False)))
+
+    def reach(lines: Column) -> Column:
+        stop = F.array_position(lines, False).cast("int")
+        return F.when(stop == 0, side).otherwise(stop - 1)
+
+    both = joined.withColumn("_equal", equal).withColumns(
+        {"left": reach(F.reverse(F.slice("_equal", 1, side))), "right": reach(F.slice("_equal", side + 2, side))}
+    )
+    matched = materialize(both.select("doc_id", "text_key", "lines", "place", "selected", "around", "left", "right"), "matched-places")
+    extended = matched.filter("left + right + 1 >= lines").select(
+        "doc_id", "text_key", (F.col("place") - F.col("left")).alias("start"), (F.col("left") + F.col("right") + 1).alias("lines")
     )
 
+    # runs of these places which are not at the first one
+    def run(i: Column) -> Column:
+        lines = F.slice("around", i + 1, F.col("lines"))
+        outside = (side - i > F.col("left")) | (i > F.col("right"))
+        mine = outside & ~F.exists(lines, lambda x: x.isNull()) & (F.array_min(lines) == F.col("selected"))
+        return F.when(mine, F.struct((F.col("place") - side + i).alias("start"), F.xxhash64(lines).alias("run")))
 
-def later_windows(windows: DataFrame) -> DataFrame:
-    """``doc_id, text_key, start, lines``: windows which occur earlier in the corpus."""
-    position = F.struct("doc_id", "text_key", "place")
-    matched = windows.groupBy("selected").agg(F.min(position).alias("lo"), F.max(position).alias("hi")).filter("lo <> hi").select("selected")
-    extended = windows.join(matched, "selected", "left_semi")
+    others = F.filter(F.transform(F.sequence(F.lit(0), side), run), lambda x: x.isNotNull())
+    rest = matched.filter("left < lines - 1 or right < lines - 1").select("doc_id", "text_key", "lines", F.inline(others))
+    rest = rest.select("doc_id", "text_key", "start", "lines", "run")
     begin = F.struct("doc_id", "text_key", "start")
-    first = extended.groupBy("window").agg(F.min(begin).alias("first"), F.max(begin).alias("last")).filter("first <> last")
-    return extended.join(first.select("window", "first"), "window").filter(begin != F.col("first")).select("doc_id", "text_key", "start", "lines")
+    again = lookup(rest, _first_of(rest, ["lines", "run"], begin), ["lines", "run"], "inner").filter(begin != F.col("first"))
+    return extended.unionByName(again.select("doc_id", "text_key", "start", "lines"))
 
 
 def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
     """``doc_id, text_key, runs``: for each text with repeats, its runs as ``first, last`` among its filled lines."""
-    later = later_windows(line_windows(docs, run_lines, long_words))
-    # a text's own windows: bounded by its length
+    later = later_repeats(line_places(docs, run_lines, long_words))
+    # a text's own repeats: bounded by its length
     windows = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "lines")).alias("w"))
     covered = F.flatten(F.transform("w", lambda w: F.sequence(w["start"], w["start"] + w["lines"] - 1)))
     lines = windows.select("doc_id", "text_key", F.array_sort(F.array_distinct(covered)).alias("s"))
@@ -106,7 +155,7 @@ def drop_repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words:
     both = keyed.join(runs, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     split = both.withColumn("_l", _lines(F.coalesce("_row.text", F.lit(""))))
     # numbers of the filled lines, looked at only where something goes
-    filled = F.filter(F.transform("_l", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    filled = F.filter(F.transform("_l", lambda x, i: F.when(is_filled(x), i)), lambda i: i.isNotNull())
     at = split.withColumn("_at", F.when(F.col("_runs").isNotNull(), filled))
     placed = at.withColumn(
         "_runs",

@@ -23,27 +23,35 @@ select p.page_id,
 from p join f using (hex)
 """
 
-LINES = """
+# White space which may stand in a line, by code point, and scripts written without spaces.
+_SPACES = " || ".join(f"chr({c})" for c in (9, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+
+LINES = f"""
 with l as (
-  select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+  select doc_id, text, {_SPACES} as white, unnest(string_split(coalesce(text, ''), chr(10))) as line,
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as no
   from documents
 ), f as (
-  select doc_id, no, trim(line) as line, row_number() over (partition by doc_id order by no) as place
-  from l where trim(line) <> ''
+  select doc_id, no, trim(line, white) as line, row_number() over (partition by doc_id order by no) as place
+  from l where trim(line, white) <> ''
 ), w as (
   select doc_id, place, line, lead(line) over (partition by doc_id order by place) as after from f
 ), g as (
   select doc_id, place from (
     select doc_id, place, row_number() over (partition by line, after order by doc_id, place) as nth from w where after is not null
   ) where nth > 1
+), s as (
+  select doc_id, place from (
+    select doc_id, place, line, row_number() over (partition by line order by doc_id, place) as nth from f
+  ) where nth > 1 and len(regexp_extract_all(line, '[{_UNSPACED}]|[^' || {_SPACES} || '{_UNSPACED}]+')) >= 12
 ), gone as (
-  select doc_id, place from g union select doc_id, place + 1 from g
+  select doc_id, place from g union select doc_id, place + 1 from g union select doc_id, place from s
 ), marked as (
-  select l.doc_id, l.no, l.line, f.place, gone.place is not null as hit
+  select l.doc_id, l.no, l.line, l.white, f.place, gone.place is not null as hit
   from l left join f using (doc_id, no) left join gone on gone.doc_id = f.doc_id and gone.place = f.place
 ), around as (
-  select *, trim(line) = '' as blank,
+  select *, trim(line, white) = '' as blank,
          last_value(case when place is not null then hit end ignore nulls) over (partition by doc_id order by no rows between unbounded preceding and current row) as before,
          first_value(case when place is not null then hit end ignore nulls) over (partition by doc_id order by no rows between current row and unbounded following) as behind
   from marked

@@ -21,20 +21,26 @@ def passages():
     return rows
 
 
-def lines_left(rows, n):
-    """Delete lines in windows of ``n`` filled lines seen before, and blank lines between them."""
+def lines_left(rows, n, long=12):
+    """Delete lines in windows of ``n`` filled lines seen before, long lines seen before, and blank lines between them."""
     seen, out = {}, {}
     docs = {(r[0], r[1] or "") for r in rows}
     for d, text in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0)):
         lines = text.split("\n")
-        at = [i for i, line in enumerate(lines) if line.strip(" ")]
+        at = [i for i, line in enumerate(lines) if line.strip()]
         gone = set()
         for s in range(len(at) - n + 1):
-            window = tuple(lines[i].strip(" ") for i in at[s : s + n])
+            window = tuple(lines[i].strip() for i in at[s : s + n])
             if window in seen:
                 gone.update(range(s, s + n))
             else:
                 seen[window] = (d, s)
+        for s, i in enumerate(at):
+            line = lines[i].strip()
+            if len(line.split()) >= long:
+                if (line,) in seen:
+                    gone.add(s)
+                seen[line,] = (d, s)
         cut = {at[i] for i in gone} | {j for i in gone if i + 1 in gone for j in range(at[i], at[i + 1])}
         out[d, text] = "\n".join(line for i, line in enumerate(lines) if i not in cut), len(cut)
     return out
@@ -74,12 +80,45 @@ def test_long_lines_repeat_by_themselves(spark):
         short,
     ]
     docs = docs_of(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
-    done = {x.doc_id: x for x in linededup.deduplicated(docs).collect()}
+    done = {x.doc_id: x for x in linededup.deduplicated(docs, long_words=50).collect()}
     assert [done[i].removed for i in range(5)] == ["", "1:1,6:6", "0:0", "1:1", ""]
     assert done[1].text == f"{own[2]}\n\n{own[3]}\n{short}\n{own[4]}" and done[2].text == ""
     assert all(x.n_removed == 0 for x in linededup.deduplicated(docs, long_words=None).collect())
 
 
+def test_a_repeat_in_other_surroundings_than_the_first_is_found(spark):
+    r = random.Random(6)
+    vocabulary = [f"line {i}" for i in range(5)]
+    rows = [(i, "\n".join(r.choice(vocabulary) for _ in range(r.randint(1, 9))), "en", "a", 1) for i in range(60)]
+    for n in (2, 3, 4):
+        assert check_lines(spark, docs_of(spark, rows), rows, n) > 20
+
+
+def test_white_space_at_line_ends_does_not_hide_a_repeat(spark):
+    lines = prose(77, 12, 1).split("\n")
+    texts = ["\n".join(lines), "\r\n".join(lines), "\n\t\n".join(f"\u3000{x}\xa0 " for x in lines), "one\n" + lines[0] + "\ntwo"]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    docs = docs_of(spark, rows)
+    check_lines(spark, docs, rows, 2)
+    done = {x.doc_id: x.text for x in linededup.deduplicated(docs).collect()}
+    assert done[0] == texts[0] and done[1] == done[2] == ""
+
+
+def test_a_line_of_twelve_words_repeats_by_itself(spark):
+    line = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(i, f"{line(f'own{i}', 5)}\n{line('long', 12)}\n{line(f'mine{i}', 20)}\n{line('short', 11)}", "en", "a", 1) for i in range(4)]
+    assert check_lines(spark, docs_of(spark, rows), rows, 2) == 3
+
+
+def test_hot_lines_are_spread(spark, monkeypatch):
+    from bindery.operators import scan
+
+    monkeypatch.setattr(scan, "SAFE_BROADCAST_ROWS", 3)
+    monkeypatch.setattr(linededup, "lookup", lambda a, b, on, how: scan.lookup(a, b, on, how, hot=5))
+    rows = [(i, f"{prose(i, 6, 1)}\nread more\nshare this\n{prose(i + 500, 3, 1)}\nread more\n{prose(i % 3, 2, 1)}", "en", "a", 1) for i in range(40)]
+    assert check_lines(spark, docs_of(spark, rows), rows, 2) > 100
+
+
 def spans_left(rows):
     """Remove sentences in runs seen before, run by run."""
     seen, out = set(), {}

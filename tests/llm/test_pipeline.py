@@ -53,7 +53,7 @@ def test_stages_in_order(spark, tmp_path):
         text, n = left[r[0], r[1]]
         if not n:
             want.append(r)
-        elif text.strip(" "):
+        elif text.strip():
             want.append((r[0], text, r[2], r[3], len(text)))
     assert sorted(map(str, seen[2])) == sorted(map(str, want)) and len(want) < len(seen[1])
 
