@@ -5,7 +5,7 @@ count as empty; empty tables pass through; further columns of ``docs`` are kept.
 
 * quality rules: documents that the base rules or the compression bands reject go.
 * line dedup: later repeats of line runs are deleted, ``n_chars`` is counted anew, and documents of
-  which nothing is left go.
+  which only white space is left go.
 * n-gram Jaccard join: of each class of near duplicates the document with the smallest id stays.
 * mixing sources: documents as the mix takes them, one row per pass over the source.
 * best-fit packing: pieces of documents and their places in sequences.
@@ -24,7 +24,7 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    done = linededup.drop_repeated_lines(docs).filter((F.col("_dedup.removed") == 0) | (F.trim("text") != ""))
+    done = linededup.drop_repeated_lines(docs).filter((F.col("_dedup.removed") == 0) | linededup.is_filled("text"))
     changed = F.when(F.col("_dedup.removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return done.select(*[(changed.cast(t) if c == "n_chars" else F.col(c)).alias(c) for c, t in docs.dtypes])
 
