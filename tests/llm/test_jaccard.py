@@ -108,3 +108,26 @@ def test_overlaps_are_exact():
     sets = [np.unique(r.integers(0, 60, k).astype(np.uint64)) for k in (1, 5, 30, 60, 60)]
     for i, common in jaccard.overlaps(sets):
         assert common.tolist() == [len(np.intersect1d(sets[i], s)) for s in sets]
+
+
+def test_covered_texts_with_leaders_apart_are_one_family():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 256, 144).astype(np.uint8)
+
+    def moved(signs, n):
+        out = signs.copy()
+        out[r.choice(144, n, replace=False)] ^= 255
+        return out
+
+    x, y = base, moved(base, 28)  # alike by 0.8
+    signs = np.stack([moved(x, 28), moved(y, 28), x, y])
+    tails = np.array([[1], [2], [1], [2]], np.uint8)
+    assert len(set(jaccard.rooted(jaccard.forest_pairs(np.arange(4), signs, tails)).values())) == 1
+
+
+def test_the_bitmap_loses_no_key(spark):
+    rows = [(i, f"text {i}", "en", "a", 1) for i in range(500)] + [(900, None, "en", "a", 1)]
+    docs = docs_of(spark, rows)
+    keys = docs.filter("doc_id % 7 = 0 or text is null").selectExpr("xxhash64(coalesce(text, '')) as text_key")
+    got = sorted(r.text for r in jaccard.among(docs, keys).collect())
+    assert got == sorted(["", *(f"text {i}" for i in range(0, 500, 7))])
