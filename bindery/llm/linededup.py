@@ -39,6 +39,8 @@ SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 10)
 ENDS = rf"^[{SPACES}]++|(?<![{SPACES}])[{SPACES}]++$"
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 WORD = rf"[{UNSPACED}]|[^{SPACES}{UNSPACED}]+"
+#: the same for a line of ASCII characters
+ASCII_WORD = r"[^\x09-\x0D\x1C-\x20]+"
 
 
 def _lines(text: Column | str) -> Column:
@@ -49,17 +51,28 @@ def is_filled(text: Column | str) -> Column:
     return F.rlike(text, F.lit(rf"[^\n{SPACES}]"))
 
 
+def _bare(line: Column) -> Column:
+    """A line without white space at its ends; few lines have any, and only those need the pattern."""
+    white = F.contains(F.lit(SPACES), F.substring(line, 1, 1)) | F.contains(F.lit(SPACES), F.substring(line, -1, 1))
+    return F.when(white, F.regexp_replace(line, F.lit(ENDS), F.lit(""))).otherwise(line)
+
+
+def _words(line: Column) -> Column:
+    ascii_only = F.octet_length(line) == F.length(line)
+    return F.when(ascii_only, F.regexp_count(line, F.lit(ASCII_WORD))).otherwise(F.regexp_count(line, F.lit(WORD)))
+
+
 def line_places(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
     """``doc_id, text_key, lines, place, selected, around``: the selected places of each text. Written once.
 
     ``lines`` is the length of a repeat, ``around`` the ``lines - 1`` hashes on either side with the selected one between.
     """
     text = F.coalesce("text", F.lit(""))
-    filled = F.transform(F.filter(_lines(text), is_filled), lambda x: F.regexp_replace(x, F.lit(ENDS), F.lit("")))
+    filled = F.filter(F.transform(_lines(text), _bare), lambda x: x != "")
 
     def long(x: Column) -> Column:
         # short lines are told by their length alone
-        return F.when(F.length(x) >= long_words, F.regexp_count(x, F.lit(WORD)) >= long_words).otherwise(False)
+        return F.when(F.length(x) >= long_words, _words(x) >= long_words).otherwise(False)
 
     hashed = docs.select("doc_id", F.xxhash64(text).alias("text_key"), filled.alias("l")).select(
         "doc_id",
