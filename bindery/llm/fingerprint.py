@@ -13,8 +13,8 @@ The likeness of two texts is the Jaccard similarity of their digests, from the r
 differences. DataFrame functions only.
 
 Defined cases: a null text counts as empty; texts without a filled line have no digest, and two of
-them likeness 1; a null ``doc_id`` is the least long; rows equal in ``doc_id`` and text are one document and give one row; documents are
-ordered by ``doc_id`` descending (null after all others), then by text key; a document alone is its own
+them likeness 1; a null ``doc_id`` is the least long; rows equal in ``doc_id`` and text are one document in that order, and each
+gives its row; documents are ordered by ``doc_id`` descending (null after all others), then by text key; a document alone is its own
 next; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -34,6 +34,8 @@ CHECK = 0x5EED
 NULL_ID = -(1 << 63)
 #: rows of document keys which one task orders
 KEYS_PER_SLICE = 50_000
+#: repeated rows written at a time
+REPEATS = 10_000
 LONGS = "array<bigint>"
 
 
@@ -183,12 +185,12 @@ def followers(table: DataFrame) -> DataFrame:
 
 
 def edited_digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, d, k, n_chars, edited_sha256, own, edited, next``: digests of each text, its edited text and the next text. Written once."""
+    """``doc_id, d, k, rows, n_chars, edited_sha256, own, edited, next``: digests of each text, its edited text and the next text. Written once."""
     text = F.coalesce("text", F.lit(""))
     table = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
     keys = materialize(followers(table.select("d", "k", F.length("text").alias("n_chars"))), "followers")
     # one shuffle of the texts serves both joins; the second moves halves of texts only
-    whole = table.groupBy("d", "k").agg(F.first("text").alias("text"))
+    whole = table.groupBy("d", "k").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))
     sent = whole.join(keys, ["d", "k"]).select(
         F.col("to_d").alias("d"), F.col("to_k").alias("k"), F.expr("substring(text, 1, half)").alias("tail"), digests(F.col("text")).alias("next")
     )
@@ -200,6 +202,7 @@ def edited_digests(docs: DataFrame) -> DataFrame:
             F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"),
             "d",
             "k",
+            "rows",
             "n_chars",
             F.sha2("changed", 256).alias("edited_sha256"),
             digests(F.col("text")).alias("own"),
@@ -225,7 +228,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         return F.when(union == 0, F.lit(1.0)).otherwise((F.size("own") - F.col(f"{side}.plus")) / union).cast("double")
 
     level = F.lit(0)
-    return table.join(sides, ["d", "k"]).select(
+    each = table.join(sides, ["d", "k"]).withColumn("_at", F.explode(F.expr(f"sequence(0, (rows - 1) div {REPEATS})")))
+    return each.withColumn("_n", F.explode(F.expr(f"sequence(1, least({REPEATS}, rows - _at * {REPEATS}))"))).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
