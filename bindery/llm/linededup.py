@@ -38,9 +38,9 @@ LONG_WORDS = 12
 SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 10)
 ENDS = rf"^[{SPACES}]++|(?<![{SPACES}])[{SPACES}]++$"
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-WORD = rf"[{UNSPACED}]|[^{SPACES}{UNSPACED}]+"
-#: the same for a line of ASCII characters
-ASCII_WORD = r"[^\x09-\x0D\x1C-\x20]+"
+#: a word with the white space after it. Words of characters below Thai which end at an ASCII blank are most of all and tested
+#: first; atomic, so a line with too few words is read once
+WORD = rf"(?>[!-~\x{{A1}}-\x{{DFF}}]++(?=[\x09-\x0D\x1C-\x20]|\z)|[^{SPACES}{UNSPACED}]++|[{UNSPACED}])[{SPACES}]*+"
 
 
 def _lines(text: Column | str) -> Column:
@@ -57,9 +57,9 @@ def _bare(line: Column) -> Column:
     return F.when(white, F.regexp_replace(line, F.lit(ENDS), F.lit(""))).otherwise(line)
 
 
-def _words(line: Column) -> Column:
-    ascii_only = F.octet_length(line) == F.length(line)
-    return F.when(ascii_only, F.regexp_count(line, F.lit(ASCII_WORD))).otherwise(F.regexp_count(line, F.lit(WORD)))
+def _has_words(line: Column, n: int) -> Column:
+    """Whether a line has ``n`` words or more; it is read up to the last of these only."""
+    return F.rlike(line, F.lit(rf"^[{SPACES}]*+(?:{WORD}){{{n}}}"))
 
 
 def line_places(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
@@ -72,7 +72,7 @@ def line_places(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | N
 
     def long(x: Column) -> Column:
         # short lines are told by their length alone
-        return F.when(F.length(x) >= long_words, _words(x) >= long_words).otherwise(False)
+        return F.when(F.octet_length(x) >= long_words, _has_words(x, long_words)).otherwise(False)
 
     hashed = docs.select("doc_id", F.xxhash64(text).alias("text_key"), filled.alias("l")).select(
         "doc_id",
@@ -83,11 +83,12 @@ def line_places(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int | N
     n = F.size("h")
 
     def least(i: Column) -> Column:
-        window = F.slice("h", i + 1, run_lines)
+        # not slice(), which copies the whole array first: texts may have very many lines
+        window = F.array(*[F.get("h", i + k) for k in range(run_lines)])
         return (i + F.array_position(window, F.array_min(window)) - 1).cast("int")
 
     def found(place: Column, lines: int) -> Column:
-        around = F.transform(F.sequence(place - (lines - 1), place + (lines - 1)), lambda j: F.get("h", j))
+        around = F.array(*[F.get("h", place + k) for k in range(1 - lines, lines)])
         return F.struct(F.lit(lines).alias("lines"), place.alias("place"), F.get("h", place).alias("selected"), around.alias("around"))
 
     none = F.array().cast("array<int>")
