@@ -71,3 +71,17 @@ def test_one_shred_and_one_shuffle(spark):
     plan = plan.split("Initial Plan")[0]
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
     assert df.select(F.col("order")).first()[0] == 7
+
+
+@pytest.mark.parametrize("exclude", [["x"], ["p:empty"]])
+def test_parts_grow_with_the_html(spark, monkeypatch, exclude):
+    pages = spark.createDataFrame([("s", i, f"https://s.org/{i}", random_page(i) + "<p>more</p>" * 90) for i in range(60)], SCHEMA)
+    mine = [Profile("mine", url_patterns=["."], exclude=exclude)]
+    cuts = {"parse": lambda: parse_pages(pages, mine), "clean": lambda: clean_pages(pages, mine)}
+    whole = {n: sorted(cut().select("page_id", "title", "content", "error_code").collect()) for n, cut in cuts.items()}
+    # as if the table were larger
+    monkeypatch.setattr("bindery.sources.nodes.SLICE_CHARS", 1500)
+    for n, cut in cuts.items():
+        out = cut()
+        assert out.rdd.getNumPartitions() >= 40
+        assert sorted(out.select("page_id", "title", "content", "error_code").collect()) == whole[n]
