@@ -346,3 +346,15 @@ def test_corpus_with_links(spark):
     corpus = build_book_corpus(df, follow_links=True)
     assert [r.title for r in corpus.chapters.orderBy("order").collect()] == ["H", "Second"]
     assert corpus.books.first().title == "Home"
+
+
+def test_a_small_limit_does_not_make_a_slice_per_row(spark, monkeypatch):
+    from bindery.operators import scan
+
+    written, keep = [], scan.materialize
+    monkeypatch.setattr(scan, "SAFE_SLICES", 20, raising=False)
+    monkeypatch.setattr(scan, "materialize", lambda df, label: written.append(keep(df, label)) or written[-1])
+    df = spark.range(300).select(F.when(F.col("id") < 290, "big").otherwise("small").alias("site"), (-F.col("id")).alias("n"))
+    out = scan.ordered_scan(df, ["site"], [F.col("n")], position="at", limit=2)
+    assert sorted(out.collect()) == sorted([("big", -i, 289 - i) for i in range(290)] + [("small", -i, 299 - i) for i in range(290, 300)])
+    assert 2 <= written[0].select("_slice").distinct().count() <= 20
