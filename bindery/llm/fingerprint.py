@@ -172,16 +172,17 @@ def written(cells: Column, keys: Column) -> Column:
 
 
 def followers(table: DataFrame) -> DataFrame:
-    """``d, k, to_d, to_k, half``: for each document the one it follows, and half that one's length."""
-    narrow = table.select("d", "k", "n_chars").distinct().withColumn("_all", F.lit(0))
-    one = F.struct("d", "k", F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
+    """``d, k, to_d, to_k, half, rows``: for each document the one it follows, half that one's length and its number of rows."""
+    narrow = table.groupBy("d", "k", "n_chars").agg(F.count(F.lit(1)).alias("rows")).withColumn("_all", F.lit(0))
+    one = F.struct("d", "k", F.floor(F.col("n_chars") / 2).cast("int").alias("half"), "rows")
     order = [F.col("d").desc(), F.col("k")]
     placed = ordered_scan(narrow, ["_all"], order, lasts={"to": one}, limit=KEYS_PER_SLICE)
     # the first document follows the last: the smallest id with the largest key
     last = narrow.agg(F.max_by(one, F.struct(F.bitwise_not("d"), "k"))).first()
-    end = F.struct(*[F.lit(v).cast(t) for v, t in zip(last[0] or (None,) * 3, ("long", "long", "int"), strict=True)])
-    to = F.coalesce(F.col("to"), end.cast("struct<d:bigint,k:bigint,half:int>"))
-    return placed.withColumn("to", to).select("d", "k", F.col("to.d").alias("to_d"), F.col("to.k").alias("to_k"), F.col("to.half").alias("half"))
+    end = F.struct(*[F.lit(v).cast(t) for v, t in zip(last[0] or (None,) * 4, ("long", "long", "int", "long"), strict=True)])
+    to = F.coalesce(F.col("to"), end.cast("struct<d:bigint,k:bigint,half:int,rows:bigint>"))
+    follows = [F.col("to.d").alias("to_d"), F.col("to.k").alias("to_k"), F.col("to.half").alias("half"), F.col("to.rows").alias("rows")]
+    return placed.withColumn("to", to).select("d", "k", *follows)
 
 
 def edited_digests(docs: DataFrame) -> DataFrame:
@@ -189,10 +190,10 @@ def edited_digests(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     table = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
     keys = materialize(followers(table.select("d", "k", F.length("text").alias("n_chars"))), "followers")
-    # one shuffle of the texts serves both joins; the second moves halves of texts only
-    whole = table.groupBy("d", "k").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))
+    # one shuffle of the texts serves both joins, as long as both take the same columns of it; the second moves halves of texts only
+    whole = table.groupBy("d", "k").agg(F.first("text").alias("text"))
     sent = whole.join(keys, ["d", "k"]).select(
-        F.col("to_d").alias("d"), F.col("to_k").alias("k"), F.expr("substring(text, 1, half)").alias("tail"), digests(F.col("text")).alias("next")
+        F.col("to_d").alias("d"), F.col("to_k").alias("k"), F.expr("substring(text, 1, half)").alias("tail"), digests(F.col("text")).alias("next"), "rows"
     )
     both = whole.join(sent, ["d", "k"]).withColumn("n_chars", F.length("text").cast("long"))
     edit = F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 2) as int)), tail)")

@@ -72,3 +72,14 @@ def test_equal_texts_and_nothing(spark):
     alone = fingerprint.fingerprints(docs_of(spark, [(5, text, None, None, None)])).first()
     assert alone.near_next == 1.0
     assert fingerprint.fingerprints(empty(spark)).count() == 0
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(fingerprint, "materialize", lambda df, label: seen.setdefault(label, df) and materialize(df, label))
+    rows = [(i, prose(i, 4), "en", "a", 1) for i in range(20)]
+    got = fingerprint.fingerprints(docs_of(spark, [*rows, rows[3], rows[3]])).collect()
+    assert sorted(r.doc_id for r in got) == sorted([*range(20), 3, 3])
+    seen["digests"].collect()
+    plan = seen["digests"]._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
