@@ -36,8 +36,11 @@ ROWS_PER_PART = 1_000_000
 KEPT_WORDS = 400_000
 #: words encoded at a time
 LEARNT_WORDS = 4096
+#: words encoded as one text, with an added token between them
+JOINED_WORDS = 64
+SEPARATOR = "<|word|>"
 # one stop or comma between a letter and white space
-STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=\s|$)")
+STOP = re.compile(r"([.,])(?<=[a-zß-öø-ÿ][.,])(?=\s|$)")
 ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
@@ -46,13 +49,20 @@ class Ids:
 
     The tokenizer splits at white space before it does anything that looks at neighbours, so a
     text's ids are those of its words in turn, and words recur. Nor does it matter to it whether a
-    letter is upper case, or whether a single stop or comma behind a word stands apart.
+    letter is upper case, or whether a single stop or comma behind a word stands apart. Its added
+    tokens begin with ``<|``.
+
+    New words go to the tokenizer some at a time, between separators which no word holds a part of:
+    an added token ends whatever stands before it. Words in lower case and Latin-1 are what the
+    tokenizer's normalizer would make of them, so they pass a copy without one, on the same model.
     """
 
-    def __init__(self, tokenizer, known: dict[str, bytes]):
+    def __init__(self, tokenizer, known: dict[str, bytes], parts: tuple | None = None):
         self.tokenizer, self.known = tokenizer, known
+        self.spelt, self.any = parts or (between(tokenizer, False), between(tokenizer, True))
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str) -> tuple[list[str], bool]:
+        """The words, and whether they are in lower case and Latin-1."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -62,26 +72,55 @@ class Ids:
         if plain:
             text = STOP.sub(r" \1", text.lower())
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to split(), not to the tokenizer
-            return [w for w in ASCII_SPACE.split(text) if w]
-        return text.split()
+            return [w for w in ASCII_SPACE.split(text) if w], plain
+        return text.split(), plain
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str], plain: bool) -> None:
         new = list(words)
+        if not plain and any("<|" in w for w in new):  # may hold added tokens
+            self._each([w for w in new if "<|" in w])
+            new = [w for w in new if "<|" not in w]
+        tokenizer = self.spelt if plain else self.any
+        end = tokenizer.token_to_id(SEPARATOR)
         # an encoding holds far more than ids: a few at a time, as one text may bring a million words
         for at in range(0, len(new), LEARNT_WORDS):
-            some = new[at : at + LEARNT_WORDS]
+            groups = [new[i : i + JOINED_WORDS] for i in range(at, min(at + LEARNT_WORDS, len(new)), JOINED_WORDS)]
+            found = tokenizer.encode_batch_fast([SEPARATOR.join(g) for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, found, strict=True):
+                ids = np.array(e.ids, "<u4")
+                raw, begin = ids.tobytes(), 0
+                for word, stop in zip(group, [*(np.flatnonzero(ids == end) * 4).tolist(), len(raw)], strict=True):
+                    self.known[word] = raw[begin:stop]
+                    begin = stop + 4
+
+    def _each(self, words: list[str]) -> None:
+        for at in range(0, len(words), LEARNT_WORDS):
+            some = words[at : at + LEARNT_WORDS]
             for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
                 self.known[word] = array("I", e.ids).tobytes()
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.known
         for text in texts:
-            words = self.words(text)
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            known = self.known
-            if missing := {w for w in words if w not in known}:
-                self.learn(missing)
-            yield b"".join([known[w] for w in words])
+            words, plain = self.words(text)
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            if missing := set(words).difference(known):
+                self.learn(missing, plain)
+            yield b"".join(map(known.__getitem__, words))
+
+
+def between(tokenizer, normalize: bool):
+    """A tokenizer on the same model for words between separators, with the normalizer or without."""
+    import tokenizers
+
+    out = tokenizers.Tokenizer(tokenizer.model)
+    if normalize and tokenizer.normalizer is not None:
+        out.normalizer = tokenizer.normalizer
+    if tokenizer.pre_tokenizer is not None:
+        out.pre_tokenizer = tokenizer.pre_tokenizer
+    out.add_special_tokens([SEPARATOR])
+    return out
 
 
 def load(name: str) -> Ids:
@@ -95,7 +134,8 @@ def load(name: str) -> Ids:
     if name not in held:
         import public_tokenizers
 
-        held[name] = (tokenizers.Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name)), {})
+        tokenizer = tokenizers.Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
+        held[name] = (tokenizer, {}, (between(tokenizer, False), between(tokenizer, True)))
     return Ids(*held[name])
 
 

@@ -35,6 +35,31 @@ def test_ids_survive_a_full_memory(monkeypatch):
     assert got == list(map(ids, texts))
 
 
+def test_new_words_are_encoded_many_as_one_text():
+    r = random.Random(4)
+    letters = "abcXYZ019.,'-<|>&éßµÿŒœ’Σς\u0301\u212b字\x85\xa0\x1c"
+    words = sorted({"".join(r.choices(letters, k=r.randint(1, 7))) for _ in range(3000)} | {"<", "|>", "word|>", "<|word|>", "x<|endoftext|>y"})
+    spelt = sorted({"".join(r.choices("abc019.,'-<>&éßµÿ\x1d", k=r.randint(1, 7))) for _ in range(3000)})
+
+    class Counted:
+        texts = 0
+
+        def __init__(self, tokenizer):
+            self.token_to_id, self.inner = tokenizer.token_to_id, tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            Counted.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    known = {}
+    made = packing.Ids(TOKENIZER, known)
+    made.spelt, made.any = Counted(made.spelt), Counted(made.any)
+    made.learn(set(spelt), True)
+    made.learn(set(words) - set(spelt), False)
+    assert Counted.texts <= len(known) // packing.JOINED_WORDS + 3
+    assert {w: np.frombuffer(raw, "<u4").tolist() for w, raw in known.items()} == {w: ids(w) for w in {*spelt, *words}}
+
+
 def fewest(items, capacity):
     """The optimum by trying every place for every item."""
 
