@@ -163,6 +163,8 @@ def token_pieces(
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
                 columns = zip(*out, strict=True) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+        # the next task brings about as many words as are kept; until then others need the memory
+        ids.known.clear()
         give_back_memory()
 
     return table.select("uid", "doc_id", "text").mapInArrow(run, schema)
